@@ -37,6 +37,48 @@ FROM marked GROUP BY doc_id
 """
 
 
+def vocabulary() -> str:
+    """The public tokenizer file of the production parameters; another path can be given to the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM words WHERE len(ws) >= 13
+), keyed AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM windows
+), least AS (
+  SELECT k, min(doc_id) AS d FROM keyed GROUP BY k
+), covered AS (
+  SELECT DISTINCT w.doc_id, unnest(range(w.i, w.i + 13)) AS p FROM keyed w JOIN least l ON w.k = l.k WHERE l.d < w.doc_id
+), each AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM words
+), kept AS (
+  SELECT e.doc_id, count(*) AS n, count(*) FILTER (WHERE c.p IS NOT NULL) AS gone,
+         string_agg(e.word, ' ' ORDER BY e.p) FILTER (WHERE c.p IS NULL) AS rest
+  FROM each e LEFT JOIN covered c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY e.doc_id
+)
+SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM words w LEFT JOIN kept k ON k.doc_id = w.doc_id
+"""
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_cascade import url_cascade
 
@@ -58,5 +100,5 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_line_dedup": op5_line_dedup, "op9_url_filters": op9_url_filters}
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op9_url_filters": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters}
+SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
