@@ -12,6 +12,37 @@ from .common import table
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM words WHERE len(ws) > 0
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM starts
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), both_ways AS MATERIALIZED (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT x, y FROM both_ways JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)
+), reach AS (
+  SELECT x, y FROM links
+  UNION
+  SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (
+  SELECT x, min(y) AS y FROM reach GROUP BY x
+)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, least(w.doc_id, coalesce(l.y, w.doc_id)) AS component_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN least l ON l.x = w.doc_id
+"""
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -58,7 +89,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), windows AS (
   SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM words WHERE len(ws) >= 13
 ), keyed AS (
@@ -100,5 +131,5 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters}
-SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters}
+SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
