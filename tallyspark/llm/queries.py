@@ -137,5 +137,11 @@ WITH parts AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE n = 1
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
 SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}

@@ -17,7 +17,6 @@ level, beyond which the build stops with an error rather than broadcast more.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .bloom import bloom_bits, bloom_hit
 from .common import ascii_lower
 
-BITS_PER_KEY, PROBES = 10, 5
-
 
 def host_of(url: Column) -> Column:
     return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
@@ -49,20 +47,6 @@ def keys_of(host: Column, path: Column, path_lengths: list[int]) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(keys)
 
 
-def _positions(a: np.ndarray, b: np.ndarray, level: int, m: int) -> np.ndarray:
-    """Bit positions of keys in a level, one row for each key; a and b are two hashes of the key."""
-    with np.errstate(over="ignore"):
-        mixed = (a.astype(np.uint64) ^ np.uint64((level * 0x9E3779B97F4A7C15) & (2**64 - 1))) * np.uint64(0xFF51AFD7ED558CCD)
-        mixed ^= mixed >> np.uint64(32)
-        step = b.astype(np.uint64) | np.uint64(1)
-        return (mixed[:, None] + step[:, None] * np.arange(PROBES, dtype=np.uint64)) % np.uint64(m)
-
-
-def _hit(bits: np.ndarray, a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
-    at = _positions(a, b, level, len(bits) * 64)
-    return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
-
-
 class Cascade:
     """Levels of bit arrays; `holds` is exact for every key of the universe it was built over."""
 
@@ -73,29 +57,11 @@ class Cascade:
         inside = np.zeros(len(a), bool)
         walking = np.arange(len(a))
         for level, bits in enumerate(self.levels, 1):
-            walking = walking[_hit(bits, a[walking], b[walking], level)]
+            walking = walking[bloom_hit(bits, a[walking], b[walking], level)]
             inside[walking] = level % 2 == 1
         return inside
 
 
-def _level(keys: DataFrame, level: int, max_bits: int) -> np.ndarray:
-    """The bit array that encodes `keys` (a, b): 64-bit words, built by a grouped bit_or."""
-    n = keys.count()
-    m = max(64, 1 << math.ceil(math.log2(max(1, n * BITS_PER_KEY))))
-    if m > max_bits:
-        raise ValueError(f"level {level} of the cascade needs {m} bits for {n} keys; max_bits is {max_bits}")
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            at = np.unique(_positions(x["a"].to_numpy(), x["b"].to_numpy(), level, m).ravel())
-            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
-
-    bits = np.zeros(m // 64, np.int64)
-    for r in keys.mapInPandas(words, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).collect():
-        bits[r["word"]] = r["bit"]
-    return bits.view(np.uint64)
-
-
 def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 26, max_levels: int = 40) -> Cascade:
     """listed and universe: columns a and b, two hashes of each distinct key; universe must hold every key that will be asked for."""
     taken = listed.select("a", "b").distinct()
@@ -104,11 +70,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 2
     while not taken.isEmpty():
         if len(levels) == max_levels:
             raise ValueError("the cascade doesn't end: two keys share both hashes")
-        levels.append(_level(taken, len(levels) + 1, max_bits))
+        levels.append(bloom_bits(taken, max_bits, len(levels) + 1, strict=True))
 
         def wrong(batches: Iterator[pd.DataFrame], bits: np.ndarray = levels[-1], level: int = len(levels)) -> Iterator[pd.DataFrame]:
             for x in batches:
-                yield x[_hit(bits, x["a"].to_numpy(), x["b"].to_numpy(), level)]
+                yield x[bloom_hit(bits, x["a"].to_numpy(), x["b"].to_numpy(), level)]
 
         taken, rest = rest.mapInPandas(wrong, "a long, b long"), taken
     return Cascade(levels)
