@@ -12,6 +12,12 @@ from .common import table
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extraction import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -143,5 +149,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
 SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
