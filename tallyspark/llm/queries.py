@@ -93,6 +93,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -149,5 +155,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
 SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
