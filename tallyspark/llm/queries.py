@@ -18,6 +18,25 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents dealt into eight arrivals, appended, compacted and read back from the last version."""
+    import uuid
+
+    from .common import shared_dir
+    from .sharding import ShardStore
+
+    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents")
+    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+    store.compact()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+OP2_SQL = """
+SELECT doc_id, lang, source, n_chars, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import jaccard_components
 
@@ -155,5 +174,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
-SQL: dict[str, str] = {"op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op2_sharding": op2_sharding, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
