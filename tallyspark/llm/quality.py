@@ -166,13 +166,13 @@ def _strength(rates: DataFrame, head: str, rate: float) -> float:
     return float(min(1000.0, max(5.0, rate * (1 - rate) / between - 1 if between > 1e-9 else 1000.0)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_rows: int = 20_000, lexicon_words: int = 2_000, min_contexts: int = 5, min_surprise: float = 12.0, reject: float = 0.5) -> DataFrame:
-    """(id_col, host, path, p_junk, p_toxic, keep) for each row of docs; labels has id_col, quality and toxic."""
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_rows: int = 20_000, lexicon_words: int = 2_000, min_contexts: int = 5, min_surprise: float = 12.0, reject: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, host, path, p_junk, p_toxic, keep, and the columns of docs named by `carry`) for each row of docs; labels has id_col, quality and toxic."""
     ship_package(docs.sparkSession)
-    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"))
+    x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), *carry)
     model = fit(x, labels.withColumnRenamed(id_col, "id"), train_rows, lexicon_words, min_contexts, min_surprise)
     if not model["rows"]:
-        return x.select(F.col("id").alias(id_col), "host", "path", F.lit(0.5).alias("p_junk"), F.lit(0.5).alias("p_toxic"), F.lit(True).alias("keep"))
+        return x.select(F.col("id").alias(id_col), "host", "path", F.lit(0.5).alias("p_junk"), F.lit(0.5).alias("p_toxic"), F.lit(True).alias("keep"), *carry)
     heads = ("junk", "toxic")
     scored = evidence(x, model)
     for h in heads:
@@ -189,4 +189,4 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         path = (m * host + F.col(f"p_{h}") - own) / (m + F.col("pn") - 1)
         out = out.withColumn(f"p_{h}", F.round(_chance(F.col(h), F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), path))), 4))
     bad = 1 - (1 - F.col("p_junk")) * (1 - F.col("p_toxic"))
-    return out.select(F.col("id").alias(id_col), "host", "path", "p_junk", "p_toxic", (bad < reject).alias("keep"))
+    return out.select(F.col("id").alias(id_col), "host", "path", "p_junk", "p_toxic", (bad < reject).alias("keep"), *carry)
