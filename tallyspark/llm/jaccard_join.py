@@ -8,7 +8,9 @@ threshold % of its set with whatever it links to, the tokens that no other docum
 1. Groups. Equal sets are one class. Classes that share a prefix token are measured against the smallest of
    them; links make groups, so a family of near copies costs one comparison each, not all pairs.
 2. Token-group matrix. Each group, in chunks of at most ``chunk`` members, stores its token union. A class is
-   a query to the groups of other components that share a prefix token and have members of a fitting size. Where
+   a query to the groups of other components that share a prefix token and have members of a fitting size. Where two
+   linked sets first meet in the global order, both have as many tokens left as the link needs, so a token at which
+   either has fewer left asks nothing. Where
    |query & union| is under what any link needs, the group stays shut; only qualifying groups are opened and measured.
 
 Components are those of all links: a pair that either step skips is in one component already, or can't link.
@@ -162,7 +164,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     able = every.where(F.col("prefix").isNotNull())
     class_of = written(able.groupBy("a", "b").agg(F.min("id").alias("q")), "classes")
     classes = written(able.join(class_of.select(F.col("q").alias("id"), "a", "b"), ["id", "a", "b"], "left_semi").dropDuplicates(["id", "a", "b"]).select(F.col("id").alias("q"), "n", "prefix", "tokens"), "sets")
-    tokens = classes.select("q", "n", F.explode("prefix").alias("t"))
+    # left: how many tokens that others hold a class has from t on. A pair's first common token leaves both enough for a link.
+    tokens = classes.select("q", "n", (F.octet_length("tokens") / 8).cast("long").alias("shared"), F.posexplode("prefix").alias("k", "t")).select("q", "n", "t", (F.col("shared") - F.col("k")).alias("left"))
+    tokens = tokens.withColumn("slack", (100 + threshold) * F.col("left") - threshold * F.col("n"))
     fits = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
 
     def opened(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -183,12 +187,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     group_of = components(links)
 
     # 2: other components' groups
-    grouped = tokens.join(group_of, tokens["q"] == group_of["node"], "left").select("t", "q", "n", F.coalesce("component", "q").alias("c"))
+    grouped = tokens.join(group_of, tokens["q"] == group_of["node"], "left").select("t", "q", "n", "slack", F.coalesce("component", "q").alias("c"))
     grouped = written(grouped, "grouped")
-    matrix = grouped.groupBy("t", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = grouped.groupBy("t", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("slack").alias("most"))
     several = matrix.groupBy("t").agg(F.count("*").alias("k")).where("k > 1").select("t")
-    matrix = matrix.join(several, "t").select("t", F.col("c").alias("to"), "lo", "hi")
-    asked = grouped.join(several, "t", "left_semi").join(matrix, "t").where((F.col("to") < F.col("c")) & (100 * F.col("hi") >= threshold * F.col("n")) & (threshold * F.col("lo") <= 100 * F.col("n"))).select("to", "q").distinct()
+    matrix = matrix.join(several, "t").select("t", F.col("c").alias("to"), "lo", "hi", "most")
+    asked = grouped.join(several, "t", "left_semi").join(matrix, "t").where((F.col("to") < F.col("c")) & (100 * F.col("hi") >= threshold * F.col("n")) & (threshold * F.col("lo") <= 100 * F.col("n")) & (F.col("most") >= threshold * F.col("n")) & (F.col("slack") >= threshold * F.col("lo"))).select("to", "q").distinct()
     asked = written(asked, "asked")
     members = classes.select("q").join(group_of, classes["q"] == group_of["node"], "left").select("q", F.coalesce("component", "q").alias("to")).join(asked.select("to").distinct(), "to", "left_semi")
     sized = members.groupBy("to").agg(F.count("*").alias("k")).withColumn("parts", parts)
