@@ -5,10 +5,11 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -38,3 +39,19 @@ def ship_package(spark: SparkSession) -> None:
         at.write_bytes(data.getvalue())
         sc.addPyFile(os.fspath(at))
     _SHIPPED.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def as_table(df: DataFrame, name: str) -> DataFrame:
+    """Cuts lineage: df as a Parquet table in the shared folder, read again with its own schema."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

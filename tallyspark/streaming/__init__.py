@@ -1 +1 @@
-
+"""Streaming counterparts: windowed counts with watermarks, and scores of games kept as points arrive."""
