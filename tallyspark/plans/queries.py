@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import results  # noqa: F401
+from . import results, sequences  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
