@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .words import gram_hashes, word_hashes
+from .words import gram_hashes, measured, ordering_hashes
 
 
 class Cutter:
@@ -41,10 +41,10 @@ class Cutter:
     def __init__(self, window: int, gram: int, buckets: int, common: np.ndarray):
         self.window, self.gram, self.buckets, self.common = window, gram, buckets, common
 
-    def cut(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """For each super-k-mer: first window, number of windows, bucket, begin and end of its minimiser in its bytes; and those bytes."""
-        n, span = len(words), self.window - self.gram + 1
-        g = gram_hashes(word_hashes(words), self.gram)
+    def cut(self, whole: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """For each super-k-mer of a text's words: first window, number of windows, bucket, begin and end of its minimiser in its bytes; and those bytes."""
+        n, span = len(start), self.window - self.gram + 1
+        g = gram_hashes(ordering_hashes(whole, start, stop), self.gram)
         order = g >> np.uint64(1)
         if len(self.common):
             at = np.minimum(np.searchsorted(self.common, g), len(self.common) - 1)
@@ -52,12 +52,9 @@ class Cutter:
         pos = np.lib.stride_tricks.sliding_window_view(order, span).argmin(axis=1) + np.arange(n - self.window + 1)
         first = np.flatnonzero(np.diff(pos, prepend=-1))
         count = np.diff(first, append=len(pos))
-        off = np.zeros(n + 1, np.int64)
-        np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1, out=off[1:])
-        whole = b" ".join(words)
-        begin, end, p = off[first], off[first + count + self.window - 1] - 1, pos[first]
+        begin, end, p = start[first], stop[first + count + self.window - 2], pos[first]
         strings = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        return first, count, (g[p] % np.uint64(self.buckets)).astype(np.int64), off[p] - begin, off[p + self.gram] - 1 - begin, strings
+        return first, count, (g[p] % np.uint64(self.buckets)).astype(np.int64), start[p] - begin, stop[p + self.gram - 1] - begin, strings
 
 
 class Batch:
@@ -67,22 +64,23 @@ class Batch:
         numbers: dict[bytes, int] = {}
         least: list[int] = []
         bucket, begin, end, self.seen = [], [], [], []
+        self.words = [measured(t) for t in texts]
         for k in np.lexsort((np.arange(len(ids)), ids)).tolist():
-            words = (texts[k] or "").encode().split()
-            if len(words) < cutter.window:
+            whole, start, stop = self.words[k]
+            if len(start) < cutter.window:
                 continue
-            first, count, b, ga, gb, strings = cutter.cut(words)
-            own, fresh = [], []
-            for i, s in enumerate(strings):
-                j = numbers.setdefault(s, len(numbers))
-                if j == len(least):
-                    least.append(ids[k])
-                    fresh.append(i)
-                own.append(j)
+            first, count, b, ga, gb, strings = cutter.cut(whole, start, stop)
+            known = len(numbers)
+            own = [numbers.setdefault(s, len(numbers)) for s in strings]
+            # The first of each new string: numbers only rise where one is new.
+            at = np.array(own)
+            top = np.maximum.accumulate(np.append(known - 1, at))
+            fresh = np.flatnonzero(at > top[:-1])
+            least += [ids[k]] * len(fresh)
             bucket.append(b[fresh])
             begin.append(ga[fresh])
             end.append(gb[fresh])
-            self.seen.append((k, first, count, np.array(own)))
+            self.seen.append((k, first, count, at))
         self.strings = list(numbers)
         self.least = np.array(least, np.int64)
         cat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
@@ -98,7 +96,7 @@ class Batch:
 
 
 def _packed(*arrays: np.ndarray, tail: bytes = b"") -> bytes:
-    return zstandard.ZstdCompressor(3).compress(np.array([len(arrays[0])], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays) + tail)
+    return zstandard.ZstdCompressor(1).compress(np.array([len(arrays[0])], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays) + tail)
 
 
 def _unpacked(raw: bytes, *types: str) -> tuple[list[np.ndarray], bytes]:
@@ -118,10 +116,10 @@ def common_grams(docs: DataFrame, window: int, gram: int, batch_bytes: int) -> t
             size, parts = 0, []
             col = batch.column(0)
             for i in range(batch.num_rows):
-                raw = (col[i].as_py() or "").encode()
-                size += len(raw)
-                if len(words := raw.split()) >= window:
-                    parts.append(gram_hashes(word_hashes(words), gram))
+                whole, start, stop = measured(col[i].as_py())
+                size += len(whole)
+                if len(start) >= window:
+                    parts.append(gram_hashes(ordering_hashes(whole, start, stop), gram))
                 if (i + 1 == batch.num_rows or sum(map(len, parts)) > 1_000_000) and (parts or size):
                     g, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
                     often = n >= max(8, n.sum() >> 17)
@@ -217,15 +215,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if spans:
                 gone[int(rows[k])] = spans
         out = []
+        own = iter(b.words)
         for r in range(len(x)):
-            words = (texts[r] or "").encode().split()
-            kept = words
+            whole, start, stop = next(own) if known[r] else measured(texts[r])
+            kept, n = whole, len(start)
             if r in gone:
-                stays = np.ones(len(words), bool)
+                stays = np.zeros(n + 2, bool)
+                stays[1:-1] = True
                 for f, e in gone[r]:
-                    stays[f : e + window - 1] = False
-                kept = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-            out.append((b" ".join(kept).decode(), len(words), len(words) - len(kept)))
+                    stays[f + 1 : e + window] = False
+                edges = np.flatnonzero(stays[1:] != stays[:-1])
+                kept = b" ".join([whole[i:j] for i, j in zip(start[edges[0::2]].tolist(), stop[edges[1::2] - 1].tolist(), strict=True)])
+                n = int(stays.sum())
+            out.append((kept.decode(), len(start), len(start) - n))
         text, n_words, n_removed = zip(*out, strict=True) if out else ((), (), ())
         return pd.DataFrame({"id": x["id"], "text": list(text), "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64)})
 
