@@ -34,9 +34,9 @@ def coalesce_lookup(rows: DataFrame, lookups: Sequence[tuple[DataFrame, str, str
 
 
 def unique_fallback(rows: DataFrame, field: DataFrame, exact: str, loose: str, value: str, into: str) -> DataFrame:
-    """The field's value by the exact key, else by the loose key if just one row of the field has it."""
+    """The field's value by the exact key, (the least of several), else by the loose key if just one row of the field has it."""
     once = field.where(F.col(loose).isNotNull()).groupBy(loose).agg(F.count("*").alias("__n"), F.min(value).alias("__lv")).where("__n = 1").select(F.col(loose).alias("__lk"), "__lv")
-    by_key = field.select(F.col(exact).alias("__ek"), F.col(value).alias("__ev")).dropDuplicates(["__ek"])
+    by_key = field.where(F.col(exact).isNotNull()).groupBy(F.col(exact).alias("__ek")).agg(F.min(value).alias("__ev"))
     out = rows.join(by_key, F.col(exact) == F.col("__ek"), "left").join(once, F.col(loose) == F.col("__lk"), "left")
     return out.withColumn(into, F.coalesce("__ev", "__lv")).drop("__ek", "__ev", "__lk", "__lv")
 
