@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def pair_key(a: Column, b: Column, separator: str = "-") -> Column:
@@ -24,7 +25,7 @@ def group_signature(value: Column, separator: str = "|") -> Column:
     return F.sha1(F.array_join(F.array_sort(F.collect_list(value.cast("string"))), separator))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatibility_key(text: pd.Series) -> pd.Series:
     """NFKC form without white space."""
     return text.map(lambda t: None if t is None else "".join(unicodedata.normalize("NFKC", t).split()))
@@ -34,7 +35,7 @@ def person_key(name: Column, team: Column) -> Column:
     return F.concat_ws("@", compatibility_key(name), compatibility_key(team))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a_base36(text: pd.Series) -> pd.Series:
     """32-bit FNV-1a over code units, in base 36."""
 
@@ -53,7 +54,7 @@ def fnv1a_base36(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     """The first longest run of characters that two texts share."""
 

@@ -33,7 +33,7 @@ def period_ratings(matches: DataFrame, k: Mapping[str, float] = K_BY_TIER, initi
     m = as_table(matches.select("period", "match", "side_a", "side_b", "a_won", "tier"), "matches")
     state = spark.createDataFrame([], "player string, rating double, played long, won long")
     upsets: list[DataFrame] = []
-    weight = F.coalesce(F.try_element_at(F.lit(dict(k)), F.col("tier")), F.lit(k.get("national", 32.0)))
+    weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(v) for pair in k.items() for v in pair)), F.col("tier")), F.lit(k.get("national", 32.0)))
     # Periods are few (weeks or days of the history), whatever the number of matches.
     for (period,) in m.select("period").distinct().orderBy("period").collect():
         own = m.where(F.col("period") == period)

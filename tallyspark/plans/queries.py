@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import joins, results, sequences  # noqa: F401
+from . import joins, results, scalars, sequences, structures  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
