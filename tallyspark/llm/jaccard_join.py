@@ -5,8 +5,9 @@ Tokens get a global order, rare ones first, by how many documents hold them. As
 threshold % of its set with whatever it links to, the tokens that no other document holds may fill its prefix
 (the first size - need + 1 tokens); it then links to nothing and goes no further. The rest runs in two steps:
 
-1. Groups. Equal sets are one class. Classes that share a prefix token are measured against the smallest of
-   them; links make groups, so a family of near copies costs one comparison each, not all pairs.
+1. Groups. Equal sets are one class. Classes that share a prefix token are measured against that one of them which
+   has fewest rarer tokens, as it is the nearest to all; links make groups, so a family of near copies costs one
+   comparison each, not all pairs.
 2. Token-group matrix. Each group, in chunks of at most ``chunk`` members, stores its token union. A class is
    a query to the groups of other components that share a prefix token and have members of a fitting size. Where two
    linked sets first meet in the global order, both have as many tokens left as the link needs, so a token at which
@@ -166,7 +167,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(able.join(class_of.select(F.col("q").alias("id"), "a", "b"), ["id", "a", "b"], "left_semi").dropDuplicates(["id", "a", "b"]).select(F.col("id").alias("q"), "n", "prefix", "tokens"), "sets")
     # left: how many tokens that others hold a class has from t on. A pair's first common token leaves both enough for a link.
     tokens = classes.select("q", "n", (F.octet_length("tokens") / 8).cast("long").alias("shared"), F.posexplode("prefix").alias("k", "t")).select("q", "n", "t", (F.col("shared") - F.col("k")).alias("left"))
-    tokens = tokens.withColumn("slack", (100 + threshold) * F.col("left") - threshold * F.col("n"))
+    tokens = tokens.withColumn("slack", (100 + threshold) * F.col("left") - threshold * F.col("n")).withColumn("before", F.col("n") - F.col("left"))
     fits = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
 
     def opened(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
@@ -176,8 +177,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         asked, held = (x.join(classes.select("q", "n", "tokens"), "q").select(*(F.col(c).alias(c) for c in ("g", "q", "n", "tokens"))) for x in (pairs, members))
         return written(open_groups(asked, held, threshold, max(1, -(-n // 2000))), f"{name}-links")
 
-    # 1: the smallest class of each token's
-    first = tokens.groupBy("t").agg(F.min(F.struct("q", "n")).alias("first"), F.count("*").alias("k")).where("k > 1").select("t", F.col("first.q").alias("m"), F.col("first.n").alias("mn"))
+    # 1: of each token's classes the one that has fewest tokens before it; the smallest of equals
+    first = tokens.groupBy("t").agg(F.min(F.struct("before", "q", "n")).alias("first"), F.count("*").alias("k")).where("k > 1").select("t", F.col("first.q").alias("m"), F.col("first.n").alias("mn"))
     star = written(tokens.join(first, "t").where((F.col("q") != F.col("m")) & fits(F.col("n"), F.col("mn"))).select("m", "q").distinct(), "star")
     parts = F.greatest(F.lit(1), F.ceil(F.col("k") / chunk)).cast("long")
     star = star.join(star.groupBy("m").agg(F.count("*").alias("k")), "m").withColumn("g", F.struct("m", F.pmod(F.xxhash64("q"), parts).alias("part")))
