@@ -4,7 +4,8 @@ Two naive Bayes heads, each fitted on a bounded sample of the labelled rows: "ju
 shape statistics of the text, and "toxic" (label toxic = 1) from how many words it has of a lexicon: words that toxic documents
 hold in many different contexts and others hardly do (contexts, so that copies of one document don't make a word). Their log
 likelihood ratios are the evidence. A word enters the lexicon if toxic documents hold it in at least ``min_contexts``
-contexts and that is over ``min_surprise`` nats from what its whole count makes likely. Every document of the corpus, labelled or not, then counts towards its host and path
+contexts and that is over ``min_surprise`` nats from what its whole count makes likely. How much a number of such words tells
+is counted on each half of the sample by the words of the other half (equal texts are in one half). Every document of the corpus, labelled or not, then counts towards its host and path
 with its probability under the global rate: a host's rate is shrunk towards the global one, a path's towards its host's,
 each by a strength fitted from how much the rates differ between hosts. A document's own count is left out of its prior.
 It is rejected if the chance that it is junk or toxic reaches ``reject``.
@@ -68,10 +69,10 @@ def lexicon_hits(words: list[bytes], lexicon: frozenset[bytes]) -> int:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(id, text, junk, toxic) of the labelled documents with the smallest hashes; at most train_rows labels, so the join can broadcast them."""
+    """(id, text, junk, toxic, half) of the labelled documents with the smallest hashes; at most train_rows labels, so the join can broadcast them."""
     own = labels.select("id", (F.coalesce("quality", F.lit(1)) == 0).cast("int").alias("junk"), (F.coalesce("toxic", F.lit(0)) == 1).cast("int").alias("toxic"))
     own = own.where("id is not null").groupBy("id").agg(F.max("junk").alias("junk"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    return docs.select("id", "text").join(F.broadcast(own), "id")
+    return docs.select("id", "text").join(F.broadcast(own), "id").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int, min_contexts: int, min_surprise: float) -> dict:
@@ -90,19 +91,20 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols], ["f", "b", "junk", "n"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, word before it) of toxic documents, and of each word how many toxic and other documents hold it."""
+        """(word, word before it) of toxic documents, and of each word how many toxic and other documents hold it, by half of the sample."""
         for batch in batches:
-            near: set[tuple[bytes, bytes]] = set()
-            held: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            near: set[tuple[int, bytes, bytes]] = set()
+            held: dict[tuple[int, int], dict[bytes, int]] = {(h, x): {} for h in (0, 1) for x in (0, 1)}
+            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
                 ws = plain_words((text or "").encode().split())
                 if toxic:
-                    near |= set(zip(ws, [b"", *ws], strict=False))
+                    near |= {(half, w, b) for w, b in zip(ws, [b"", *ws], strict=False)}
+                own = held[half, toxic]
                 for w in set(ws):
-                    held[toxic][w] = held[toxic].get(w, 0) + 1
-            rows = [(w, b, 0, 0) for w, b in near] + [(w, None, n, 0) for w, n in held[0].items()] + [(w, None, 0, n) for w, n in held[1].items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["w", "before", "clean", "bad"])
+                    own[w] = own.get(w, 0) + 1
+            rows = [(h, w, b, 0, 0) for h, w, b in near] + [(h, w, None, 0, n) if x else (h, w, None, n, 0) for (h, x), own in held.items() for w, n in own.items()]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["half", "w", "before", "clean", "bad"])
 
     totals = sample.agg(F.count("*"), F.sum("junk"), F.sum("toxic")).first()
     n, junk, toxic = totals[0], totals[1] or 0, totals[2] or 0
@@ -116,20 +118,37 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
     lexicon: frozenset[bytes] = frozenset()
     hits = [0.0] * (MOST_HITS + 1)
     if toxic and toxic < n:
-        found = sample.mapInArrow(words, "w binary, before binary, clean long, bad long").groupBy("w").agg(F.count_distinct("before").cast("double").alias("contexts"), F.sum("clean").alias("clean"), F.sum("bad").alias("bad"))
-        found = found.withColumn("k", F.least("contexts", "bad"))
-        by_chance = (F.col("k") + F.col("clean")) * toxic / n
-        ratio = F.log((F.col("k") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (n - toxic + 1))
-        found = found.where((F.col("k") >= min_contexts) & (F.octet_length("w") > 0)).withColumn("surprise", F.col("k") * F.log(F.col("k") / by_chance) - F.col("k") + by_chance).withColumn("ratio", ratio)
-        lexicon = frozenset(bytes(r["w"]) for r in found.where((F.col("surprise") >= min_surprise) & (F.col("ratio") > 2)).orderBy(F.desc("surprise"), "w").limit(lexicon_words).collect())
+        halves = {r["half"]: (r["n"], r["toxic"]) for r in sample.groupBy("half").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()}
+        of = lambda c, h: F.when(F.col("half") == h, F.col(c))
+        found = sample.mapInArrow(words, "half int, w binary, before binary, clean long, bad long").groupBy("w").agg(
+            *(F.count_distinct(of("before", h)).cast("double").alias(f"contexts{h}") for h in (0, 1)),
+            F.count_distinct("before").cast("double").alias("contexts"),
+            *(F.coalesce(F.sum(of(c, h)), F.lit(0)).alias(f"{c}{h}") for c in ("clean", "bad") for h in (0, 1)),
+        )
+        found = written(found.where((F.octet_length("w") > 0) & (F.least("contexts", F.col("bad0") + F.col("bad1")) >= min_contexts / 2)), "words")
+
+        def most_telling(contexts: str, bad, clean, rows: int, bad_rows: int, share: float) -> frozenset[bytes]:
+            """Words that are telling in so many rows; what is asked of a word goes with its share of the sample."""
+            x = found.select("w", F.least(F.col(contexts), bad).alias("k"), clean.alias("clean")).where(F.col("k") >= max(2.0, min_contexts * share))
+            by_chance = (F.col("k") + F.col("clean")) * bad_rows / rows
+            ratio = F.log((F.col("k") + 0.5) / (bad_rows + 1)) - F.log((F.col("clean") + 0.5) / (rows - bad_rows + 1))
+            x = x.withColumn("surprise", F.col("k") * F.log(F.col("k") / by_chance) - F.col("k") + by_chance)
+            return frozenset(bytes(r["w"]) for r in x.where((F.col("surprise") >= min_surprise * share) & (ratio > 1.5)).orderBy(F.desc("surprise"), "w").limit(lexicon_words).collect())
+
+        lexicon = most_telling("contexts", F.col("bad0") + F.col("bad1"), F.col("clean0") + F.col("clean1"), n, toxic, 1.0)
+        other = {1 - h: most_telling(f"contexts{h}", F.col(f"bad{h}"), F.col(f"clean{h}"), *halves[h], 0.5) if h in halves and halves[h][1] else frozenset() for h in (0, 1)}
 
         def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                k = [lexicon_hits((t or "").encode().split(), lexicon) for t in batch.column("text").to_pylist()]
+                k = [lexicon_hits((t or "").encode().split(), other[h]) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(k, pa.int32())], ["toxic", "k"])
 
+        # How much a number of hits tells is counted in each half by the other half's words.
         seen = {(r["toxic"], r["k"]): r["count"] for r in sample.mapInArrow(held, "toxic int, k int").groupBy("toxic", "k").count().collect()}
         hits = [math.log((seen.get((1, k), 0) + 0.5) / (toxic + 0.5 * len(hits))) - math.log((seen.get((0, k), 0) + 0.5) / (n - toxic + 0.5 * len(hits))) for k in range(len(hits))]
+        # More hits never tell less.
+        for k in range(1, len(hits)):
+            hits[k] = max(hits[k], hits[k - 1])
     smooth = lambda k: (k + 0.5) / (n + 1)
     return {"shapes": shapes, "lexicon": lexicon, "hits": hits, "junk": smooth(junk), "toxic": smooth(toxic), "rows": n}
 
@@ -166,7 +185,7 @@ def _strength(rates: DataFrame, head: str, rate: float) -> float:
     return float(min(1000.0, max(5.0, rate * (1 - rate) / between - 1 if between > 1e-9 else 1000.0)))
 
 
-def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_rows: int = 20_000, lexicon_words: int = 2_000, min_contexts: int = 5, min_surprise: float = 12.0, reject: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", train_rows: int = 20_000, lexicon_words: int = 2_000, min_contexts: int = 5, min_surprise: float = 8.0, reject: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, host, path, p_junk, p_toxic, keep, and the columns of docs named by `carry`) for each row of docs; labels has id_col, quality and toxic."""
     ship_package(docs.sparkSession)
     x = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), *carry)
