@@ -146,6 +146,8 @@ def test_hosts_shrink_towards_the_global_rate(spark):
     from tallyspark.llm.quality import quality
 
     docs, labels = labelled(2, 900)
+    r = random.Random(8)
+    labels = [(i, q if r.random() > 0.2 else 1 - q, t) for i, q, t in labels]  # evidence that doesn't settle it alone
     docs = [(i, t, lang, "spam" if not labels[i][1] and i % 10 else s) for i, t, lang, s in docs]
     mixed = [" ".join(["CLICK", "$$$"] * k + docs[0][1].split()[: 60 - 2 * k]) for k in range(0, 30, 2)]
     docs += [(5000 + 3 * k + h, t, "en", ("spam", "never seen", "host1")[h]) for k, t in enumerate(mixed) for h in range(3)] + [(9000, None, None, None)] * 2
