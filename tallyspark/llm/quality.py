@@ -108,13 +108,19 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
 
     totals = sample.agg(F.count("*"), F.sum("junk"), F.sum("toxic")).first()
     n, junk, toxic = totals[0], totals[1] or 0, totals[2] or 0
+
+    def told(bad: int, good: int, all_bad: int) -> float:
+        """Log likelihood ratio of what so many bad and good rows have. One row more, split as the classes are: what nobody has tells nothing."""
+        share = all_bad / n
+        return math.log((bad + share) / share) - math.log((good + 1 - share) / (1 - share))
+
     counts = {}
     for r in sample.mapInArrow(shape, "f int, b int, junk int, n int").groupBy("f", "b", "junk").agg(F.sum("n").alias("n")).collect():
         counts[r["f"], r["b"], r["junk"]] = r["n"]
     shapes = []
     for f, borders in enumerate(BORDERS.values()):
         k = len(borders) + 1
-        shapes.append([math.log((counts.get((f, b, 1), 0) + 0.5) / (junk + 0.5 * k)) - math.log((counts.get((f, b, 0), 0) + 0.5) / (n - junk + 0.5 * k)) for b in range(k)] if junk and junk < n else [0.0] * k)
+        shapes.append([told(counts.get((f, b, 1), 0), counts.get((f, b, 0), 0), junk) for b in range(k)] if junk and junk < n else [0.0] * k)
     lexicon: frozenset[bytes] = frozenset()
     hits = [0.0] * (MOST_HITS + 1)
     if toxic and toxic < n:
@@ -145,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
 
         # How much a number of hits tells is counted in each half by the other half's words.
         seen = {(r["toxic"], r["k"]): r["count"] for r in sample.mapInArrow(held, "toxic int, k int").groupBy("toxic", "k").count().collect()}
-        hits = [math.log((seen.get((1, k), 0) + 0.5) / (toxic + 0.5 * len(hits))) - math.log((seen.get((0, k), 0) + 0.5) / (n - toxic + 0.5 * len(hits))) for k in range(len(hits))]
+        hits = [told(seen.get((1, k), 0), seen.get((0, k), 0), toxic) for k in range(len(hits))]
         # More hits never tell less.
         for k in range(1, len(hits)):
             hits[k] = max(hits[k], hits[k - 1])
