@@ -137,3 +137,18 @@ def best_overlap(cells: DataFrame, columns: DataFrame, keys: Sequence[str], leas
     overlap = F.least("x1", "c1") - F.greatest("x0", "c0")
     best = both.withColumn("overlap", overlap).where(F.col("overlap") > least)
     return best.groupBy(*cells.columns).agg(F.max_by(F.struct("column", "overlap"), F.struct("overlap", -F.col("column"))).alias("b")).select(*cells.columns, "b.*")
+
+
+def equal_sets(left: DataFrame, right: DataFrame, members: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows whose member arrays hold the same values, in any order. The right side's other columns must have other names."""
+    sign = F.array_join(F.array_sort(F.array_distinct(F.transform(members, lambda m: m.cast("string")))), "\x00")
+    other = right.withColumn("__set", sign).drop(members)
+    return left.withColumn("__set", sign).join(other, ["__set", *keys]).drop("__set")
+
+
+def faceted(rows: DataFrame, facets: dict[str, Sequence]) -> DataFrame:
+    """Rows that meet every facet that has values; a facet without values allows all. Conditions reach the scan."""
+    for column, values in facets.items():
+        if values:
+            rows = rows.where(F.col(column).isin(*values))
+    return rows

@@ -207,3 +207,18 @@ def percentile_floor(rows: DataFrame, keys: Sequence[str], value: str, share: fl
     x = counts.withColumn("__all", F.sum("__c").over(w)).withColumn("__end", F.sum("__c").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)))
     k = F.floor(F.col("__all") * share)
     return x.where((F.col("__all") >= least) & (F.col("__end") > k)).groupBy(*keys).agg(F.max(value).alias("floor_value"))
+
+
+def merge_intervals(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: float = 0) -> DataFrame:
+    """Unions of intervals that overlap or lie at most `gap` apart: start, end and how many they hold."""
+    w = _ordered(keys, [start, end])
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = rows.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + gap), 1).otherwise(0)).withColumn("__run", F.sum("__new").over(_so_far(keys, [start, end])))
+    return x.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("__run")
+
+
+def unique_slugs(rows: DataFrame, keys: Sequence[str], slug: Column, order: Sequence[str], name: str = "slug") -> DataFrame:
+    """rows with a slug that is unique within keys: equal ones get -2, -3, ... in order."""
+    x = rows.withColumn("__s", slug)
+    n = F.row_number().over(_ordered([*keys, "__s"], order))
+    return x.withColumn(name, F.when(n == 1, F.col("__s")).otherwise(F.concat_ws("-", "__s", n.cast("string")))).drop("__s")
