@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import as_table, shared_dir  # noqa: F401
+
 #: The white space that separates words and pads lines, in every operator here.
 SPACE = " \t\n\x0b\x0c\r"
+#: Cuts lineage: a DataFrame as a table in the shared folder.
+written = as_table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -17,24 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not where:
-        where = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-        spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: df as a Parquet table in the shared folder, read again with its own schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def batches_for(size: int, batch_bytes: int) -> int:
+    """How many batches texts of so many bytes are dealt to: of batch_bytes each, beyond a terabyte of 8 * sqrt(size), so that what a batch sends to a bucket doesn't shrink to nothing."""
+    return max(1, -(-size // max(batch_bytes, 8 * math.isqrt(size))))
 
 
 def ascii_lower(col: Column) -> Column:

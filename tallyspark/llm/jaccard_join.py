@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import written
+from .common import batches_for, written
 from .components import components
 from .words import gram_hashes, word_hashes
 
@@ -75,7 +75,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 def token_profiles(docs: DataFrame, shingle: int, threshold: int, batch_bytes: int) -> DataFrame:
     """(id, n, a, b, prefix, tokens): size and 128-bit digest of each set; where the document may have a partner, its prefix tokens that others hold, and all tokens that others hold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    batches = max(1, -(-size // batch_bytes))
+    batches = batches_for(size, batch_bytes)
     dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     edges = np.array([(i << (64 - DROPPED_BITS)) // batches for i in range(batches + 1)], np.uint64)
 

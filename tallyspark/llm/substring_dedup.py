@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .common import batches_for
 from .words import gram_hashes, measured, ordering_hashes
 
 
@@ -131,7 +132,7 @@ def common_grams(docs: DataFrame, window: int, gram: int, batch_bytes: int) -> t
     found = found.persist()
     total = found.where("total").agg(F.sum("n"), F.sum("bytes")).first()
     grams, size = total[0] or 0, total[1] or 0
-    batches = max(1, -(-size // batch_bytes))
+    batches = batches_for(size, batch_bytes)
     common = [r["h"] for r in found.where(~F.col("total") & (F.col("n") > grams / (16 * batches))).select("h").collect()]
     found.unpersist()
     return batches, np.sort(np.array(common, np.int64).view(np.uint64))
