@@ -14,7 +14,7 @@ unclosed elements end with the page, a cut last tag is dropped. Rows that repeat
 gives an empty result; columns of the result that the pages have too are replaced.
 
 Scale: the first pass shuffles only (host, hash) counts, pre-aggregated, and a host in a third of the rows is spread
-by hash. A host's template has at most subtrees-a-page / min_share entries. Up to ``broadcast_rows`` entries in all are
+by hash; the share is judged by a join that AQE splits. A host's template has at most subtrees-a-page / min_share entries. Up to ``broadcast_rows`` entries in all are
 broadcast; beyond that, pages join their host's entries under a salt, so that no host is one task.
 """
 
@@ -39,20 +39,17 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2)
         from .html_tree import read, subtrees
 
         for batch in batches:
-            count: dict[tuple[str, int | None], int] = {}
+            count: dict[tuple[str, int], int] = {}
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for h in (None, *subtrees(read(page or ""))):
+                for h in subtrees(read(page or "")):
                     count[host, h] = count.get((host, h), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], ["host", "h", "n"])
 
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     counts = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("h").isNull() | (F.col("n") >= min_pages))
-    return (
-        often.groupBy("host")
-        .agg(F.max(F.when(F.col("h").isNull(), F.col("n"))).alias("pages"), F.collect_list(F.when(F.col("h").isNotNull(), F.struct("h", "n"))).alias("found"))
-        .select("host", F.transform(F.filter("found", lambda x: x["n"] >= F.col("pages") * min_share), lambda x: x["h"]).alias("template"))
-        .where(F.size("template") > 0)
-    )
+    # What is rare on its host goes before a host's list is made, so the list is as long as a few pages have subtrees.
+    often = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
+    return often.groupBy("host").agg(F.collect_list("h").alias("template"))
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, broadcast_rows: int = 200_000) -> DataFrame:

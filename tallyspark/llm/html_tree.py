@@ -49,6 +49,7 @@ def read(page: str) -> list[tuple[str, object]]:
     """("text", str), ("open", Node) and ("close", Node) in page order; every opened node is closed. Nodes have their subtree's hash."""
     events: list[tuple[str, object]] = []
     stack: list[Node] = [Node("", {}, False)]
+    open_tags: dict[str, int] = {}
 
     def text(s: str) -> None:
         if s:
@@ -58,12 +59,15 @@ def read(page: str) -> list[tuple[str, object]]:
 
     def close() -> None:
         node = stack.pop()
+        open_tags[node.tag] -= 1
         label = f"{node.tag}\x00{node.attrs.get('class', '')}\x00{node.attrs.get('id', '')}\x00"
         node.hash = xxhash.xxh64_intdigest(label + "\x01".join(node.parts)) - 2**63
         stack[-1].parts.append(f"\x02{node.hash}")
         events.append(("close", node))
 
     def close_through(tags: tuple[str, ...], fences: frozenset[str] = frozenset()) -> None:
+        if not any(open_tags.get(t) for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
                 while len(stack) > i:
@@ -80,8 +84,6 @@ def read(page: str) -> list[tuple[str, object]]:
         if not name:
             continue
         if m[1] or m[4]:
-            if name == "p" and all(n.tag != "p" for n in stack):
-                continue
             close_through((name,))
             continue
         if name in ENDS_P:
@@ -90,6 +92,7 @@ def read(page: str) -> list[tuple[str, object]]:
             close_through(SIBLINGS[name], FENCES - frozenset(SIBLINGS[name]))
         node = Node(name, _attributes(m[3] or m[6] or ""), stack[-1].inside or stack[-1].tag in ("article", "main") or stack[-1].attrs.get("role") == "main")
         stack.append(node)
+        open_tags[name] = open_tags.get(name, 0) + 1
         events.append(("open", node))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[^>]*(?:>|\Z)", re.I).search(page, at)
