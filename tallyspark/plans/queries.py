@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import history, joins, results, scalars, sequences, structures  # noqa: F401
+from . import games, history, joins, results, scalars, sequences, structures  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
