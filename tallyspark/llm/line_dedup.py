@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, written
 
 
 def _lines(text: Column) -> Column:
@@ -45,6 +45,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("id", "h.a", "h.b")
     )
     often = long.groupBy("a", "b").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
+    # A table, so that the join stands between plain shuffles and AQE can broadcast it or split a hot hash.
+    often = written(often, "often")
     return long.join(often, ["a", "b"]).where(F.col("id") != F.col("keeper")).groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("drops"))
 
 
