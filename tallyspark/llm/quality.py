@@ -207,7 +207,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in heads))
     strength = {h: _strength(hosts, h, model[h]) for h in heads}
     rates = paths.select("host", "path", F.col("n").alias("pn"), *(F.col(h).alias(f"p_{h}") for h in heads)).join(hosts.select("host", F.col("n").alias("hn"), *(F.col(h).alias(f"h_{h}") for h in heads)), "host")
-    out = scored.join(rates, ["host", "path"])
+    # A table, so that AQE can broadcast it or split a hot host.
+    out = scored.join(written(rates, "rates"), ["host", "path"])
     for h in heads:
         m, own = strength[h], F.col(f"c_{h}")
         host = (m * model[h] + F.col(f"h_{h}") - own) / (m + F.col("hn") - 1)
