@@ -134,6 +134,8 @@ def open_groups(queries: DataFrame, members: DataFrame, threshold: int, shards:
         groups = {g: (m["q"].tolist(), m["n"].tolist(), [np.frombuffer(t, np.uint64) for t in m["tokens"]]) for g, m in held.groupby("g")}
         links = []
         for g, rows in asked.groupby("g"):
+            if g not in groups:
+                continue
             ids, sizes, sets = groups[g]
             union = np.unique(np.concatenate(sets))
             for q, n, raw in zip(rows["q"].tolist(), rows["n"].tolist(), rows["tokens"], strict=True):
@@ -196,9 +198,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = grouped.join(several, "t", "left_semi").join(matrix, "t").where((F.col("to") < F.col("c")) & (100 * F.col("hi") >= threshold * F.col("n")) & (threshold * F.col("lo") <= 100 * F.col("n")) & (F.col("most") >= threshold * F.col("n")) & (F.col("slack") >= threshold * F.col("lo"))).select("to", "q").distinct()
     asked = written(asked, "asked")
     members = classes.select("q").join(group_of, classes["q"] == group_of["node"], "left").select("q", F.coalesce("component", "q").alias("to")).join(asked.select("to").distinct(), "to", "left_semi")
-    sized = members.groupBy("to").agg(F.count("*").alias("k")).withColumn("parts", parts)
-    members = members.join(sized, "to").select(g(F.col("to"), F.pmod(F.xxhash64("q"), F.col("parts"))), "q")
-    asked = asked.join(sized, "to").select("q", "to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(g(F.col("to"), F.col("part")), "q")
+    # Cells of the matrix: chunks of a group's members by chunks of its queries, so that neither is bound to one task.
+    cut = lambda k, n: F.greatest(F.lit(1), F.ceil(F.col(k) / n)).cast("long")
+    sized = members.groupBy("to").agg(F.count("*").alias("k")).join(asked.groupBy("to").agg(F.count("*").alias("ask")), "to")
+    sized = written(sized.select("to", cut("k", chunk).alias("parts"), cut("ask", 8 * chunk).alias("asks")), "sized")
+    every_part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("q"), F.col(n))
+    members = members.join(sized, "to").select("to", "q", mine("parts").alias("part"), every_part("asks").alias("ask")).select(F.concat_ws(":", "to", "part", "ask").alias("g"), "q")
+    asked = asked.join(sized, "to").select("to", "q", every_part("parts").alias("part"), mine("asks").alias("ask")).select(F.concat_ws(":", "to", "part", "ask").alias("g"), "q")
     more = opened(asked, members, "matrix")
     reach = components(links.union(more))
 
