@@ -197,16 +197,20 @@ def latest_value(rows: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return rows.groupBy(*keys).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
 
 
-def percentile_floor(rows: DataFrame, keys: Sequence[str], value: str, share: float, least: int = 50) -> DataFrame:
+def percentile_floor(rows: DataFrame, keys: Sequence[str], value: str, share: float, least: int = 50, width: float = 1.0) -> DataFrame:
     """The value of the k-th best row, k = floor(n * share) counted from 0, of groups with at least `least` rows.
 
-    Distinct values are counted first, so what a group sorts is its values, not its rows.
+    Exact in two steps, so that no task sorts a whole group: counts by steps of `width` tell in which step the row lies, and only that step's
+    values are ordered.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    x = rows.where(F.col(value).isNotNull()).select(*keys, value, F.floor(F.col(value) / width).alias("__step"))
     w = Window.partitionBy(*keys)
-    x = counts.withColumn("__all", F.sum("__c").over(w)).withColumn("__end", F.sum("__c").over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)))
+    down = lambda c: w.orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)
+    steps = x.groupBy(*keys, "__step").agg(F.count("*").alias("__c")).withColumn("__all", F.sum("__c").over(w)).withColumn("__end", F.sum("__c").over(down("__step")))
     k = F.floor(F.col("__all") * share)
-    return x.where((F.col("__all") >= least) & (F.col("__end") > k)).groupBy(*keys).agg(F.max(value).alias("floor_value"))
+    hit = steps.where((F.col("__all") >= least) & (F.col("__end") > k) & (F.col("__end") - F.col("__c") <= k)).select(*keys, "__step", (k - F.col("__end") + F.col("__c")).alias("__rest"))
+    fine = x.join(hit, [*keys, "__step"]).groupBy(*keys, value, "__rest").agg(F.count("*").alias("__c")).withColumn("__end", F.sum("__c").over(down(value)))
+    return fine.where(F.col("__end") > F.col("__rest")).groupBy(*keys).agg(F.max(value).alias("floor_value"))
 
 
 def merge_intervals(rows: DataFrame, keys: Sequence[str], start: str, end: str, gap: float = 0) -> DataFrame:

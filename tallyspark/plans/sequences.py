@@ -243,7 +243,7 @@ SELECT grp, o_totalprice AS floor_value FROM n WHERE n >= 50 AND k = floor(n * 0
 """
 )
 def percentile_floor(spark, d):
-    return S.percentile_floor(orders(spark, d).withColumn("grp", F.col("o_custkey") % 20), ["grp"], "o_totalprice", 0.05)
+    return S.percentile_floor(orders(spark, d).withColumn("grp", F.col("o_custkey") % 20), ["grp"], "o_totalprice", 0.05, width=1000.0)
 
 
 @query(

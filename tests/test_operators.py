@@ -151,6 +151,16 @@ def test_percentile_floor_needs_a_pool(spark):
     assert rows(S.percentile_floor(x, ["g"], "v", 0.05)) == [("a", 56.0)]
 
 
+@pytest.mark.parametrize("width", [0.5, 7.0, 1000.0])
+def test_percentile_floor_against_sorting(spark, width):
+    r = random.Random(1)
+    data = [(g, float(r.randint(-20, 20))) for g in range(5) for _ in range(r.randint(50, 90))]
+    got = dict(rows(S.percentile_floor(spark.createDataFrame(data, "g int, v double"), ["g"], "v", 0.3, width=width)))
+    for g in range(5):
+        v = sorted((x for k, x in data if k == g), reverse=True)
+        assert got[g] == v[int(len(v) * 0.3)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(900, 901), (5, 5)]
     got = dict(rows(G.connected_components(spark.createDataFrame(edges, "a long, b long"))))
