@@ -302,3 +302,10 @@ def test_point_log(spark):
     m = P.side_metrics(P.by_side(x), ["match", "side"])
     assert rows(m.where("metric = 'points'"), "side", "part", "whole") == [("A", 9, 15), ("B", 6, 15)]
     assert rows(m.where("metric = 'deciding_game' AND side = 'A'"), "part", "whole") == [(3, 5)]
+
+
+def test_manifest_ignores_order_but_not_repeats(spark):
+    x = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("l", 1, "a")], "key string, v int, at string")
+    hashes = lambda d: dict(rows(I.manifest(d, F.col("key"), ["at"])))
+    assert hashes(x) == hashes(x.orderBy(F.desc("v")).withColumn("at", F.lit("later")))
+    assert hashes(x)["k"] != hashes(x.union(x.where("v = 1")))["k"] and hashes(x)["k"] != hashes(x)["l"]
