@@ -175,3 +175,22 @@ def latest_and_best(rows: DataFrame, keys: Sequence[str], latest: Sequence[Colum
 def entry_overview(rows: DataFrame, keys: Sequence[str], entry: str, team: str, player: str) -> DataFrame:
     """Distinct entries, teams and players, and how many rows have no team."""
     return rows.groupBy(*keys).agg(F.count_distinct(entry).alias("entries"), F.count_distinct(team).alias("teams"), F.count_distinct(player).alias("players"), count_where(F.col(team).isNull()).alias("without_team"))
+
+
+def champion_defeats(titles: DataFrame, losses: DataFrame, keys: Sequence[str], year: str, champion: str, loser: str, order: Sequence[Column]) -> DataFrame:
+    """For each edition the defeat of the previous year's champion, if there is one: the first by order."""
+    before = titles.select(*keys, (F.col(year) + 1).alias(year), F.col(champion).alias(loser))
+    return first_wins(losses.join(before, [*keys, year, loser], "left_semi"), [*keys, year], *order)
+
+
+def feeders(bridge: DataFrame, from_team: str, to_team: str, member: str, least: int = 2) -> DataFrame:
+    """The bridge seen from the other side: for each later team the earlier ones that sent at least so many members."""
+    return bridge.groupBy(to_team, from_team).agg(F.count_distinct(member).alias("members")).where(F.col("members") >= least)
+
+
+def oriented(matches: DataFrame, team: Column, a: str, b: str, won_by_a: Column) -> DataFrame:
+    """Matches in which a member of a team plays, from the team's side: side, other, won. team: an array of members; a and b: arrays of each side's players. Where both sides are the team's, the first counts."""
+    ours = lambda c: F.exists(c, lambda m: F.array_contains(team, m))
+    one = matches.where(ours(a)).withColumn("side", F.col(a)).withColumn("other", F.col(b)).withColumn("won", won_by_a)
+    two = matches.where(ours(b) & ~ours(a)).withColumn("side", F.col(b)).withColumn("other", F.col(a)).withColumn("won", ~won_by_a)
+    return one.unionByName(two)

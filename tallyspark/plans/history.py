@@ -251,3 +251,57 @@ def facet_filter(spark, d):
 
     x = faceted(orders(spark, d), {"o_orderstatus": ["F", "O"], "o_orderpriority": ["1-URGENT"], "yr": [1997, 1999], "o_custkey": []})
     return x.select("o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query(
+    """
+WITH t AS (SELECT o_custkey % 20 AS cup, year(o_orderdate)::BIGINT AS yr, max(o_custkey) AS champion FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+l AS (SELECT o_custkey % 20 AS cup, year(o_orderdate)::BIGINT AS yr, o_custkey AS loser, o_orderkey FROM orders WHERE o_orderstatus = 'O'),
+k AS (SELECT l.*, row_number() OVER (PARTITION BY l.cup, l.yr ORDER BY o_orderkey) AS k FROM l JOIN t ON t.cup = l.cup AND t.yr + 1 = l.yr AND t.champion = l.loser)
+SELECT cup, yr, loser, o_orderkey FROM k WHERE k = 1
+"""
+)
+def champion_defeats(spark, d):
+    o = orders(spark, d).withColumn("cup", F.col("o_custkey") % 20)
+    titles = o.where("o_orderstatus = 'F'").groupBy("cup", "yr").agg(F.max("o_custkey").alias("champion"))
+    losses = o.where("o_orderstatus = 'O'").select("cup", "yr", F.col("o_custkey").alias("loser"), "o_orderkey")
+    return H.champion_defeats(titles, losses, ["cup"], "yr", "champion", "loser", [F.asc("o_orderkey")]).select("cup", "yr", "loser", "o_orderkey")
+
+
+@query(
+    """
+SELECT l_suppkey AS to_team, l_partkey % 25 AS from_team, count(DISTINCT l_orderkey) AS members FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_orderkey) >= 2
+"""
+)
+def feeder_groups(spark, d):
+    x = lines(spark, d).select(F.col("l_suppkey").alias("to_team"), (F.col("l_partkey") % 25).alias("from_team"), "l_orderkey")
+    return H.feeders(x, "from_team", "to_team", "l_orderkey")
+
+
+@query(
+    """
+WITH m AS (SELECT o_orderkey, [o_custkey % 30, o_custkey % 7] AS a, [o_orderkey % 30, o_orderkey % 11] AS b, o_orderstatus = 'F' AS w FROM orders WHERE o_orderstatus <> 'P'),
+t AS (SELECT *, list_has_any(a, [3, 5, 8]) AS ia, list_has_any(b, [3, 5, 8]) AS ib FROM m)
+SELECT o_orderkey, CASE WHEN ia THEN w ELSE NOT w END AS won FROM t WHERE ia OR ib
+"""
+)
+def team_oriented(spark, d):
+    o = orders(spark, d).where("o_orderstatus <> 'P'")
+    m = o.select("o_orderkey", F.array(F.col("o_custkey") % 30, F.col("o_custkey") % 7).alias("a"), F.array(F.col("o_orderkey") % 30, F.col("o_orderkey") % 11).alias("b"), (F.col("o_orderstatus") == "F").alias("w"))
+    return H.oriented(m, F.array(*(F.lit(i).cast("long") for i in (3, 5, 8))), "a", "b", F.col("w")).select("o_orderkey", "won")
+
+
+@query(
+    """
+WITH s AS (SELECT p_partkey // 8 AS draw, p_partkey % 8 AS slot, p_partkey AS entry FROM part)
+SELECT draw, r AS round, slot >> r AS slot, min(entry) AS entry FROM s, range(0, 4) t(r) GROUP BY draw, r, slot >> r
+"""
+)
+def draw_winners(spark, d):
+    """Draws of eight in which the smaller number always wins: results for all who could meet, then the rounds."""
+    from ..operators.graph import draw_winners as rounds
+
+    s = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 8).alias("draw"), (F.col("p_partkey") % 8).alias("slot"), F.col("p_partkey").alias("entry"))
+    field = s.groupBy("draw").agg(F.collect_list("entry").alias("entries"))
+    won = field.select("draw", "entries", F.explode("entries").alias("winner")).select("draw", "winner", F.explode("entries").alias("loser")).where("winner < loser")
+    return rounds(s, won, ["draw"], 3).select("draw", F.col("round").cast("long").alias("round"), "slot", "entry")
