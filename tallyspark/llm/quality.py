@@ -92,19 +92,23 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, word before it) of toxic documents, and of each word how many toxic and other documents hold it, by half of the sample."""
+        types = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         for batch in batches:
-            near: set[tuple[int, bytes, bytes]] = set()
-            held: dict[tuple[int, int], dict[bytes, int]] = {(h, x): {} for h in (0, 1) for x in (0, 1)}
-            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
-                ws = plain_words((text or "").encode().split())
-                if toxic:
-                    near |= {(half, w, b) for w, b in zip(ws, [b"", *ws], strict=False)}
-                own = held[half, toxic]
-                for w in set(ws):
-                    own[w] = own.get(w, 0) + 1
-            rows = [(h, w, b, 0, 0) for h, w, b in near] + [(h, w, None, 0, n) if x else (h, w, None, n, 0) for (h, x), own in held.items() for w, n in own.items()]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["half", "w", "before", "clean", "bad"])
+            # A few documents at a time: what they have is small, and Spark adds it up before it shuffles.
+            for at in range(0, batch.num_rows, 50):
+                part = batch.slice(at, 50)
+                near: set[tuple[int, bytes, bytes]] = set()
+                held: dict[tuple[int, int], dict[bytes, int]] = {(h, x): {} for h in (0, 1) for x in (0, 1)}
+                for text, toxic, half in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
+                    ws = plain_words((text or "").encode().split())
+                    if toxic:
+                        near |= {(half, w, b) for w, b in zip(ws, [b"", *ws], strict=False)}
+                    own = held[half, toxic]
+                    for w in set(ws):
+                        own[w] = own.get(w, 0) + 1
+                rows = [(h, w, b, 0, 0) for h, w, b in near] + [(h, w, None, 0, n) if x else (h, w, None, n, 0) for (h, x), own in held.items() for w, n in own.items()]
+                cols = list(zip(*rows, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["half", "w", "before", "clean", "bad"])
 
     totals = sample.agg(F.count("*"), F.sum("junk"), F.sum("toxic")).first()
     n, junk, toxic = totals[0], totals[1] or 0, totals[2] or 0
