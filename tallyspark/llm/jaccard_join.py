@@ -8,7 +8,8 @@ threshold % of its set with whatever it links to, the tokens that no other docum
 1. Groups. Equal sets are one class. Classes that share a prefix token are measured against that one of them which
    has fewest rarer tokens, as it is the nearest to all; links make groups, so a family of near copies costs one
    comparison each, not all pairs.
-2. Token-group matrix. Each group, in chunks of at most ``chunk`` members, stores its token union. A class is
+2. Token-group matrix. Each group, in chunks of about ``chunk`` members, stores its token union and meets its queries
+   in chunks of 8 * ``chunk``. A class is
    a query to the groups of other components that share a prefix token and have members of a fitting size. Where two
    linked sets first meet in the global order, both have as many tokens left as the link needs, so a token at which
    either has fewer left asks nothing. Where
