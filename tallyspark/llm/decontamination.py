@@ -2,15 +2,15 @@
 
 Texts become template words: numbers, names (capitalised words inside a sentence) and units are typed placeholders, the
 rest is lower-cased without punctuation. Windows of ``window`` template words are hash-joined: all those of the benchmark
-items, and of each document those that start at every ``stride``-th word, so that any ``window + stride - 1`` words in a
-row that a document shares with an item bring them together. Then the item's whole template is laid on the document
+items and of the documents, at every word, so that any ``window`` words in a row that a document shares with an item bring
+them together, wherever they stand; an item shorter than a window is looked up by its whole template. Then the item's whole template is laid on the document
 where the windows met: it leaks if at least ``min_match`` of its words agree and the slots are consistent, that is, each
 value of the item stands for one value of the document and the other way round. This catches verbatim
 passages as well as questions with other numbers, names or units.
 
-Edge cases: a null or empty text has no windows. Items of fewer than ``window + stride - 1`` template words, or with
-under half a window of words that aren't placeholders, tell too little and match nothing. Rows without an id (on either
-side) are left out. Rows that repeat give one result for each id and item. Empty tables give an empty result.
+Edge cases: a null or empty text has no windows. Where under half a window of the words that agree aren't placeholders, the
+template alone tells too little, and the values have to be the item's own. An item of a few words so leaks wherever a
+document holds them in a row. Rows without an id (on either side) are left out. Rows that repeat give one result for each id and item. Empty tables give an empty result.
 
 Scale: the texts are read, canonicalised and probed in one pass without a shuffle. The benchmark's windows are broadcast up
 to ``broadcast_rows``, beyond that they are shuffled by hash. Only documents that met a window are read again.
@@ -48,27 +48,34 @@ def _is_slot(word: Column) -> Column:
     return word.rlike(f"^[{NUMBER}-{UNIT}]")
 
 
-def _window_hashes(words: Column, window: int, stride: int) -> Column:
-    starts = F.when(F.size(words) >= window, F.sequence(F.lit(0), F.size(words) - window, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i + 1, window)))
+def _windows(words: Column, window: int) -> Column:
+    """For each word, a struct of the ``window`` words from there on; null beyond the end."""
+    return F.arrays_zip(*(F.slice(words, j + 1, F.greatest(F.size(words), F.lit(0))).alias(f"c{j}") for j in range(window)))
+
+
+def _hash(length: int) -> Column:
+    """Hash of the first words of a window; null where the text ends before. Plain columns, as these compile and lambdas don't."""
+    return F.when(F.col(f"x.c{length - 1}").isNotNull(), F.xxhash64(*(f"x.c{j}" for j in range(length))))
 
 
 def _overlap(words: Column, start: Column, length: Column) -> Column:
     return F.when(length > 0, F.slice(words, start + 1, F.greatest(length, F.lit(1)))).otherwise(F.array().cast("array<string>"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 6, stride: int = 4, min_match: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 6, min_match: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id_col, item_col, n_words, n_equal, n_slots, changed): for each document and each item that it leaks, how far the templates agree and how many slots have another value."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).alias("item"), template_words(F.col(item_text_col)).alias("iw"), template_words(F.col(item_text_col), True).alias("iv"))
-    literal = F.size(F.filter("iw", lambda w: ~_is_slot(w)))
-    items = written(items.where(F.col("item").isNotNull() & (F.size("iw") >= window + stride - 1) & (literal >= window // 2)), "items")
-    starts = items.select("item", "iw", F.posexplode(_window_hashes(F.col("iw"), window, 1)).alias("at", "h"))
-    starts = starts.where(F.size(F.filter(F.slice("iw", F.col("at") + 1, window), lambda w: ~_is_slot(w))) >= window // 2).select("h", "item", "at")
+    items = written(items.where(F.col("item").isNotNull() & (F.size("iw") > 0)), "items")
+    # At most window lengths: those of items that are shorter, and window.
+    lengths = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(window))).distinct().collect()) or [window]
+    starts = items.select("item", F.least(F.size("iw"), F.lit(window)).alias("length"), F.posexplode(_windows(F.col("iw"), window)).alias("at", "x"))
+    starts = starts.select(F.coalesce(*(F.when(F.col("length") == n, _hash(n)) for n in lengths)).alias("h"), "item", "at").where("h is not null")
     if starts.count() <= broadcast_rows:
         starts = F.broadcast(starts)
-    probes = texts.select("id", template_words(F.col("text")).alias("w")).select("id", F.posexplode(_window_hashes(F.col("w"), window, stride)).alias("k", "h"))
-    met = written(probes.join(starts, "h").select("id", "item", (F.col("k") * stride - F.col("at")).alias("d")).distinct(), "met")
+    probes = texts.select("id", template_words(F.col("text")).alias("w")).select("id", F.posexplode(_windows(F.col("w"), lengths[-1])).alias("k", "x"))
+    probes = probes.select("id", "k", _hash(lengths[0]).alias("h") if len(lengths) == 1 else F.explode(F.array(*map(_hash, lengths))).alias("h")).where("h is not null")
+    met = written(probes.join(starts, "h").select("id", "item", (F.col("k") - F.col("at")).alias("d")).distinct(), "met")
     ids = met.select("id").distinct()
     again = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
     laid = again.select("id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v")).join(met, "id").join(items, "item")
@@ -82,5 +89,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     consistent = (one(lambda x: F.struct(x["p"], x["q"])) == one(lambda x: x["p"])) & (one(lambda x: x["p"]) == one(lambda x: x["q"]))
     laid = laid.where((F.col("n_equal") >= min_match * F.col("n_words")) & consistent)
     laid = laid.withColumn("n_slots", F.size("slots").cast("long")).withColumn("changed", F.size(F.filter("slots", lambda x: x["p"] != x["q"])).cast("long")).drop("slots")
+    laid = laid.where((F.col("n_equal") - F.col("n_slots") >= window // 2) | (F.col("changed") == 0))
     best = laid.groupBy("id", "item").agg(F.max(F.struct("n_equal", "n_words", "n_slots", "changed")).alias("best"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "best.n_words", "best.n_equal", "best.n_slots", "best.changed")

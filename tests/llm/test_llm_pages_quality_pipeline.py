@@ -85,6 +85,20 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in got.collect()] == [1]
 
 
+def test_leaks_at_every_offset_and_of_any_item(spark):
+    from tallyspark.llm.decontamination import leaks
+
+    item = "these are fifteen plain lower words which the reader may find anywhere in some document"
+    words = item.split()
+    changed = " ".join(w if i not in (4, 11) else "other" for i, w in enumerate(words))
+    docs = [(k, " ".join(["pad"] * k + [changed, "pad"])) for k in range(8)]
+    docs += [(20, "before 12 + 7 - 3 + 44 = 60 after"), (21, "before 13 + 7 - 3 + 44 = 61 after"), (22, "we ask what is 5 plus 6 now"), (23, "we ask what is 8 plus 9 now"), (24, "we ask what was 8 plus 9 now")]
+    items = [(1, item), (2, "12 + 7 - 3 + 44 = 60"), (3, "what is 5 plus 6"), (4, ""), (5, "21 7 3 44 60 and 81 then 9 10 11 12 13 14")]
+    docs.append((25, f"pad pad {items[-1][1]} pad"))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 1) for k in range(8)} | {(20, 2), (22, 3), (23, 3), (25, 5)}
+
+
 def test_leaks_against_a_direct_search(spark, small):
     from tallyspark.llm.decontamination import leaks
 
