@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation; DataFrame functions only.
 
-Texts become template words: numbers, names (capitalised words inside a sentence) and units are typed placeholders, the
+Texts become template words: numbers, names (runs of capitalised words inside a sentence) and units are typed placeholders, the
 rest is lower-cased without punctuation. Windows of ``window`` template words are hash-joined: all those of the benchmark
 items and of the documents, at every word, so that any ``window`` words in a row that a document shares with an item bring
 them together, wherever they stand; an item shorter than a window is looked up by its whole template. Then the item's whole template is laid on the document
 where the windows met: it leaks if at least ``min_match`` of its words agree and the slots are consistent, that is, each
-value of the item stands for one value of the document and the other way round. This catches verbatim
+value of the item stands for one value of the document and the other way round. Words count that agree at one offset, or
+those of the runs of met windows that follow each other in both texts, whatever their offsets, so words may be put in or
+left out. A run of ``passage`` words with consistent slots is a leak by itself. This catches verbatim
 passages as well as questions with other numbers, names or units.
 
 Edge cases: a null or empty text has no windows. Where under half a window of the words that agree aren't placeholders, the
@@ -18,27 +20,32 @@ to ``broadcast_rows``, beyond that they are shuffled by hash. Only documents tha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
 NUMBER, NAME, UNIT = "", "", ""
-_NAMES = r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}[\p{L}\p{N}]*"
+#: Stands for the spaces inside a name.
+JOINT = ""
+# A run of capitalised words inside a sentence is one name.
+_RUNS = r"(\G(?!\A)|(?<=[\p{Ll}\p{N},;:)] ))(\p{Lu}[\p{L}\p{N}]*) (?=\p{Lu}\p{Ll})"
+_NAMES = f"(?<=[\\p{{Ll}}\\p{{N}},;:)] )\\p{{Lu}}[\\p{{L}}\\p{{N}}{JOINT}]*"
 _NUMBERS = r"\p{N}+(?:[.,:/]\p{N}+)*"
 # Units that may follow a number.
 UNITS = "kg|mg|g|km/h|km|cm|mm|ml|mph|mi|m|ft|lbs|lb|oz|hours|hour|hrs|hr|h|minutes|minute|mins|min|seconds|second|sec|ms|s|days|day|weeks|week|years|year|usd|eur|gbp|dollars|euros|percent|%|°c|°f|°|$|€|£"
 _UNITS = f"(?i)({NUMBER}[^ ]*) +(?:{UNITS.replace('$', chr(92) + '$')})(?![\\p{{L}}\\p{{N}}])"
-_PUNCTUATION = f"[^\\p{{L}}\\p{{N}}{NUMBER}-{UNIT}]+(?!\\p{{N}})|(?<!\\p{{N}})[^\\p{{L}}\\p{{N}}{NUMBER}-{UNIT}]+"
+_PUNCTUATION = f"[^\\p{{L}}\\p{{N}}{NUMBER}-{JOINT}]+(?!\\p{{N}})|(?<!\\p{{N}})[^\\p{{L}}\\p{{N}}{NUMBER}-{JOINT}]+"
 
 
 def template_words(text: Column, values: bool = False) -> Column:
     """The template words of a text; with values, a slot is its placeholder followed by what stood there."""
     kept = "$0" if values else ""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{UNIT}]", " ")
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NUMBER}-{JOINT}]", " ")
+    s = F.regexp_replace(s, _RUNS, f"$2{JOINT}")
     s = F.regexp_replace(s, _NAMES, f" {NAME}{kept} ")
     # A kept name may hold digits; they are no numbers.
-    s = F.regexp_replace(s, f"(?<!{NAME}[\\p{{L}}\\p{{N}}]{{0,40}}){_NUMBERS}" if values else _NUMBERS, f" {NUMBER}{kept} ")
+    s = F.regexp_replace(s, f"(?<!{NAME}[\\p{{L}}\\p{{N}}{JOINT}]{{0,120}}){_NUMBERS}" if values else _NUMBERS, f" {NUMBER}{kept} ")
     s = F.regexp_replace(s, _UNITS, f"$1 {UNIT} ")
     s = F.btrim(F.regexp_replace(F.lower(s), _PUNCTUATION, " "))
     return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, " "))
@@ -58,11 +65,45 @@ def _hash(length: int) -> Column:
     return F.when(F.col(f"x.c{length - 1}").isNotNull(), F.xxhash64(*(f"x.c{j}" for j in range(length))))
 
 
-def _overlap(words: Column, start: Column, length: Column) -> Column:
-    return F.when(length > 0, F.slice(words, start + 1, F.greatest(length, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+_PART = "struct<k: int, at: int, n: int>"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 6, min_match: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def _chain(runs: Column) -> Column:
+    """The parts of runs (k, at, n; sorted) that cover most words of the item, each after the one before it in document and item; overlaps count once."""
+
+    def longer(c: Column, r: Column) -> Column:
+        over = F.greatest(F.lit(0), c["ie"] - r["at"], c["ke"] - r["k"])
+        part = F.struct((r["k"] + over).alias("k"), (r["at"] + over).alias("at"), (r["n"] - over).alias("n"))
+        return F.struct((c["total"] + part["n"]).alias("total"), (part["at"] + part["n"]).alias("ie"), (part["k"] + part["n"]).alias("ke"), F.concat(c["parts"], F.array(part)).alias("parts"))
+
+    def add(chains: Column, r: Column) -> Column:
+        new = F.array_max(F.filter(F.transform(chains, lambda c: longer(c, r)), lambda c: c["parts"][F.size(c["parts"]) - 1]["n"] > 0))
+        # A chain that ends later in both and covers no more than another is of no use.
+        beaten = lambda b: F.exists(chains, lambda c: (c["ie"] <= b["ie"]) & (c["ke"] <= b["ke"]) & (c["total"] >= b["total"]))
+        return F.concat(chains, F.filter(F.array(new), lambda b: ~beaten(b)))
+
+    none = F.array(F.struct(F.lit(0).alias("total"), F.lit(0).alias("ie"), F.lit(0).alias("ke"), F.array().cast(f"array<{_PART}>").alias("parts")))
+    return F.array_max(F.aggregate(runs, none, add))["parts"]
+
+
+def _part(k: Column, at: Column, n: Column) -> Column:
+    return F.struct(k.cast("int").alias("k"), at.cast("int").alias("at"), n.cast("int").alias("n"))
+
+
+def _candidates(met: DataFrame, window: int, passage: int) -> DataFrame:
+    """(id, item, parts, own): what to lay on each document: the whole item at each offset, the chain of the runs where there is more than one, and, with own, each long run."""
+    w = Window.partitionBy("id", "item", "d").orderBy("at")
+    runs = met.withColumn("d", F.col("k") - F.col("at")).withColumn("run", F.col("at") - F.row_number().over(w))
+    runs = runs.groupBy("id", "item", "d", "run").agg(F.min("k").alias("k"), F.min("at").alias("at"), F.count("*").alias("n"), F.min("length").alias("length"))
+    runs = written(runs.select("id", "item", _part(F.col("k"), F.col("at"), F.col("n") + F.col("length") - 1).alias("r")), "runs")
+    d = F.col("r.k") - F.col("r.at")
+    whole = runs.select("id", "item", F.array(_part(F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0)), F.lit(2**31 - 1))).alias("parts")).distinct()
+    chains = runs.groupBy("id", "item").agg(F.sort_array(F.collect_list("r")).alias("runs")).where(F.size("runs") > 1).select("id", "item", _chain(F.col("runs")).alias("parts"))
+    long = runs.where(F.col("r.n") >= passage).select("id", "item", F.array("r").alias("parts"), F.lit(True).alias("own"))
+    return whole.unionByName(chains).withColumn("own", F.lit(False)).unionByName(long)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 6, min_match: float = 0.8, passage: int = 13, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id_col, item_col, n_words, n_equal, n_slots, changed): for each document and each item that it leaks, how far the templates agree and how many slots have another value."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     items = benchmark.select(F.col(item_col).alias("item"), template_words(F.col(item_text_col)).alias("iw"), template_words(F.col(item_text_col), True).alias("iv"))
@@ -70,24 +111,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     # At most window lengths: those of items that are shorter, and window.
     lengths = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(window))).distinct().collect()) or [window]
     starts = items.select("item", F.least(F.size("iw"), F.lit(window)).alias("length"), F.posexplode(_windows(F.col("iw"), window)).alias("at", "x"))
-    starts = starts.select(F.coalesce(*(F.when(F.col("length") == n, _hash(n)) for n in lengths)).alias("h"), "item", "at").where("h is not null")
+    starts = starts.select(F.coalesce(*(F.when(F.col("length") == n, _hash(n)) for n in lengths)).alias("h"), "item", "at", "length").where("h is not null")
     if starts.count() <= broadcast_rows:
         starts = F.broadcast(starts)
     probes = texts.select("id", template_words(F.col("text")).alias("w")).select("id", F.posexplode(_windows(F.col("w"), lengths[-1])).alias("k", "x"))
     probes = probes.select("id", "k", _hash(lengths[0]).alias("h") if len(lengths) == 1 else F.explode(F.array(*map(_hash, lengths))).alias("h")).where("h is not null")
-    met = written(probes.join(starts, "h").select("id", "item", (F.col("k") - F.col("at")).alias("d")).distinct(), "met")
+    met = written(probes.join(starts, "h").select("id", "item", "k", "at", "length").distinct(), "met")
     ids = met.select("id").distinct()
     again = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
-    laid = again.select("id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v")).join(met, "id").join(items, "item")
-    skip, d = F.greatest(-F.col("d"), F.lit(0)), F.greatest(F.col("d"), F.lit(0))
-    length = F.least(F.size("iw") - skip, F.size("w") - d)
-    pair = F.arrays_zip(_overlap(F.col("iw"), skip, length).alias("a"), _overlap(F.col("w"), d, length).alias("b"), _overlap(F.col("iv"), skip, length).alias("p"), _overlap(F.col("v"), d, length).alias("q"))
-    laid = laid.withColumn("same", F.filter(pair, lambda x: x["a"] == x["b"]))
+    laid = again.select("id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v")).join(_candidates(met, window, passage), "id").join(items, "item")
+
+    def pairs(part: Column) -> Column:
+        n = F.least(part["n"], F.size("iw") - part["at"], F.size("w") - part["k"])
+        cut = lambda words, start: F.slice(words, start + 1, n)
+        return F.arrays_zip(cut("iw", part["at"]).alias("a"), cut("w", part["k"]).alias("b"), cut("iv", part["at"]).alias("p"), cut("v", part["k"]).alias("q"))
+
+    laid = laid.withColumn("same", F.filter(F.flatten(F.transform("parts", pairs)), lambda x: x["a"] == x["b"]))
     slots = F.filter("same", lambda x: _is_slot(x["a"]))
-    laid = laid.select("id", "item", F.size("iw").cast("long").alias("n_words"), F.size("same").cast("long").alias("n_equal"), slots.alias("slots"))
+    laid = laid.select("id", "item", "own", F.size("iw").cast("long").alias("n_words"), F.size("same").cast("long").alias("n_equal"), slots.alias("slots"))
     one = lambda f: F.size(F.array_distinct(F.transform("slots", f)))
     consistent = (one(lambda x: F.struct(x["p"], x["q"])) == one(lambda x: x["p"])) & (one(lambda x: x["p"]) == one(lambda x: x["q"]))
-    laid = laid.where((F.col("n_equal") >= min_match * F.col("n_words")) & consistent)
+    laid = laid.where((F.col("own") | (F.col("n_equal") >= min_match * F.col("n_words"))) & consistent)
     laid = laid.withColumn("n_slots", F.size("slots").cast("long")).withColumn("changed", F.size(F.filter("slots", lambda x: x["p"] != x["q"])).cast("long")).drop("slots")
     laid = laid.where((F.col("n_equal") - F.col("n_slots") >= window // 2) | (F.col("changed") == 0))
     best = laid.groupBy("id", "item").agg(F.max(F.struct("n_equal", "n_words", "n_slots", "changed")).alias("best"))

@@ -99,6 +99,29 @@ def test_leaks_at_every_offset_and_of_any_item(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(k, 1) for k in range(8)} | {(20, 2), (22, 3), (23, 3), (25, 5)}
 
 
+def test_leaks_with_words_put_in_or_left_out_and_of_half_an_item(spark):
+    from tallyspark.llm.decontamination import leaks
+
+    item = "when the old baker Bob brought 12 loaves to the market on the hill he sold 7 of them before the rain came down in the late morning"
+    w = item.split()
+    docs = {
+        1: " ".join([*w[:13], "really", *w[13:]]),
+        2: " ".join([*w[:13], *w[14:]]),
+        3: item.replace("Bob", "Anna Maria Lopez").replace("12", "30"),
+        4: " ".join(w[14:]),  # half of it
+        5: " ".join(w[:8]),
+        6: " ".join([*w[13:], *w[:13]]).replace("the", "a", 9),
+        7: " ".join(w[:13]) + " and again " + " ".join(w[:13]),
+    }
+    docs = [(k, f"pad {x} pad") for k, x in docs.items()]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, passage=13).collect()}
+    assert {1, 2, 3, 4} <= set(got) and not {5, 6} & set(got)
+    assert got[3]["n_equal"] == got[3]["n_words"] and got[3]["changed"] == 2
+    whole = {r["doc_id"]: r["n_equal"] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), items, passage=1000).collect()}
+    assert set(whole) == {1, 2, 3} and whole[1] == len(w) and whole[2] == len(w) - 1
+
+
 def test_leaks_against_a_direct_search(spark, small):
     from tallyspark.llm.decontamination import leaks
 
