@@ -57,7 +57,7 @@ def opposite_closure(pairs: DataFrame, known: DataFrame, values: tuple[str, str]
 def depths(edges: DataFrame, nodes: DataFrame, group: Sequence[str], most: int = 64) -> DataFrame:
     """nodes with depth: the longest path of (node, previous) edges that ends there, 0 for those without one. Nodes on a cycle, or after one, have none."""
     state = as_table(nodes.select(*group, "node").distinct().join(edges.select(*group, "node").distinct(), [*group, "node"], "left_anti").withColumn("depth", F.lit(0)), "depths")
-    for d in range(1, most + 1):
+    for d in range(1, most + 2):
         # A node is ready once all of its predecessors are done.
         e = edges.select(*group, "node", "previous").distinct().join(state.select(*group, "node"), [*group, "node"], "left_anti")
         done = state.select(*group, F.col("node").alias("previous"), "depth")
@@ -65,6 +65,8 @@ def depths(edges: DataFrame, nodes: DataFrame, group: Sequence[str], most: int =
         ready = as_table(ready.select(*group, "node", F.lit(d).alias("depth")), "ready")
         if ready.isEmpty():
             break
+        if d > most:
+            raise RuntimeError("depths did not settle")
         state = as_table(state.unionByName(ready), "depths")
     return nodes.select(*group, "node").distinct().join(state, [*group, "node"], "left")
 

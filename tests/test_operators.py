@@ -186,6 +186,14 @@ def test_depths_leave_cycles_out(spark):
     assert rows(G.depths(edges, nodes, ["f"]), "node", "depth") == [("a", 0), ("b", 1), ("c", 2), ("d", None), ("e", None), ("f", 0)]
 
 
+def test_depths_of_too_long_a_chain_are_an_error(spark):
+    nodes = spark.createDataFrame([("x", i) for i in range(5)], "f string, node int")
+    edges = nodes.where("node > 0").withColumn("previous", F.col("node") - 1)
+    assert rows(G.depths(edges, nodes, ["f"], most=4), "node", "depth") == [(i, i) for i in range(5)]
+    with pytest.raises(RuntimeError):
+        G.depths(edges, nodes, ["f"], most=3)
+
+
 def test_draw_with_a_seed_and_a_packed_pair(spark):
     e = spark.createDataFrame([(1, 1, "seed"), (1, 2, "packing"), (1, 3, "packing")], "d int, entry int, kind string")
     slots = G.draw_slots(e, ["d"], "entry", "kind")
