@@ -1,8 +1,9 @@
 """Byte-level BPE ids of whole texts, those that the `tokenizers` library gives for a vocabulary file.
 
 Where the file is a plain byte-level BPE whose merges stand in order of their ids, `tiktoken` computes the same ids from the same
-vocabulary in a fraction of the time; texts with characters whose class differs between Unicode versions, which the two
-libraries might cut differently, and files of any other kind go to `tokenizers` itself.
+vocabulary in a fraction of the time. Texts with characters whose class differs between Unicode versions, which the two
+libraries might cut differently, texts that spell an added token, texts with a run of white space too long for `tiktoken`'s
+regex engine (it gives up after a million steps back), and files of any other kind go to `tokenizers` itself, at its defaults.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Fixed value: how the byte-level pre-tokenizer cuts a text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Anything but Latin, Greek, Cyrillic, common punctuation, kana, Han and Hangul of the first Unicode versions.
-_ODD = re.compile("[^\x00-ɏͰ-ͳΆ-ώЀ-џ‐-‧‰-⁞€、-】ぁ-ゔァ-ヺ一-龥가-힣]")
+_ODD = "[^\x00-ɏͰ-ͳΆ-ώЀ-џ‐-‧‰-⁞€、-】ぁ-ゔァ-ヺ一-龥가-힣]"
+#: Longest run of white space that may take the fast path.
+_RUN = 1000
 
 
 def _bytes_of() -> dict[str, int]:
@@ -49,9 +52,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            ranks = _ranks(json.load(f))
+            spec = json.load(f)
+        ranks = _ranks(spec)
+        self.slow = re.compile("|".join([_ODD, rf"\s{{{_RUN}}}", *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))
         self.fast = None
         if ranks:
             import tiktoken
@@ -59,7 +63,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is None or _ODD.search(text):
+        if self.fast is None or self.slow.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -206,7 +206,6 @@ def test_packing(spark, vocabulary, limit, block):
     from tallyspark.llm.packing import pack_pieces, token_pieces
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     rows = [(k, x) for k, (_, x) in enumerate(corpus(5))] + [(500, "<|endoftext|> ’s don't   \u00a0 🙂 १२ 𝒳"), (501, None)]
     out = [r.asDict() for r in pack_pieces(token_pieces(frame(spark, rows), vocabulary, max_tokens=limit), limit, 2, block).collect()]
     for i, x in rows:
@@ -238,7 +237,6 @@ def test_encoder_equals_the_tokenizers_library(vocabulary):
     from tallyspark.llm.token_ids import encoder
 
     t = Tokenizer.from_file(vocabulary)
-    t.encode_special_tokens = True
     r = random.Random(1)
     pool = [chr(c) for c in [*range(0x250), *range(0x370, 0x460), *range(0x2000, 0x2070), 0x3041, 0x4E00, 0xAC00, 0x1F600, 0x1D4B3, 0xFEFF, 0x600]] + [" ", "\n", "'s", "'ll", "\u00a0", "<|endoftext|>"] * 30
     texts = ["".join(r.choice(pool) for _ in range(r.randrange(80))) for _ in range(1500)] + ["", "a" * 50_000]
@@ -246,6 +244,24 @@ def test_encoder_equals_the_tokenizers_library(vocabulary):
     assert encoder(vocabulary).encode(texts) == want
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\r\n", "\t", "a", "\u00e9", "7", "-", "\u4e00", "a <|endoftext|> "])
+def test_encoder_takes_runs_of_any_length(vocabulary, unit):
+    from tokenizers import Tokenizer
+
+    from tallyspark.llm.token_ids import encoder
+
+    text = unit * (2_000_000 // len(unit))
+    assert encoder(vocabulary).ids(text) == Tokenizer.from_file(vocabulary).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_long_runs(spark, vocabulary):
+    from tallyspark.llm.packing import pack_documents
+
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, " \n" * 500_000), (4, "x" * 1_000_000), (5, "two words")]
+    got = pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("m")).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3, 4, 5} and all(r["m"] <= 2048 for r in got)
+
+
 def test_best_fit_takes_the_fullest_bin():
     from tallyspark.llm.packing import best_fit
 
