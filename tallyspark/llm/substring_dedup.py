@@ -2,7 +2,8 @@
 
 A window is ``window`` consecutive words of one document. Its minimiser is the smallest-hashed gram of ``gram`` words
 in it, very common grams last. Consecutive windows that share a minimiser travel as one packed string to the bucket of
-that minimiser, where sorting finds for each distinct window the smallest id that holds it. A word goes if a window over
+that minimiser, where sorting finds for each distinct window the smallest id that holds it. Where all grams of a window are
+very common, it is its own minimiser, so that no hot gram fills a bucket. A word goes if a window over
 it also starts in a document with a smaller id; windows are judged on the input.
 
 How it runs: documents are dealt to batches of about ``batch_bytes`` by a hash of their id. A batch sends each distinct
@@ -15,7 +16,8 @@ and it makes no other document lose any. Rows that share an id don't dedupe each
 empty result. Words are bytes between white space, unchanged; kept words are joined by one space.
 
 Scale: texts are shuffled once by batch; the packed strings, about three times the text, are compressed for each batch
-and bucket before they are shuffled. Batches and buckets grow with the input, so a task's memory doesn't. The list of
+and bucket before they are shuffled. There are as many batches, buckets and shuffle partitions as the input has ``batch_bytes``,
+so a task's memory doesn't grow. The list of
 common grams holds those with over a 16th of a bucket's share of all grams, so it has at most 16 entries a bucket.
 """
 
@@ -51,11 +53,16 @@ class Cutter:
             at = np.minimum(np.searchsorted(self.common, g), len(self.common) - 1)
             order |= (self.common[at] == g).astype(np.uint64) << np.uint64(63)
         pos = np.lib.stride_tricks.sliding_window_view(order, span).argmin(axis=1) + np.arange(n - self.window + 1)
-        first = np.flatnonzero(np.diff(pos, prepend=-1))
+        alone = (order[pos] >> np.uint64(63)).astype(bool)
+        first = np.flatnonzero((np.diff(pos, prepend=-1) != 0) | alone)
         count = np.diff(first, append=len(pos))
-        begin, end, p = start[first], stop[first + count + self.window - 2], pos[first]
-        strings = [whole[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        return first, count, (g[p] % np.uint64(self.buckets)).astype(np.int64), start[p] - begin, stop[p + self.gram - 1] - begin, strings
+        begin, end, p, alone = start[first], stop[first + count + self.window - 2], pos[first], alone[first]
+        key, a, b = g[p], start[p] - begin, stop[p + self.gram - 1] - begin
+        if alone.any():
+            key = np.where(alone, gram_hashes(g, span)[first], key)
+            a, b = np.where(alone, 0, a), np.where(alone, end - begin, b)
+        strings = [whole[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
+        return first, count, (key % np.uint64(self.buckets)).astype(np.int64), a, b, strings
 
 
 class Batch:
@@ -66,7 +73,8 @@ class Batch:
         least: list[int] = []
         bucket, begin, end, self.seen = [], [], [], []
         self.words = [measured(t) for t in texts]
-        for k in np.lexsort((np.arange(len(ids)), ids)).tolist():
+        # By text where ids are equal: rows come in any order, and the numbers of strings must not depend on it.
+        for k in sorted(range(len(ids)), key=lambda k: (ids[k], texts[k] or "")):
             whole, start, stop = self.words[k]
             if len(start) < cutter.window:
                 continue
@@ -144,7 +152,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     batches, common = common_grams(docs, window, gram, batch_bytes)
     cutter = Cutter(window, gram, batches, common)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(batches, "batch")
 
     def send(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x[x["id"].notna()]
@@ -233,6 +241,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame({"id": x["id"], "text": list(text), "n_words": np.array(n_words, np.int64), "n_removed": np.array(n_removed, np.int64)})
 
     sent = dealt.groupBy("batch").applyInPandas(send, "batch int, bucket int, data binary")
-    runs = sent.groupBy("bucket").applyInPandas(judge, "batch int, bucket int, data binary")
-    out = dealt.groupBy("batch").cogroup(runs.groupBy("batch")).applyInPandas(drop, "id long, text string, n_words long, n_removed long")
+    runs = sent.repartition(batches, "bucket").groupBy("bucket").applyInPandas(judge, "batch int, bucket int, data binary")
+    out = dealt.groupBy("batch").cogroup(runs.repartition(batches, "batch").groupBy("batch")).applyInPandas(drop, "id long, text string, n_words long, n_removed long")
     return out.withColumnRenamed("id", id_col)

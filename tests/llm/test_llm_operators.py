@@ -179,6 +179,48 @@ def test_substring_dedup(spark, seed):
     assert sum(r[2] for r in plain_windows(rows)) > 100
 
 
+def test_strings_are_numbered_alike_whatever_the_order_of_rows():
+    import numpy as np
+
+    from tallyspark.llm.substring_dedup import Batch, Cutter
+
+    r = random.Random(4)
+    text = lambda: " ".join(r.choice("abcdefghij") for _ in range(40))
+    rows = [(r.randrange(5), text()) for _ in range(30)] + [(2, None), (2, "")]
+    cutter = Cutter(13, 3, 7, np.zeros(0, np.uint64))
+    first = Batch(cutter, np.array([i for i, _ in rows]), [t for _, t in rows])
+    for _ in range(5):
+        r.shuffle(rows)
+        b = Batch(cutter, np.array([i for i, _ in rows]), [t for _, t in rows])
+        assert b.strings == first.strings and b.least.tolist() == first.least.tolist()
+        assert [(k, v.tolist()) for k, v in b.parts()] == [(k, v.tolist()) for k, v in first.parts()]
+
+
+def test_rows_that_share_an_id_lose_their_own_words(spark):
+    from tallyspark.llm.substring_dedup import substring_dedup
+
+    r = random.Random(6)
+    shared = " ".join(f"s{k}" for k in range(20))
+    rows = [(0, shared)] + [(5, " ".join(f"u{r.random()}" for _ in range(20)) + (f" {shared}" if k % 2 else "")) for k in range(20)]
+    got = substring_dedup(frame(spark, rows), batch_bytes=500).select("doc_id", "n_words", "n_removed", F.sha2("text", 256))
+    assert sorted(map(tuple, got.collect())) == plain_windows(rows)
+
+
+def test_windows_of_common_grams_are_spread():
+    import numpy as np
+
+    from tallyspark.llm.substring_dedup import Cutter
+    from tallyspark.llm.words import gram_hashes, measured, ordering_hashes
+
+    r = random.Random(2)
+    words = measured(" ".join(r.choice("ab") for _ in range(500)))
+    common = np.unique(gram_hashes(ordering_hashes(*words), 3))
+    first, count, bucket, a, b, strings = Cutter(13, 3, 8, common).cut(*words)
+    assert first.tolist() == list(range(488)) and set(count.tolist()) == {1}
+    assert np.bincount(bucket, minlength=8).max() < 488 / 8 * 2
+    assert all((x, y) == (0, len(s)) for x, y, s in zip(a, b, strings, strict=True))
+
+
 def test_substring_dedup_of_words_longer_than_a_stretch(spark):
     from tallyspark.llm import words
 
