@@ -98,6 +98,28 @@ def test_line_dedup_keeps_rows_without_an_id(spark):
 # n-gram Jaccard join
 
 
+def test_line_dedup_of_a_text_of_very_many_lines(spark):
+    import time
+
+    from tallyspark.llm.line_dedup import line_dedup
+
+    many = "\n".join(f"{k:06d} a line of forty code points or a few more" for k in range(200_000))
+    rows = [(i, f"{many}\nown {i}") for i in range(5)]
+    start = time.time()
+    got = sorted(map(tuple, line_dedup(frame(spark, rows)).select("doc_id", "line_stats.n_lines", "line_stats.n_dropped", F.length("text")).collect()))
+    assert time.time() - start < 60
+    assert got == [(i, 200_001, 200_000 if i < 4 else 0, 5 if i < 4 else len(rows[4][1])) for i in range(5)]
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    from tallyspark.llm.line_dedup import line_dedup
+
+    line = "a line that is long enough to be looked at by the operator"
+    rows = [(1, f"{line}\nx"), (1, f"y\n{line}\n{line}"), (1, f"y\n{line}\n{line}"), *[(k, line) for k in range(2, 6)]]
+    got = line_dedup(frame(spark, rows)).select("doc_id", "line_stats.n_lines", "line_stats.n_dropped", F.sha2("text", 256))
+    assert sorted(map(tuple, got.collect())) == sorted(plain_lines(rows))
+
+
 def plain_components(rows):
     sets = {}
     each = []
