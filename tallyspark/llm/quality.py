@@ -1,7 +1,7 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
 Two naive Bayes heads, each fitted on a bounded sample of the labelled rows: "junk" (label quality = 0) from bucketed
-shape statistics of the text, and "toxic" (label toxic = 1) from how many words it has of a lexicon: words that toxic documents
+shape statistics of the text, and "toxic" (label toxic = 1) from how many words of a lexicon its worst stretch has: words that toxic documents
 hold in many different contexts and others hardly do (contexts, so that copies of one document don't make a word). Their log
 likelihood ratios are the evidence. A word enters the lexicon if toxic documents hold it in at least ``min_contexts``
 contexts and that is over ``min_surprise`` nats from what its whole count makes likely. How much a number of such words tells
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import string
+from bisect import bisect_right
 from collections.abc import Iterator
 from operator import eq
 
@@ -44,15 +45,29 @@ BORDERS = {
     "distinct": (0.1, 0.2, 0.3, 0.4, 0.5, 0.6),
     "length": (3.0, 4.0, 5.0, 7.0, 8.5, 10.0),
 }
-MOST_HITS = 6
+#: Bucket borders of the number of lexicon words in a stretch.
+HIT_BORDERS = (1, 2, 3, 4, 5, 6, 9, 13)
+#: Words in a stretch. Long texts are measured stretch by stretch, all of them, so that a statistic doesn't depend on the length.
+STRETCH = 400
 _UPPER = string.ascii_uppercase.encode()
 _SIGNS = b"!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"
 _STRIP = string.punctuation.encode()
 
 
+def stretches(words: list[bytes]) -> list[list[bytes]]:
+    """The words in stretches of equal length, the last of which overlaps the one before where it has to; a shorter text is one."""
+    n = len(words)
+    if n <= STRETCH:
+        return [words]
+    return [words[i : i + STRETCH] for i in range(0, n - STRETCH + 1, STRETCH)] + ([words[n - STRETCH :]] if n % STRETCH else [])
+
+
 def statistics(raw: bytes, words: list[bytes]) -> tuple[float, ...]:
     n, size = len(words), max(1, len(raw))
-    return (n, (size - len(raw.translate(None, _UPPER))) / size if raw else 0.0, (size - len(raw.translate(None, _SIGNS))) / size if raw else 0.0, sum(map(eq, words, words[1:])) / max(1, n), len(set(words)) / max(1, min(n, 400)) if n <= 400 else len(set(words[:400])) / 400, len(raw) / max(1, n))
+    upper, signs = (size - len(raw.translate(None, x)) if raw else 0 for x in (_UPPER, _SIGNS))
+    parts = stretches(words)
+    distinct = sum(len(set(p)) for p in parts) / max(1, len(parts) * len(parts[0]))
+    return (n, upper / size, signs / size, sum(map(eq, words, words[1:])) / max(1, n), distinct, len(raw) / max(1, n))
 
 
 def buckets(stats: tuple[float, ...]) -> list[int]:
@@ -64,8 +79,11 @@ def plain_words(words: list[bytes]) -> list[bytes]:
 
 
 def lexicon_hits(words: list[bytes], lexicon: frozenset[bytes]) -> int:
-    """How many distinct words of the lexicon a text holds, up to MOST_HITS."""
-    return min(MOST_HITS, len(lexicon.intersection(plain_words(list(set(words))))))
+    """The bucket of how many distinct words of the lexicon that stretch of a text holds that has most of them."""
+    hits = len(lexicon.intersection(plain_words(list(set(words)))))
+    if hits > 1 and len(words) > STRETCH:
+        hits = max(len(lexicon.intersection(plain_words(list(set(p))))) for p in stretches(words))
+    return bisect_right(HIT_BORDERS, hits)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
@@ -126,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int, lexicon_words: int,
         k = len(borders) + 1
         shapes.append([told(counts.get((f, b, 1), 0), counts.get((f, b, 0), 0), junk) for b in range(k)] if junk and junk < n else [0.0] * k)
     lexicon: frozenset[bytes] = frozenset()
-    hits = [0.0] * (MOST_HITS + 1)
+    hits = [0.0] * (len(HIT_BORDERS) + 1)
     if toxic and toxic < n:
         halves = {r["half"]: (r["n"], r["toxic"]) for r in sample.groupBy("half").agg(F.count("*").alias("n"), F.sum("toxic").alias("toxic")).collect()}
         of = lambda c, h: F.when(F.col("half") == h, F.col(c))

@@ -195,6 +195,92 @@ def test_hosts_shrink_towards_the_global_rate(spark):
     assert len(out) == len(docs)
 
 
+def test_every_stretch_of_a_long_text_counts():
+    from tallyspark.llm.quality import lexicon_hits, statistics
+
+    r = random.Random(3)
+    fresh = lambda n: [f"w{r.randrange(10**6)}".encode() for _ in range(n)]
+    looped = [b"one", b"two", b"three", b"four"] * 1000
+    distinct = lambda w: statistics(b" ".join(w), w)[4]
+    assert distinct(fresh(400) + looped) < 0.2 and distinct(looped[:400] + fresh(4000)) > 0.85
+    assert abs(distinct(fresh(400)) - distinct(fresh(20_000))) < 0.01
+    assert distinct([]) == 0 and distinct([b"x"] * 401) == 1 / 400
+    lexicon = frozenset(f"bad{k}".encode() for k in range(60))
+    sparse = fresh(20_000)
+    for k in range(6):
+        sparse[3000 * k + 7] = f"bad{k}".encode()
+    dense = fresh(20_000)
+    dense[15_000:15_060] = [f"BAD{k}!".encode() for k in range(60)]
+    assert lexicon_hits(sparse, lexicon) == 1 and lexicon_hits(dense, lexicon) == 8 and lexicon_hits(fresh(500), lexicon) == 0
+
+
+def test_posteriors_against_plain_formulas(spark):
+    import math
+
+    from tallyspark.llm.quality import evidence, fit, quality
+
+    docs, labels = labelled(5, 500)
+    r = random.Random(9)
+    docs = [(i, t, r.choice(["en", "de", None]), r.choice(["h1", "h1", "h2", "h3", f"own{i}", None])) for i, t, _, _ in docs]
+    labels = [(i, q if r.random() > 0.1 else 1 - q, t) for i, q, t in labels]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = fit(d.withColumnRenamed("doc_id", "id"), lab.withColumnRenamed("doc_id", "id"), 20_000, 2_000, 5, 8.0)
+    rows = [x.asDict() for x in evidence(d, model).collect()]
+    chance = lambda ratio, rate: 1 / (1 + math.exp(-max(-700, min(700, ratio + math.log(rate / (1 - rate))))))
+    want = {}
+    for head in ("junk", "toxic"):
+        rate = model[head]
+        own = {x["doc_id"]: chance(x[head], rate) for x in rows}
+        host, path = {}, {}
+        for x in rows:
+            h = x["source"] or ""
+            host.setdefault(h, []).append(own[x["doc_id"]])
+            path.setdefault((h, x["lang"] or ""), []).append(own[x["doc_id"]])
+        many = [(sum(v), len(v)) for v in host.values() if len(v) >= 2]
+        n = sum(k for _, k in many)
+        between = sum((s / k - rate) ** 2 * k for s, k in many) / n - rate * (1 - rate) * len(many) / n
+        m = min(1000.0, max(5.0, rate * (1 - rate) / between - 1 if between > 1e-9 else 1000.0))
+        for x in rows:
+            h, c = x["source"] or "", own[x["doc_id"]]
+            up = (m * rate + sum(host[h]) - c) / (m + len(host[h]) - 1)
+            of = path[h, x["lang"] or ""]
+            prior = max(1e-6, min(1 - 1e-6, (m * up + sum(of) - c) / (m + len(of) - 1)))
+            want.setdefault(x["doc_id"], {})[head] = chance(x[head], prior)
+    got = quality(d, lab).collect()
+    assert len(got) == len(docs)
+    for x in got:
+        w = want[x["doc_id"]]
+        assert abs(x["p_junk"] - w["junk"]) < 1e-3 and abs(x["p_toxic"] - w["toxic"]) < 1e-3
+        assert x["keep"] == (1 - (1 - x["p_junk"]) * (1 - x["p_toxic"]) < 0.5)
+
+
+def test_statistics_and_ratios_against_plain_counts(spark):
+    import math
+
+    from tallyspark.llm.quality import BORDERS, fit
+
+    docs, labels = labelled(6, 200)
+    d = spark.createDataFrame(docs, "id long, text string, lang string, source string")
+    model = fit(d, spark.createDataFrame(labels, "id long, quality int, toxic int"), 20_000, 2_000, 5, 8.0)
+    junk = {i: q == 0 for i, q, _ in labels}
+    bad, n = sum(junk.values()), len(docs)
+    plain = {
+        "words": lambda t: len(t.split()),
+        "upper": lambda t: sum("A" <= c <= "Z" for c in t) / len(t),
+        "signs": lambda t: sum(c in "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~" for c in t) / len(t),
+        "repeats": lambda t: sum(a == b for a, b in zip(t.split(), t.split()[1:])) / len(t.split()),
+        "distinct": lambda t: len(set(t.split())) / len(t.split()),
+        "length": lambda t: len(t) / len(t.split()),
+    }
+    for f, (name, borders) in enumerate(BORDERS.items()):
+        at = {i: sum(plain[name](t) >= b for b in borders) for i, t, _, _ in docs}
+        for k in range(len(borders) + 1):
+            x, y = sum(at[i] == k and junk[i] for i in at), sum(at[i] == k and not junk[i] for i in at)
+            share = bad / n
+            assert math.isclose(model["shapes"][f][k], math.log((x + share) / share) - math.log((y + 1 - share) / (1 - share)), abs_tol=1e-9)
+
+
 # the pipeline
 
 
