@@ -85,6 +85,175 @@ def test_slots_must_be_consistent(spark):
     assert [r["doc_id"] for r in got.collect()] == [1]
 
 
+def test_values_that_become_equal_and_units_are_slots(spark):
+    from tallyspark.llm.decontamination import leaks
+
+    item = "a shop sells 5 apples and 3 pears for 20 dollars so how many of them can we buy for 60 dollars in all the days of spring"
+    docs = [(1, item.replace("5", "8").replace("3", "8")), (2, item.replace("dollars", "euros")), (3, item.replace("dollars", "euros", 1)), (4, item.replace("20 dollars", "20")), (5, item)]
+    got = {r["doc_id"]: r["changed"] for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"), passage=1000).collect()}
+    # Not 3: one unit stands for two.
+    assert got == {1: 2, 2: 2, 4: 0, 5: 0}
+
+
+TRICKY = "aB Bob Anna O'Neil Apollo11 X 5 12 3.5 1,200 7:30 9. kg km m % $ \u20ac hours Hours it's Lopez, end. (now) \u00c9mile \ue000 \ue003x \u00bd a\u0301 KM/H 10km 5m2 ... \n".split(" ")
+
+
+def plain_template(text):
+    """(word, value) for each template word; reads a text from left to right, one token after the other."""
+    import regex
+
+    text = regex.sub("[\ue000-\ue003]", " ", text or "")
+    names = [m.span() for m in regex.finditer(r"(?<=[\p{Ll}\p{N},;:)] )\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}\p{Ll}[\p{L}\p{N}]*)*", text)]
+    units = "|".join(map(regex.escape, UNIT_WORDS))
+    number = regex.compile(r"\p{N}+(?:[.,:/]\p{N}+)*")
+    unit = regex.compile(rf" *((?i:{units}))(?![\p{{L}}\p{{N}}])")
+    out, at, literal = [], 0, ""
+
+    def flush():
+        nonlocal literal
+        out.extend((w.lower(), None) for w in regex.findall(r"\p{L}+", literal))
+        literal = ""
+
+    starts = dict(names)
+    while at < len(text):
+        if at in starts:
+            flush()
+            out.append(("\ue001", text[at : starts[at]].lower().replace(" ", "\ue003")))
+            at = starts[at]
+            continue
+        end = min([a for a, _ in names if a > at], default=len(text))
+        if m := number.match(text, at, end):
+            flush()
+            out.append(("\ue000", m[0]))
+            at = m.end()
+            if u := unit.match(text, at, end):
+                after = text[u.end() : u.end() + 1]
+                if u.end() < end or not after or u.end() in starts:
+                    out.append(("\ue002", u[1].lower()))
+                    at = u.end()
+            continue
+        literal += text[at]
+        at += 1
+    flush()
+    return out
+
+
+UNIT_WORDS = "kg mg g km/h km cm mm ml mph mi m ft lbs lb oz hours hour hrs hr h minutes minute mins min seconds second sec ms s days day weeks week years year usd eur gbp dollars dollar euros euro percent % \u00b0c \u00b0f \u00b0 $ \u20ac \u00a3".split()
+
+
+def test_template_words_against_a_plain_reader(spark):
+    from tallyspark.llm.decontamination import template_words
+
+    r = random.Random(11)
+    texts = [" ".join(r.choice(TRICKY) for _ in range(r.randrange(30))) for _ in range(600)] + ["", None, " \t ", "5 kg", "costs 20 dollars or 3% of it, and Anna Maria Lopez pays 7:30"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", template_words(F.col("t")).alias("w"), template_words(F.col("t"), True).alias("v")).collect()
+    for x in got:
+        want = plain_template(texts[x["k"]])
+        assert x["w"] == [w for w, _ in want], texts[x["k"]]
+        assert x["v"] == [w + (v or "") for w, v in want], texts[x["k"]]
+
+
+def test_leaks_against_a_plain_rule(spark):
+    """What lies at one offset is found, and nothing of which no order-preserving match covers enough."""
+    from tallyspark.llm.decontamination import leaks
+
+    r = random.Random(12)
+    words = [f"w{chr(97 + k)}" for k in range(14)]
+    make = lambda n: " ".join(r.choice([*words, *words, str(r.randrange(4)), "x Bob", "x Ann Lee", "3 km"]) for _ in range(n))
+    items = [(k, make(r.choice([4, 7, 12, 20]))) for k in range(15)]
+    docs = []
+    for k in range(120):
+        body = items[r.randrange(15)][1].split(" ")
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(body))
+            body[at : at + r.choice([0, 1, 1])] = r.choice([[], ["odd"], [str(r.randrange(9))], ["Eve"]])
+        docs.append((k, f"{make(r.randrange(12))} {' '.join(body)} {make(r.randrange(12))}"))
+    got = {(x["doc_id"], x["item_id"]) for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, passage=9).collect()}
+    slot = lambda w: w[0] in "\ue000\ue001\ue002"
+
+    def agrees(pairs, least):
+        """The rule for words laid on each other: enough agree, slots are consistent, and they aren't all template."""
+        same = [(a, b) for a, b in pairs if a[0] == b[0]]
+        value = {}
+        consistent = all(value.setdefault(a, b) == b for a, b in same if slot(a))
+        n_slots, changed = sum(slot(a) for a, _ in same), sum(a != b for a, b in same)
+        return len(same) >= least and consistent and (len(same) - n_slots >= 2 or not changed)
+
+    sure, possible = set(), set()
+    for d, text in docs:
+        doc = plain_template(text)
+        for i, item in items:
+            it = plain_template(item)
+            n = min(5, len(it))
+            met = {(k, at) for k in range(len(doc) - n + 1) for at in range(len(it) - n + 1) if all(doc[k + j][0] == it[at + j][0] for j in range(n))}
+            for off in {k - at for k, at in met}:
+                if agrees([(it[at], doc[at + off]) for at in range(len(it)) if 0 <= at + off < len(doc)], 0.8 * len(it)):
+                    sure.add((d, i))
+                cells = sorted({at + j for k, at in met for j in range(n) if k - at == off})
+                for run in (cells[a:b] for a in range(len(cells)) for b in [next((e for e in range(a + 1, len(cells)) if cells[e] != cells[e - 1] + 1), len(cells))] if a == 0 or cells[a - 1] != cells[a] - 1):
+                    if len(run) >= 9 and agrees([(it[at], doc[at + off]) for at in run], 0):
+                        sure.add((d, i))
+            cells = {(k + j, at + j) for k, at in met for j in range(n)}
+            best = [[0] * (len(it) + 1) for _ in range(len(doc) + 1)]
+            for k in range(len(doc)):
+                for at in range(len(it)):
+                    best[k + 1][at + 1] = max(best[k][at + 1], best[k + 1][at], best[k][at] + ((k, at) in cells))
+            if best[-1][-1] >= 0.8 * len(it):
+                possible.add((d, i))
+    assert sure and sure <= got <= sure | possible
+
+
+def test_recall_of_planted_variants(spark):
+    from tallyspark.llm.decontamination import leaks
+
+    r = random.Random(13)
+    lower = [a + b for a in "ba ke lo mi nu ra se ti vo zu".split() for b in "nd rt lk mp st ng rm sk".split()]
+    names = [["Bob"], ["Anna", "Maria"], ["Eve", "Van", "Dorn"], ["Omar"]]
+    units = ["km", "kg", "hours", "dollars"]
+
+    def item():
+        out = []
+        while len(out) < 30:
+            out += r.choice([[r.choice(lower)]] * 8 + [[r.choice(lower), str(r.randrange(100))], [r.choice(lower), str(r.randrange(100)), r.choice(units)], [r.choice(lower), *r.choice(names)]])
+        return out
+
+    def changed(w):
+        out, mapped = [], {}
+        for k, x in enumerate(w):
+            if x.isdigit():
+                out.append(mapped.setdefault(x, str(r.randrange(1000))))
+            elif x[0].isupper():
+                if not w[k - 1][0].isupper():
+                    run = " ".join(w[k : next((e for e in range(k, len(w)) if not w[e][0].isupper()), len(w))])
+                    out += mapped.setdefault(run, r.choice(names))
+            elif x in units and k and w[k - 1].isdigit():
+                out.append(mapped.setdefault(x, r.choice(units)))
+            else:
+                out.append(x)
+        return out
+
+    def variant(w, kind):
+        w = changed(w)
+        at = r.randrange(5, len(w) - 5)
+        if kind == 1:
+            w.insert(at, "really")
+        if kind == 2:
+            del w[at]
+        if kind == 3:
+            w[at] = "other"
+        return w
+
+    items = [item() for _ in range(60)]
+    pad = lambda: " ".join(r.choice(lower) for _ in range(40))
+    docs = [(4 * k + kind, f"{pad()} {' '.join(variant(w, kind))} {pad()}") for k, w in enumerate(items) for kind in range(4)]
+    docs += [(1000 + k, " ".join([pad(), *item(), pad()])) for k in range(200)]
+    got = {(x["doc_id"], x["item_id"]) for x in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()}
+    found = [[(4 * k + kind, k) in got for k in range(60)] for kind in range(4)]
+    recall = [sum(f) / 60 for f in found]
+    assert min(recall) >= 0.9, recall
+    assert got == {(d, k) for d, k in got if d // 4 == k}
+
+
 def test_leaks_at_every_offset_and_of_any_item(spark):
     from tallyspark.llm.decontamination import leaks
 
