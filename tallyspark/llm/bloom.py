@@ -27,13 +27,15 @@ def bloom_hit(bits: np.ndarray, a: np.ndarray, b: np.ndarray, level: int = 1) ->
     return ((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
-def bloom_bits(keys: DataFrame, max_bits: int, level: int = 1, strict: bool = False) -> np.ndarray:
-    """The filter of `keys` (a, b). Never over max_bits: beyond that it errs more often or, if strict, isn't built."""
+def error_rate(bits_per_key: float) -> float:
+    """How often a filter with so many bits for each of its keys takes another key."""
+    return (1 - math.exp(-PROBES / bits_per_key)) ** PROBES
+
+
+def bloom_bits(keys: DataFrame, max_bits: int, level: int = 1, bits_per_key: float = BITS_PER_KEY) -> np.ndarray:
+    """The filter of `keys` (a, b). Never over max_bits: beyond that it errs more often."""
     n = keys.count()
-    m = max(64, 1 << math.ceil(math.log2(max(1, n * BITS_PER_KEY))))
-    if m > max_bits and strict:
-        raise ValueError(f"level {level} needs {m} bits for {n} keys; max_bits is {max_bits}")
-    m = min(m, max_bits)
+    m = min(max_bits, max(64, 1 << math.ceil(math.log2(max(1, n * bits_per_key)))))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:

@@ -375,6 +375,30 @@ def test_cascade_is_exact_where_one_filter_errs(spark):
     assert (cascade.holds(x["a"].to_numpy(), x["b"].to_numpy()) == (x["id"] < 9000)).all()
 
 
+def test_lists_too_long_for_one_filter_are_split(spark):
+    from tallyspark.llm.url_cascade import split_count, url_cascade
+
+    r = random.Random(7)
+    rules = [(r.choice(["allow", "block"]), f"h{k}.com", r.choice(["/", "/en/"])) for k in range(200)]
+    urls = [f"http://{r.choice(['', 'a.'])}h{r.randrange(400)}.com{r.choice(['/', '/en/x', '/de/'])}" for _ in range(300)] + [None, ""]
+    assert split_count(100, 1000, 1 << 8) > 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {x["page_id"]: (x["host"], x["path"], x["rule"], x["verdict"]) for x in url_cascade(pages, rules, max_bits=1 << 9, resident=2).collect()}
+    assert got == {i: plain_verdict(u, rules) for i, u in enumerate(urls)}
+
+
+def test_a_cascade_is_sized_by_list_and_universe():
+    from tallyspark.llm.bloom import error_rate
+    from tallyspark.llm.url_cascade import _width, split_count
+
+    assert 1e12 * error_rate(_width(3, 1e12, 1 << 26)) <= 1000  # three rules, any corpus: still one small filter
+    assert split_count(3, 10**12, 1 << 26) == 1
+    for listed, universe in ((10**7, 10**9), (10**9, 10**12), (10**5, 10**13)):
+        parts = split_count(listed, universe, 1 << 26)
+        n, u = listed / parts, universe / parts
+        assert n * 10 <= 1 << 26 and u * error_rate(_width(n, u, 1 << 26)) * 10 <= 1 << 26
+
+
 # media
 
 
