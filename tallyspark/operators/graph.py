@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +11,17 @@ from pyspark.sql import functions as F
 from ..session import as_table
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component): the least node that links reach, by alternating large-star and small-star steps (logarithmic rounds)."""
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int | None = None) -> DataFrame:
+    """(node, component): the least node that links reach, by alternating large-star and small-star steps (logarithmic rounds).
+
+    A node with very many edges is no group in a task: its minimum is pre-aggregated and joined back (AQE splits it).
+    Each round is a table in the shared folder, so lineage doesn't grow. Runs until nothing moves, or fails after most_rounds.
+    """
     e = edges.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).where("x <> y").distinct()
     before = None
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError("components did not settle")
         both = e.union(e.select("y", "x"))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
@@ -25,7 +32,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         if now == before:
             return e.select(F.col("x").alias("node"), F.col("y").alias("component")).union(e.select("y", "y").distinct())
         before = now
-    raise RuntimeError("components did not settle")
 
 
 def greedy_merge(groups: DataFrame, shared: DataFrame, key: str, member: str, conflict: DataFrame) -> DataFrame:
@@ -38,26 +44,27 @@ def greedy_merge(groups: DataFrame, shared: DataFrame, key: str, member: str, co
     return x.select(key, member, F.coalesce(F.substring_index("component", "\x00", -1), F.col(member).cast("string")).alias("cluster"))
 
 
-def opposite_closure(pairs: DataFrame, known: DataFrame, values: tuple[str, str], most_rounds: int = 60) -> DataFrame:
-    """(node, value): known values spread over pairs (a, b), whose ends have opposite values, until nothing new is learnt. A node keeps its first value; of several in one round the least."""
+def opposite_closure(pairs: DataFrame, known: DataFrame, values: tuple[str, str], most_rounds: int | None = None) -> DataFrame:
+    """(node, value): known values spread over pairs (a, b), whose ends have opposite values, until nothing new is learnt. A node keeps its first value; of several in one round the least. Fails after most_rounds, if given."""
     x, y = values
     both = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     state = as_table(known.select("node", "value").dropDuplicates(["node"]), "known")
     fresh = state
-    for _ in range(most_rounds):
+    for k in count():
+        if k == most_rounds:
+            raise RuntimeError("values did not settle")
         flipped = F.when(F.col("value") == x, y).otherwise(x)
         learnt = both.join(fresh, both["a"] == fresh["node"]).groupBy(F.col("b").alias("node")).agg(F.min(flipped).alias("value")).join(state, "node", "left_anti")
         fresh = as_table(learnt, "learnt")
         if fresh.isEmpty():
             return state
         state = as_table(state.unionByName(fresh), "known")
-    raise RuntimeError("values did not settle")
 
 
-def depths(edges: DataFrame, nodes: DataFrame, group: Sequence[str], most: int = 64) -> DataFrame:
-    """nodes with depth: the longest path of (node, previous) edges that ends there, 0 for those without one. Nodes on a cycle, or after one, have none."""
+def depths(edges: DataFrame, nodes: DataFrame, group: Sequence[str], most: int | None = None) -> DataFrame:
+    """nodes with depth: the longest path of (node, previous) edges that ends there, 0 for those without one. Nodes on a cycle, or after one, have none. A round for each level; fails where there are more than `most`, if given."""
     state = as_table(nodes.select(*group, "node").distinct().join(edges.select(*group, "node").distinct(), [*group, "node"], "left_anti").withColumn("depth", F.lit(0)), "depths")
-    for d in range(1, most + 2):
+    for d in count(1):
         # A node is ready once all of its predecessors are done.
         e = edges.select(*group, "node", "previous").distinct().join(state.select(*group, "node"), [*group, "node"], "left_anti")
         done = state.select(*group, F.col("node").alias("previous"), "depth")
@@ -65,7 +72,7 @@ def depths(edges: DataFrame, nodes: DataFrame, group: Sequence[str], most: int =
         ready = as_table(ready.select(*group, "node", F.lit(d).alias("depth")), "ready")
         if ready.isEmpty():
             break
-        if d > most:
+        if most is not None and d > most:
             raise RuntimeError("depths did not settle")
         state = as_table(state.unionByName(ready), "depths")
     return nodes.select(*group, "node").distinct().join(state, [*group, "node"], "left")
