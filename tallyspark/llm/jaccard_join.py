@@ -8,8 +8,8 @@ threshold % of its set with whatever it links to, the tokens that no other docum
 1. Groups. Equal sets are one class. Classes that share a prefix token are measured against that one of them which
    has fewest rarer tokens, as it is the nearest to all; links make groups, so a family of near copies costs one
    comparison each, not all pairs.
-2. Token-group matrix. Each group, in chunks of about ``chunk`` members, stores its token union and meets its queries
-   in chunks of 8 * ``chunk``. A class is
+2. Token-group matrix. Each group, in chunks of members with about ``chunk_bytes`` of tokens, stores its token union and
+   meets its queries in chunks of 8 * ``chunk_bytes``. A class is
    a query to the groups of other components that share a prefix token and have members of a fitting size. Where two
    linked sets first meet in the global order, both have as many tokens left as the link needs, so a token at which
    either has fewer left asks nothing. Where
@@ -23,8 +23,10 @@ n_shingles. A null id links to nothing and has a null component. An empty table
 
 Scale: texts move once, to batches sized by input. Token counts travel as sorted, delta-coded 48-bit arrays that a
 batch has pre-aggregated, about 4 bytes a token, to buckets that grow with input; two tokens that share those bits only
-weaken the pruning. Everything after that handles only documents of which most tokens are shared. Hot tokens are joined
-as (token, least class) rows, hot groups are cut in chunks, and nothing is collected.
+weaken the pruning. There are as many batches, buckets and shuffle partitions as the input has ``batch_bytes``. Everything after
+that handles only documents of which most tokens are shared. Hot tokens are joined
+as (token, least class) rows, hot groups are cut in chunks, chunks are dealt to tasks of about ``task_bytes`` of tokens, so that
+neither many nor long sets fill one, and nothing is collected.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from ..session import ship_package
 from .common import batches_for, written
-from .components import components
 from .words import gram_hashes, word_hashes
 
 DROPPED_BITS = 16
@@ -77,7 +79,7 @@ def token_profiles(docs: DataFrame, shingle: int, threshold: int, batch_bytes: i
     """(id, n, a, b, prefix, tokens): size and 128-bit digest of each set; where the document may have a partner, its prefix tokens that others hold, and all tokens that others hold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = batches_for(size, batch_bytes)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
+    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(batches, "batch")
     edges = np.array([(i << (64 - DROPPED_BITS)) // batches for i in range(batches + 1)], np.uint64)
 
     def sets(x: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -124,8 +126,8 @@ def token_profiles(docs: DataFrame, shingle: int, threshold: int, batch_bytes: i
         return pd.DataFrame({"id": x["id"], "n": n, "a": a, "b": b, "prefix": list(prefix), "tokens": list(rest)})
 
     sent = dealt.groupBy("batch").applyInPandas(send, "batch int, bucket int, data binary")
-    back = sent.groupBy("bucket").applyInPandas(count, "batch int, bucket int, data binary")
-    return dealt.groupBy("batch").cogroup(back.groupBy("batch")).applyInPandas(profile, "id long, n long, a long, b long, prefix array<long>, tokens binary")
+    back = sent.repartition(batches, "bucket").groupBy("bucket").applyInPandas(count, "batch int, bucket int, data binary")
+    return dealt.groupBy("batch").cogroup(back.repartition(batches, "batch").groupBy("batch")).applyInPandas(profile, "id long, n long, a long, b long, prefix array<long>, tokens binary")
 
 
 def open_groups(queries: DataFrame, members: DataFrame, threshold: int, shards: int) -> DataFrame:
@@ -155,11 +157,11 @@ def open_groups(queries: DataFrame, members: DataFrame, threshold: int, shards:
                         break
         return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
-    shard = F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")
-    return queries.withColumn("shard", shard).groupBy("shard").cogroup(members.withColumn("shard", shard).groupBy("shard")).applyInPandas(measure, "a long, b long")
+    dealt = lambda x: x.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard")
+    return dealt(queries).cogroup(dealt(members)).applyInPandas(measure, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 75, chunk: int = 256, batch_bytes: int = 8 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 75, chunk_bytes: int = 1 << 20, task_bytes: int = 16 << 20, batch_bytes: int = 8 << 20) -> DataFrame:
     """(id_col, n_shingles, component_id), one row for each row of docs; component_id is the smallest id that links reach."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -173,22 +175,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = tokens.withColumn("slack", (100 + threshold) * F.col("left") - threshold * F.col("n")).withColumn("before", F.col("n") - F.col("left"))
     fits = lambda x, y: 100 * F.least(x, y) >= threshold * F.greatest(x, y)
 
+    sizes = classes.select("q", F.octet_length("tokens").cast("long").alias("bytes"))
+    chunks = lambda size, of: F.greatest(F.lit(1), F.ceil(F.col(size) / of)).cast("long")
+
     def opened(pairs: DataFrame, members: DataFrame, name: str) -> DataFrame:
         """pairs (g, q), members (g, q): their links."""
-        pairs = written(pairs, f"{name}-pairs")
-        n = pairs.count()
+        pairs, members = written(pairs, f"{name}-pairs"), written(members, f"{name}-members")
+        size = sum(x.join(sizes, "q").agg(F.sum("bytes")).first()[0] or 0 for x in (pairs, members))
         asked, held = (x.join(classes.select("q", "n", "tokens"), "q").select(*(F.col(c).alias(c) for c in ("g", "q", "n", "tokens"))) for x in (pairs, members))
-        return written(open_groups(asked, held, threshold, max(1, -(-n // 2000))), f"{name}-links")
+        return written(open_groups(asked, held, threshold, max(1, -(-size // task_bytes))), f"{name}-links")
 
     # 1: of each token's classes the one that has fewest tokens before it; the smallest of equals
     first = tokens.groupBy("t").agg(F.min(F.struct("before", "q", "n")).alias("first"), F.count("*").alias("k")).where("k > 1").select("t", F.col("first.q").alias("m"), F.col("first.n").alias("mn"))
     star = written(tokens.join(first, "t").where((F.col("q") != F.col("m")) & fits(F.col("n"), F.col("mn"))).select("m", "q").distinct(), "star")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("k") / chunk)).cast("long")
-    star = star.join(star.groupBy("m").agg(F.count("*").alias("k")), "m").withColumn("g", F.struct("m", F.pmod(F.xxhash64("q"), parts).alias("part")))
+    star = star.join(star.join(sizes, "q").groupBy("m").agg(F.sum("bytes").alias("size")), "m").withColumn("g", F.struct("m", F.pmod(F.xxhash64("q"), chunks("size", 8 * chunk_bytes)).alias("part")))
     g = lambda a, b: F.concat_ws(":", a, b).alias("g")
     star = star.select("m", "q", g(F.col("g.m"), F.col("g.part")))
     links = opened(star.select("g", "q"), star.select("g", F.col("m").alias("q")).distinct(), "star")
-    group_of = components(links)
+    group_of = connected_components(links)
 
     # 2: other components' groups
     grouped = tokens.join(group_of, tokens["q"] == group_of["node"], "left").select("t", "q", "n", "slack", F.coalesce("component", "q").alias("c"))
@@ -200,15 +204,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     asked = written(asked, "asked")
     members = classes.select("q").join(group_of, classes["q"] == group_of["node"], "left").select("q", F.coalesce("component", "q").alias("to")).join(asked.select("to").distinct(), "to", "left_semi")
     # Cells of the matrix: chunks of a group's members by chunks of its queries, so that neither is bound to one task.
-    cut = lambda k, n: F.greatest(F.lit(1), F.ceil(F.col(k) / n)).cast("long")
-    sized = members.groupBy("to").agg(F.count("*").alias("k")).join(asked.groupBy("to").agg(F.count("*").alias("ask")), "to")
-    sized = written(sized.select("to", cut("k", chunk).alias("parts"), cut("ask", 8 * chunk).alias("asks")), "sized")
+    held_bytes, asked_bytes = (x.join(sizes, "q").groupBy("to").agg(F.sum("bytes").alias(name)) for x, name in ((members, "held"), (asked, "asking")))
+    sized = written(held_bytes.join(asked_bytes, "to").select("to", chunks("held", chunk_bytes).alias("parts"), chunks("asking", 8 * chunk_bytes).alias("asks")), "sized")
     every_part = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     mine = lambda n: F.pmod(F.xxhash64("q"), F.col(n))
     members = members.join(sized, "to").select("to", "q", mine("parts").alias("part"), every_part("asks").alias("ask")).select(F.concat_ws(":", "to", "part", "ask").alias("g"), "q")
     asked = asked.join(sized, "to").select("to", "q", every_part("parts").alias("part"), mine("asks").alias("ask")).select(F.concat_ws(":", "to", "part", "ask").alias("g"), "q")
     more = opened(asked, members, "matrix")
-    reach = components(links.union(more))
+    reach = connected_components(links.union(more))
 
     named = class_of.join(reach, class_of["q"] == reach["node"], "left").select("a", "b", F.coalesce("component", "q").alias("c"))
     # Rows that share an id are one document: its component is the smallest of its rows'.

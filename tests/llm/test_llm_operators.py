@@ -156,10 +156,37 @@ def test_jaccard_components(spark, seed):
         for _ in range(r.randrange(4)):
             w[r.randrange(60)] = f"e{r.randrange(6)}"
         rows.append((2000 + k, " ".join(w)))
-    got = jaccard_components(frame(spark, rows), chunk=4, batch_bytes=20_000)
+    got = jaccard_components(frame(spark, rows), chunk_bytes=1_000, task_bytes=8_000, batch_bytes=20_000)
     assert sorted(map(tuple, got.collect())) == plain_components(rows)
 
 
+def test_tasks_are_sized_by_bytes(spark):
+    """Few pairs of very long texts are dealt to as many tasks as their tokens fill."""
+    from tallyspark.llm import jaccard_join
+
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(40_000)]
+    rows = []
+    for k in range(6):
+        w = list(base)
+        w[r.randrange(len(w))] = f"own{k}"
+        rows.append((k, " ".join(w)))
+    shards = []
+    plain = jaccard_join.open_groups
+
+    def watched(queries, members, threshold, n):
+        shards.append(n)
+        return plain(queries, members, threshold, n)
+
+    jaccard_join.open_groups = watched
+    try:
+        got = jaccard_join.jaccard_components(frame(spark, rows), task_bytes=1 << 20)
+        assert sorted(map(tuple, got.collect())) == [(k, 39_996, 0) for k in range(6)]
+    finally:
+        jaccard_join.open_groups = plain
+    assert shards[0] >= 2  # 5 pairs, 320 KB of tokens in each set
+
+
 def test_jaccard_at_the_threshold(spark):
     from tallyspark.llm.jaccard_join import jaccard_components
 
