@@ -1,11 +1,15 @@
 """HTML extraction by site template removal.
 
-Every page is read into elements; each element's subtree is hashed (name, class, id, text and children). Spark counts,
-for each host, on how many of its pages a subtree occurs; those on at least ``min_pages`` pages and ``min_share`` of the
-host's pages are its template and are deleted. What is left of the article is the text: the article element where there
-is one, else the main element, else the whole body; never menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments, whether they recur or not. An article's own headings and paragraphs are never taken
-for template, as a site may well print one paragraph, or a whole article, on many pages.
+Every page is read into elements; each element's subtree is hashed (name, class, id, text and children). Spark counts
+on how many pages a subtree occurs, for each host and each section of it (the first step of the path); those on at least
+``min_pages`` pages and ``min_share`` of the pages of the host or section are template and are deleted. What is left tells the main
+text: that of the article elements where they have text, else of the main element, else of the smallest element that holds the bulk
+of what is left, with headings and paragraphs beside it; never menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles or reader comments, whether they recur or not.
+
+A site may well print one paragraph, or a whole article, on many pages. So an article's prose goes only where it stands on
+``steady_pages`` pages and ``steady_share`` of them, like a call to subscribe; an article of which templates would take most is
+itself what recurs and stays whole, as does a page of which nothing would be left.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
@@ -13,9 +17,10 @@ Edge cases: null or empty html has an empty text. A null url's host is empty. Br
 unclosed elements end with the page, a cut last tag is dropped. Rows that repeat get equal texts. An empty table
 gives an empty result; columns of the result that the pages have too are replaced.
 
-Scale: the first pass shuffles only (host, hash) counts, pre-aggregated, and a host in a third of the rows is spread
-by hash; the share is judged by a join that AQE splits. A host's template has at most subtrees-a-page / min_share entries. Up to ``broadcast_rows`` entries in all are
-broadcast; beyond that, pages join their host's entries under a salt, so that no host is one task.
+Scale: the first pass shuffles only (host, section, hash) counts, pre-aggregated, and a host in a third of the rows is spread
+by hash; the share is judged by a join that AQE splits. A template has at most subtrees-a-page / min_share entries. Up to
+``broadcast_rows`` entries in all are broadcast, once for each executor; beyond that, pages join their section's entries under a salt, so
+that no host is one task.
 """
 
 from __future__ import annotations
@@ -23,54 +28,97 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .url_cascade import host_of
+from .common import written
+from .url_cascade import host_of, path_of
 
 SALTS = 64
 
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2) -> DataFrame:
-    """pages: host, html. (host, template): the hashes of each host's recurring subtrees."""
+def section_of(url: Column) -> Column:
+    """The first step of a url's path, if it isn't the last."""
+    return F.regexp_extract(path_of(url), r"^/([^/]+)/", 1)
+
+
+def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2, steady_pages: int = 20, steady_share: float = 0.9) -> DataFrame:
+    """pages: host, section, html. (host, section, h, steady): hashes of recurring subtrees; a null section stands for the whole host."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .html_tree import read, subtrees
 
+        names = ("host", "section")
         for batch in batches:
-            count: dict[tuple[str, int], int] = {}
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            count: dict[tuple[str, str, int], int] = {}
+            for host, section, page in zip(*(batch.column(c).to_pylist() for c in (*names, "html")), strict=True):
                 for h in subtrees(read(page or "")):
-                    count[host, h] = count.get((host, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in count], pa.string()), pa.array([k[1] for k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], ["host", "h", "n"])
+                    count[host, section, h] = count.get((host, section, h), 0) + 1
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in count], pa.string()) for i in (0, 1)), pa.array([k[2] for k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], [*names, "h", "n"])
+
+    counts = pages.select("host", "section", "html").mapInArrow(hashes, "host string, section string, h long, n long").groupBy("host", "section", "h").agg(F.sum("n").alias("n"))
+    totals = pages.groupBy("host", "section").agg(F.count("*").alias("pages"))
 
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", "html").mapInArrow(hashes, "host string, h long, n long").groupBy("host", "h").agg(F.sum("n").alias("n"))
-    # What is rare on its host goes before a host's list is made, so the list is as long as a few pages have subtrees.
-    often = counts.where(F.col("n") >= min_pages).join(totals, "host").where(F.col("n") >= F.col("pages") * min_share)
-    return often.groupBy("host").agg(F.collect_list("h").alias("template"))
+    def often(counts: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
+        # What is rare goes before the shares are judged.
+        x = counts.where(F.col("n") >= min_pages).join(totals, key).where(F.col("n") >= F.col("pages") * min_share)
+        return x.withColumn("steady", (F.col("n") >= steady_pages) & (F.col("n") >= F.col("pages") * steady_share))
 
+    by_section = often(counts, totals, ["host", "section"]).select("host", "section", "h", "steady")
+    whole = often(counts.groupBy("host", "h").agg(F.sum("n").alias("n")), totals.groupBy("host").agg(F.sum("pages").alias("pages")), ["host"])
+    return by_section.unionByName(whole.select("host", F.lit(None).cast("string").alias("section"), "h", "steady"))
 
-def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, broadcast_rows: int = 200_000) -> DataFrame:
+
+def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, steady_pages: int = 20, steady_share: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
     """pages' other columns, with text and n_chars instead of html_col."""
-    ship_package(pages.sparkSession)
+    spark = pages.sparkSession
+    ship_package(spark)
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    x = pages.select(F.struct(*others).alias("row"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    templates = site_templates(x, min_pages, min_share).persist()
-    entries = templates.agg(F.sum(F.size("template") + 4)).first()[0] or 0
-    if entries <= broadcast_rows:
-        joined = x.join(F.broadcast(templates), "host", "left")
-    else:
-        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = x.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    x = pages.select(F.struct(*others).alias("row"), host_of(F.col(url_col)).alias("host"), section_of(F.coalesce(F.col(url_col), F.lit(""))).alias("section"), F.col(html_col).alias("html"))
+    templates = written(site_templates(x, min_pages, min_share, steady_pages, steady_share), "templates")
+    none: frozenset[int] = frozenset()
+    row = x.schema["row"].dataType.simpleString()
 
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def result(batch: pa.RecordBatch, templates: Iterator[tuple[frozenset[int], frozenset[int]]]) -> pa.RecordBatch:
         from .html_tree import main_text, read
 
-        for batch in batches:
-            out = [main_text(read(page), frozenset(t or ())) if page else "" for page, t in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["row", "text", "n_chars"])
+        out = [main_text(read(page), *t) if page else "" for page, t in zip(batch.column("html").to_pylist(), templates, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["row", "text", "n_chars"])
 
-    row = x.schema["row"].dataType.simpleString()
-    return joined.select("row", "html", "template").mapInArrow(texts, f"row {row}, text string, n_chars long").select("row.*", "text", "n_chars")
+    if templates.count() <= broadcast_rows:
+        sets: dict[tuple[str, str | None], tuple[set[int], set[int]]] = {}
+        for r in templates.collect():
+            both, steady = sets.setdefault((r["host"], r["section"]), (set(), set()))
+            both.add(r["h"])
+            if r["steady"]:
+                steady.add(r["h"])
+        shared = spark.sparkContext.broadcast({k: (frozenset(a), frozenset(b)) for k, (a, b) in sets.items()})
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            union: dict[tuple[str, str], tuple[frozenset[int], frozenset[int]]] = {}
+
+            def of(key: tuple[str, str]) -> tuple[frozenset[int], frozenset[int]]:
+                if key not in union:
+                    (a, b), (c, d) = known.get((key[0], None), (none, none)), known.get(key, (none, none))
+                    union[key] = a | c, b | d
+                return union[key]
+
+            for batch in batches:
+                yield result(batch, map(of, zip(batch.column("host").to_pylist(), batch.column("section").to_pylist(), strict=True)))
+
+        joined = x
+    else:
+        listed = templates.groupBy("host", "section").agg(F.collect_list("h").alias("h"), F.collect_list(F.when(F.col("steady"), F.col("h"))).alias("steady"))
+        listed = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = x.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        joined = joined.join(listed.where("section is null").select("host", "salt", F.col("h").alias("h0"), F.col("steady").alias("s0")), ["host", "salt"], "left")
+        joined = joined.join(listed.select("host", "section", "salt", F.col("h").alias("h1"), F.col("steady").alias("s1")), ["host", "section", "salt"], "left")
+
+        def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                a, b, c, d = ((frozenset(t or ()) for t in batch.column(n).to_pylist()) for n in ("h0", "h1", "s0", "s1"))
+                yield result(batch, ((x | y, z | w) for x, y, z, w in zip(a, b, c, d, strict=True)))
+
+    return joined.mapInArrow(texts, f"row {row}, text string, n_chars long").select("row.*", "text", "n_chars")

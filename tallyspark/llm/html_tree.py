@@ -10,6 +10,7 @@ import xxhash
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[a-zA-Z/][^>]*\Z", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Element names by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -23,6 +24,8 @@ FENCES = frozenset("table ul ol dl article section main body div td".split())
 NOT_TEXT = frozenset("nav header footer aside form script style noscript template iframe svg canvas button select input textarea dialog menu head title object audio video".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that a name of those may hold besides; with any other word (share-price) it says nothing.
+LAYOUT_WORDS = frozenset("area bar block bottom box button buttons container content global holder inner left link links list main module outer page panel primary right row section secondary site top unit wrap wrapper".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br b i em strong a span code sub sup q cite u s small mark abbr".split())
 
 
@@ -37,8 +40,13 @@ class Node:
         a = self.attrs
         if self.tag in NOT_TEXT or a.get("role", "").lower() in NOT_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
             return False
-        names = f"{a.get('class', '')} {a.get('id', '')}".lower()
-        return self.tag in ("html", "body") or NOT_WORDS.isdisjoint(_WORD.findall(names))
+        return self.tag in ("html", "body") or not any(map(_names_other, f"{a.get('class', '')} {a.get('id', '')}".split()))
+
+
+def _names_other(name: str) -> bool:
+    """Whether a class or id names something that isn't the article: words for such things, and no other but layout words."""
+    words = _WORD.findall(_CAMEL.sub("-", name).lower())
+    return not NOT_WORDS.isdisjoint(words) and all(w in NOT_WORDS or w in LAYOUT_WORDS for w in words)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -107,56 +115,131 @@ def read(page: str) -> list[tuple[str, object]]:
     return events
 
 
+ROOTS = ("html", "body", "article", "main")
+
+
 def subtrees(events: list[tuple[str, object]]) -> set[int]:
-    """Hashes of the elements that may be template: all but the prose of an article."""
-    return {n.hash for kind, n in events if kind == "close" and n.tag not in ("html", "body", "article", "main") and not (n.inside and n.tag in PROSE)}
+    """Hashes of the elements that may be template, those with text."""
+    return {n.hash for kind, n in events if kind == "close" and n.tag not in ROOTS and n.parts}
+
 
+#: An element with so much of the text that no template explains is where the article is.
+BULK = 0.9
 
-def main_text(events: list[tuple[str, object]], template: frozenset[int]) -> str:
-    """The article's blocks, one a line; elements of the template and those that aren't text are left out."""
-    gone = lambda n: not n.is_text() or (n.hash in template and n.tag not in ("html", "body", "article", "main") and not (n.inside and n.tag in PROSE))
 
-    def roots(wanted) -> set[int]:
-        found, skip, within = set(), 0, 0
+class _Reader:
+    """What is left of a page's events once elements that aren't text, and those of a template, are cut out."""
+
+    def __init__(self, events: list[tuple[str, object]], gone):
+        self.events = []
+        skip = 0
         for kind, n in events:
+            if kind != "text" and (skip or (kind == "open" and gone(n))):
+                skip += 1 if kind == "open" else -1
+                # A cut block still ends the block before.
+                if not skip and n.tag in BLOCKS:
+                    self.events.append(("cut", n))
+            elif not skip:
+                self.events.append((kind, n))
+
+    def size(self) -> int:
+        return sum(len("".join(x.split())) for kind, x in self.events if kind == "text")
+
+    def inside(self, wanted) -> bool:
+        """Keeps what is inside the outermost wanted elements, if there are any with text."""
+        kept, within = [], 0
+        for kind, n in self.events:
+            hit = kind in ("open", "close") and wanted(n)
+            if hit and kind == "open":
+                within += 1
+            if within:
+                kept.append((kind, n))
+            if hit and kind == "close":
+                within -= 1
+        if any(kind == "text" and x.strip() for kind, x in kept):
+            self.events = kept
+            return True
+        return False
+
+    def bulk(self) -> None:
+        """Goes down to the smallest element that holds the bulk of the text. Prose beside the way there stays, other elements go."""
+        total = self.size()
+        held: dict[int, int] = {}
+        stack: list[int] = []
+        for kind, n in self.events:
+            if kind == "text":
+                k = len("".join(n.split()))
+                for i in stack:
+                    held[i] = held.get(i, 0) + k
+            elif kind == "open":
+                stack.append(id(n))
+            elif kind == "close":
+                stack.pop()
+        way = {i for i, k in held.items() if k >= BULK * total}
+        kept, depth, skip = [], [], 0
+        for kind, n in self.events:
+            if kind == "open":
+                # Beside the way: an element whose parent is on it and has a child on it.
+                beside = not skip and id(n) not in way and n.tag not in PROSE and bool(depth) and depth[-1] in self._forks(way)
+                skip += 1 if skip or beside else 0
+                depth.append(id(n))
+            if not skip:
+                kept.append((kind, n))
+            if kind == "close":
+                depth.pop()
+                if skip:
+                    skip -= 1
+        self.events = kept
+
+    def _forks(self, way: set[int]) -> set[int]:
+        if not hasattr(self, "forks"):
+            self.forks, stack = set(), []
+            for kind, n in self.events:
+                if kind == "open":
+                    if stack and id(n) in way:
+                        self.forks.add(stack[-1])
+                    stack.append(id(n))
+                elif kind == "close":
+                    stack.pop()
+        return self.forks
+
+    def blocks(self) -> list[str]:
+        out: list[str] = []
+        block: list[str] = []
+
+        def end() -> None:
+            if words := html.unescape("".join(block)).split():
+                out.append(" ".join(words))
+            block.clear()
+
+        for kind, n in self.events:
             if kind == "text":
-                continue
-            step = 1 if kind == "open" else -1
-            if skip or (kind == "open" and gone(n)):
-                skip += step
-            elif wanted(n):
-                if kind == "open" and not within:
-                    found.add(id(n))
-                within += step
-        return found
-
-    root = roots(lambda n: n.tag == "article") or roots(lambda n: n.tag == "main" or n.attrs.get("role") == "main")
-    blocks: list[str] = []
-    block: list[str] = []
-
-    def end() -> None:
-        if words := html.unescape("".join(block)).split():
-            blocks.append(" ".join(words))
-        block.clear()
-
-    skip, within = 0, 0 if root else 1
-    for kind, n in events:
-        if kind == "text":
-            if within and not skip:
                 block.append(n)
-            continue
-        step = 1 if kind == "open" else -1
-        if skip or (kind == "open" and gone(n)):
-            if not skip and n.tag in BLOCKS:
+            elif n.tag in BLOCKS or n.tag in ("article", "main"):
                 end()
-            skip += step
-            continue
-        if id(n) in root:
-            end()
-            within += step
-        if n.tag in BLOCKS:
-            end()
-        elif n.tag == "br" and kind == "open":
-            block.append(" ")
-    end()
-    return "\n".join(blocks)
+            elif n.tag == "br" and kind == "open":
+                block.append(" ")
+        end()
+        return out
+
+
+def main_text(events: list[tuple[str, object]], template: frozenset[int], steady: frozenset[int] = frozenset()) -> str:
+    """The article's blocks, one a line. Of the template's elements those go that aren't an article's prose; of that, what stands on the site's pages steadily."""
+
+    def recurs(n: Node) -> bool:
+        return n.tag not in ROOTS and n.hash in (steady if n.inside and n.tag in PROSE else template)
+
+    in_article, in_main = (lambda n: n.tag == "article"), (lambda n: n.tag == "main" or n.attrs.get("role") == "main")
+    whole = _Reader(events, lambda n: not n.is_text())
+    left = _Reader(events, lambda n: not n.is_text() or recurs(n))
+    for wanted in (in_article, in_main):
+        if whole.inside(wanted):
+            # An article of which most recurs is printed on many pages; it is no template.
+            if not left.inside(wanted) or 2 * left.size() < whole.size():
+                left = whole
+            return "\n".join(left.blocks())
+    # Without either, what the template leaves tells where the article is. Nothing left: the page itself is printed many times.
+    if not left.size():
+        left = whole
+    left.bulk()
+    return "\n".join(left.blocks())

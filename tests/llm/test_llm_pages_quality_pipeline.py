@@ -52,6 +52,104 @@ def test_a_repeated_article_is_no_template(spark):
     assert {r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Same\nSame text"}
 
 
+def texts_of(spark, rows, **options):
+    from tallyspark.llm.html_extraction import extract_text
+
+    return {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string"), **options).collect()}
+
+
+def neutral_pages(n=12):
+    """Pages without article, main or telling names: a menu, a box of offers, the text, and a foot."""
+    menu = "<div class=c1><div>Home</div><div>Shop</div><div>About us and our long story</div></div>"
+    foot = "<div class=c9><p>All rights reserved by the owners of this site</p></div>"
+    body = lambda i: f"<h2>Title {i}</h2><div class=c5><p>{' '.join(f'word{i}x{k}' for k in range(40))}</p><p>Second part {i}</p></div>"
+    want = lambda i: f"Title {i}\n{' '.join(f'word{i}x{k}' for k in range(40))}\nSecond part {i}"
+    return [(i, f"http://s.com/a/{i}", f"<body>{menu}{body(i)}<div>only here {i}</div>{foot}</body>") for i in range(n)], {i: want(i) for i in range(n)}
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_pages_without_an_article_need_templates(spark, limit):
+    rows, want = neutral_pages()
+    assert texts_of(spark, rows, broadcast_rows=limit) == want
+    without = texts_of(spark, rows, min_pages=1000, broadcast_rows=limit)
+    assert all("About us" in t and "All rights" in t for t in without.values())
+
+
+def test_a_section_has_its_own_template(spark):
+    box = "<div><span>Only in the news section</span></div>"
+    page = lambda i, extra: f"<body>{extra}<div><p>{' '.join(f'w{i}y{k}' for k in range(30))}</p></div></body>"
+    rows = [(i, f"http://big.com/news/{i}", page(i, box)) for i in range(6)] + [(100 + i, f"http://big.com/other/{i}", page(100 + i, "")) for i in range(60)]
+    got = texts_of(spark, rows)
+    assert not any("Only in" in t for t in got.values()) and all(got[i].startswith(f"w{i}y0 ") for i in got)
+
+
+def test_what_recurs_inside_articles(spark):
+    words = lambda i: " ".join(f"w{i}z{k}" for k in range(30))
+    page = lambda i, own: f"<article><h1>T{i}</h1><p>{own}</p><p>A line that some print</p>{'<p>Subscribe to us today</p>'}<div><span>Rate this</span></div></article>"
+    rows = [(i, f"http://a.com/{i}", page(i, words(i))) for i in range(30)]
+    rows = [(i, u, h if i % 2 else h.replace("<p>A line that some print</p>", "")) for i, u, h in rows]
+    got = texts_of(spark, rows)
+    assert got == {i: f"T{i}\n{words(i)}" + ("\nA line that some print" if i % 2 else "") for i in range(30)}
+    # Copies of one article, each beside another advert, stay whole; so do whole pages.
+    for tag in ("article", "section"):
+        rows = [(i, "http://b.com/x", f"<body><div class='ad'>Buy {i}</div><{tag}><div><p>{words(1)}</p><p>End</p></div></{tag}></body>") for i in range(30)]
+        assert set(texts_of(spark, rows).values()) == {f"{words(1)}\nEnd"}
+
+
+def test_names_with_other_words_say_nothing(spark):
+    kept = "<div class='share-price'><p>Up by two</p></div><div id='relatedWorks'><p>Cited</p></div><div class='socialScience'><p>Field</p></div>"
+    gone = "<div class='share-buttons'>Tweet</div><div class='site-header x'>Logo</div><div id='comments'>Hi</div><div class='cookieNotice'>Ok</div><div class='ad'>Buy</div>"
+    assert texts_of(spark, [(1, "http://a.com/", f"<body>{gone}{kept}</body>")]) == {1: "Up by two\nCited\nField"}
+
+
+def test_templates_against_a_plain_count(spark):
+    from html.parser import HTMLParser
+
+    from tallyspark.llm.html_extraction import site_templates
+    from tallyspark.llm.html_tree import read
+
+    class Plain(HTMLParser):
+        """Subtrees as nested tuples."""
+
+        def __init__(self):
+            super().__init__(convert_charrefs=False)
+            self.stack, self.found = [["root", []]], []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append([(tag, dict(attrs).get("class", "")), []])
+
+        def handle_endtag(self, tag):
+            name, parts = self.stack.pop()
+            node = (name, tuple(parts))
+            self.found.append(node)
+            self.stack[-1][1].append(node)
+
+        def handle_data(self, data):
+            if data.strip():
+                self.stack[-1][1].append(" ".join(data.split()))
+
+    r = random.Random(21)
+    bits = ["<div><span>menu</span></div>", "<ul><li>a</li><li>b</li></ul>", "<div class='x'>box</div>", "<p>note</p>"]
+    rows = []
+    for k in range(80):
+        extra = "".join(r.choice(bits) for _ in range(r.randrange(3)))
+        rows.append((r.choice(["h1", "h2", "h3"]), r.choice(["n", "m"]), f"<body>{extra}<div><p>own {k}</p></div></body>"))
+    count, pages, hash_of = {}, {}, {}
+    for host, section, page in rows:
+        p = Plain()
+        p.feed(page)
+        nodes = {n for n in p.found if n[0][0] != "body"}
+        closed = [n.hash for kind, n in read(page) if kind == "close" and n.tag != "body"]
+        hash_of.update(zip([n for n in p.found if n[0][0] != "body"], closed, strict=True))
+        for key in ((host, section), (host, None)):
+            pages[key] = pages.get(key, 0) + 1
+            for n in nodes:
+                count[key, n] = count.get((key, n), 0) + 1
+    want = {(*key, hash_of[n], k >= 6 and k >= 0.4 * pages[key]) for (key, n), k in count.items() if k >= 3 and k >= 0.2 * pages[key]}
+    got = site_templates(spark.createDataFrame(rows, "host string, section string, html string"), 3, 0.2, 6, 0.4)
+    assert {tuple(x) for x in got.collect()} == want and len(want) > 10 and any(w[3] for w in want)
+
+
 # decontamination
 
 ITEM = "a train leaves Paris at 9 and travels 120 km in 2 hours before it meets the other train that left from Lyon at noon"
