@@ -1,7 +1,7 @@
 """Sharding by size-tiered compaction, with versioned manifests.
 
 A store is a folder with data files, manifests and versions. Arrivals are appended as small immutable Parquet shards.
-Shards of similar size (the same power of ``fanout``) are one tier; a tier with ``fanout`` shards or more under the target
+Shards of similar size (the same power of ``fanout``) are one tier; a tier with ``fanout`` shards or more under half the target
 size is merged into files of about ``target_bytes``, until no tier has so many. Every change is one version: a manifest (a Parquet table
 of shard paths, sizes and row counts) is written first, then a small pointer file is renamed to the version's name, which fails
 if that version exists. A reader sees a version whole or not at all; what a failed writer left is in no manifest.
@@ -137,26 +137,32 @@ class ShardStore:
         spark = self.spark.newSession()
         for k, v in (("spark.sql.files.maxPartitionBytes", self.target_bytes), ("spark.sql.files.openCostInBytes", 1), ("spark.sql.files.minPartitionNum", 1)):
             spark.conf.set(k, str(v))
+        full: list[int] = []
         while True:
             base = self._pointer(None)
-            small = self.manifest(base["version"]).where(F.col("bytes") < self.target_bytes * 3 // 4).withColumn("tier", self._tier())
-            tiers = [r["tier"] for r in small.groupBy("tier").count().where(F.col("count") >= self.fanout).orderBy("tier").collect()]
-            merged = False
-            for tier in tiers[:1]:
-                paths = [r["path"] for r in small.where(F.col("tier") == tier).orderBy("version", "path").collect()]
-                folder = f"data/{uuid.uuid4().hex}"
-                self._shards(paths, base["schema"], spark).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
-                added = self._listed(folder).persist()
+            # Of shards under half the target at least two fit into one, so a merge always leaves fewer.
+            small = self.manifest(base["version"]).where(F.col("bytes") < self.target_bytes // 2).withColumn("tier", self._tier())
+            tiers = small.where(~F.col("tier").isin(full)).groupBy("tier").count().where(F.col("count") >= self.fanout).orderBy("tier").limit(1).collect()
+            if not tiers:
+                return base["version"]
+            tier = tiers[0]["tier"]
+            paths = [r["path"] for r in small.where(F.col("tier") == tier).orderBy("version", "path").collect()]
+            folder = f"data/{uuid.uuid4().hex}"
+            self._shards(paths, base["schema"], spark).write.option("compression", "zstd").parquet(f"{self.root}/{folder}")
+            added = self._listed(folder).persist()
+            try:
                 if added.count() >= len(paths):
-                    # Spark made no fewer files of them: nothing is won, and a next try would do the same.
-                    added.unpersist()
-                    return base["version"]
-                if not self._commit(base, added, paths, base["schema"]):
-                    raise RuntimeError("another writer has committed meanwhile; the merged files are in no version")
+                    # Nothing is won (a codec may have made them larger), and a next try would do the same.
+                    full.append(tier)
+                    self._drop(folder)
+                elif not self._commit(base, added, paths, base["schema"]):
+                    self._drop(folder)
+                    raise RuntimeError("another writer has committed meanwhile; the merged files are gone again")
+            finally:
                 added.unpersist()
-                merged = True
-            if not merged:
-                return base["version"]
+
+    def _drop(self, folder: str) -> None:
+        self._system.delete(self._path(folder), True)
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version, the last one if None."""

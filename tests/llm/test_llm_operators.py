@@ -490,6 +490,48 @@ def test_sharding(spark, tmp_path):
         store.read(99)
 
 
+def test_merged_shards_are_of_the_target_size_and_nothing_is_left_behind(spark, tmp_path):
+    from tallyspark.llm.sharding import ShardStore
+
+    r = random.Random(3)
+    rows = spark.createDataFrame([(k, "".join(r.choices("abcdefghijklmnop", k=2000))) for k in range(1200)], "doc_id long, text string")
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=200_000, least_bytes=1 << 12)
+    store.append(rows.repartition(2), F.col("doc_id") % 12)
+    store.compact()
+    sizes = [x["bytes"] for x in store.manifest().collect()]
+    assert max(sizes) <= 1.3 * 200_000 and sum(x >= 100_000 for x in sizes) >= len(sizes) - 3
+    # Shards over half the target stay as they are, at every call.
+    folders = lambda: sorted(p.name for p in (tmp_path / "s/data").iterdir())
+    before = folders()
+    last = store.versions()[-1]
+    assert store.compact() == last and folders() == before and store.read().count() == 1200
+
+
+def test_a_crash_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    from tallyspark.llm.sharding import ShardStore
+
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        store.append(spark.range(k, k + 1))
+    for step in ("_listed", "_commit"):  # after the data, and after the manifest but before the pointer
+
+        def crash(*a, plain=getattr(ShardStore, step), step=step):
+            if step == "_commit":
+                monkeypatch.setattr(store, "_files", None)
+                return plain(store, *a)
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(store, step, crash)
+            with pytest.raises((OSError, AttributeError)):
+                store.append(spark.range(50, 60))
+        assert store.versions() == [1, 2, 3, 4] and store.read().count() == 4
+    monkeypatch.undo()
+    again = ShardStore(spark, f"file://{tmp_path}/s")
+    assert again.append(spark.range(4, 5)) == 5 and again.compact() == 6
+    assert sorted(x["id"] for x in again.read().collect()) == [0, 1, 2, 3, 4] and again.manifest().count() == 1
+
+
 def test_a_version_is_committed_once(spark, tmp_path):
     from tallyspark.llm.sharding import MANIFEST, ShardStore
 
