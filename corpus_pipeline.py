@@ -18,6 +18,7 @@ from tallyspark.llm.line_dedup import line_dedup
 from tallyspark.llm.packing import pack_documents
 from tallyspark.llm.quality import quality
 from tallyspark.llm.queries import vocabulary
+from tallyspark.session import scratch
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -69,7 +70,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's result is a table; what it needed on the way is deleted once that is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, keep=True)
     return docs

@@ -621,6 +621,13 @@ def test_everything_left_is_packed(stages):
     assert after.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
 
 
-def test_run_is_the_stages_in_order(spark, small, pipeline):
+def test_run_is_the_stages_in_order(spark, small, pipeline, stages, tmp_path, monkeypatch):
+    from tallyspark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
     out = pipeline.run(spark, small)
-    assert out.count() > 0 and "sequence_id" in out.columns
+    # Only the stages' results are left in the shared folder.
+    assert sorted(p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir() if p.is_dir()) == sorted(name for name, _ in pipeline.STAGES)
+    ids = spark.read.parquet(f"{small}/documents.parquet").select("doc_id").distinct()
+    assert out.select("doc_id").distinct().join(ids, "doc_id").count() == out.select("doc_id").distinct().count() > 0
+    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
