@@ -110,9 +110,22 @@ def dense_grid(entities: DataFrame, seasons: Sequence[int], facts: DataFrame, ke
 
 
 def holds_all(rows: DataFrame, files: DataFrame, keys: Sequence[str], wanted: str, held: str, file: str) -> DataFrame:
-    """Each row with the first file of its keys that holds all of the wanted members."""
-    out = rows.join(files, list(keys)).where(F.size(F.array_except(wanted, held)) == 0)
-    return out.groupBy(*rows.columns).agg(F.min(file).alias(file))
+    """Each row with the first file of its keys that holds all of the wanted members; rows without one go.
+
+    Equal sets are one class on either side. A class of wanted members is looked up only by that one of them which the fewest classes of
+    files hold, so neither many files nor a member that most of them hold are joined with every row.
+    """
+    as_set = lambda c: F.array_sort(F.array_distinct(c))
+    k = list(keys)
+    sets = files.groupBy(*k, as_set(F.col(held)).alias("__held")).agg(F.min(file).alias("__file"))
+    asking = rows.withColumn("__wanted", as_set(F.col(wanted)))
+    asked = asking.select(*k, "__wanted").distinct()
+    listed = sets.withColumn("__m", F.explode("__held"))
+    often = listed.groupBy(*k, "__m").agg(F.count("*").alias("__n"))
+    rare = asked.withColumn("__m", F.explode("__wanted")).join(often, [*k, "__m"], "left").groupBy(*k, "__wanted").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)), "__m"))["__m"].alias("__m"))
+    found = rare.join(listed, [*k, "__m"]).where(F.size(F.array_except("__wanted", "__held")) == 0).groupBy(*k, "__wanted").agg(F.min("__file").alias(file))
+    anything = asked.where(F.size("__wanted") == 0).join(sets.where("__held is not null").groupBy(*k).agg(F.min("__file").alias(file)), k)
+    return asking.join(found.unionByName(anything.select(found.columns)), [*k, "__wanted"]).select(*rows.columns, file)
 
 
 def scoped_alias(rows: DataFrame, aliases: DataFrame, name: str, scopes: Sequence[str], into: str) -> DataFrame:
@@ -146,6 +159,15 @@ def equal_sets(left: DataFrame, right: DataFrame, members: str, keys: Sequence[s
     return left.withColumn("__set", sign).join(other, ["__set", *keys]).drop("__set")
 
 
+def set_meetings(rows: DataFrame, key: str, members: str) -> DataFrame:
+    """rows with meetings, how many other rows hold the same members in any order, and first_other, the least key of these. Rows meet their set's summary, not each other."""
+    x = rows.withColumn("__set", F.array_join(F.array_sort(F.array_distinct(F.transform(members, lambda m: m.cast("string")))), "\x00"))
+    first = x.groupBy("__set").agg(F.count("*").alias("__n"), F.min(key).alias("__first"))
+    second = x.join(first, "__set").where(F.col(key) != F.col("__first")).groupBy("__set").agg(F.min(key).alias("__second"))
+    out = x.join(first, "__set").join(second, "__set", "left")
+    return out.select(*rows.columns, (F.col("__n") - 1).alias("meetings"), F.when(F.col(key) == F.col("__first"), F.col("__second")).otherwise(F.col("__first")).alias("first_other"))
+
+
 def faceted(rows: DataFrame, facets: dict[str, Sequence]) -> DataFrame:
     """Rows that meet every facet that has values; a facet without values allows all. Conditions reach the scan."""
     for column, values in facets.items():

@@ -1,6 +1,10 @@
-"""Ratings over a whole history of matches, in rating periods.
+"""Ratings over a whole history of matches: match by match, or in rating periods.
 
-Ratings depend on all matches before, of any player, so no grouping by player can compute them. Here time is cut into periods: all
+`sequential_ratings` is the exact fold: each match uses the ratings that the one before left. It runs pool by pool (a pool is what
+shares ratings, say a discipline and gender); within a pool it is one sequence by nature. A task streams its pool's matches in order
+and holds only the ratings of the pool's players, whatever the number of matches; what comes out is the whole rating history, a row for each seat of a match.
+
+`period_ratings` is for pools too long for one task. Ratings depend on all matches before, of any player, so no grouping by player can compute them. Here time is cut into periods: all
 matches of a period use the ratings at its start, and a player's changes within it add up. If no player plays twice in a
 period, that is exactly the sequential rating. A period is one set of joins over its own matches and the players; the state is a table
 in the shared folder, so lineage doesn't grow with the number of periods, and no task sees more than its share of the matches.
@@ -8,14 +12,15 @@ in the shared folder, so lineage doesn't grow with the number of periods, and no
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import expected_score
-from ..session import as_table
+from ..session import as_table, ship_package
 from .sequences import percentile_floor
 
 # K by tier.
@@ -54,3 +59,63 @@ def period_ratings(matches: DataFrame, k: Mapping[str, float] = K_BY_TIER, initi
         state = as_table(joined.select("player", F.round(F.coalesce("rating", F.lit(initial)) + F.coalesce("change", F.lit(0.0)), places).alias("rating"), (F.coalesce("played", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("long").alias("played"), (F.coalesce("won", F.lit(0)) + F.coalesce("w", F.lit(0))).cast("long").alias("won")), "ratings")
     none = spark.createDataFrame([], "period long, match long, chance double, rating_gap long")
     return state, reduce(DataFrame.unionByName, upsets) if upsets else none
+
+
+HISTORY = "match long, player string, side string, won boolean, before double, after double, played long, chance double, rating_gap double, upset boolean"
+
+
+def sequential_ratings(matches: DataFrame, pool: Sequence[str], order: Sequence[str], event: str = "event", k: Mapping[str, float] = K_BY_TIER, initial: float = 1500.0, scale: float = 400.0, established: int = 10, upset_chance: float = 0.15, top_share: float = 0.05, least_pool: int = 50) -> DataFrame:
+    """The rating history: a row for each player of each match, with the rating before and after it, and the match's chance of the winner, rating gap and upset.
+
+    matches: pool and order columns, event (a tournament), match, side_a and side_b (arrays of players), a_won (boolean), tier. Matches of
+    a pool are taken in the order of `order`, then match; those without a winner (null a_won) or an empty side are left out. An upset's winner had
+    at most upset_chance, all its players were established, and its loser was at or above the rating that the top share of established players had when
+    the event began; with fewer than least_pool of these there are none.
+    """
+    ship_package(matches.sparkSession)
+    names = list(pool)
+    x = matches.where("a_won is not null and size(side_a) > 0 and size(side_b) > 0").select(*names, *order, F.col(event).cast("string").alias("__event"), "match", "side_a", "side_b", "a_won", "tier")
+    steps = {t: float(v) for t, v in k.items()}
+    other = steps.get("national", 32.0)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, event, floor = None, None, float("inf")
+        rating: dict[str, float] = {}
+        played: dict[str, int] = {}
+        for batch in batches:
+            out = []
+            for key, at, match, a, b, a_won, tier in zip(zip(*(batch[c] for c in names), strict=True), batch["__event"], batch["match"], batch["side_a"], batch["side_b"], batch["a_won"], batch["tier"], strict=True):
+                if key != now:
+                    now, event, rating, played = key, None, {}, {}
+                if event is None or at != event:
+                    event = at
+                    known = sorted((rating[p] for p, n in played.items() if n >= established), reverse=True)
+                    floor = known[min(len(known) - 1, int(len(known) * top_share))] if known and len(known) >= least_pool else float("inf")
+                ra, rb = (sum(rating.get(p, initial) for p in side) / len(side) for side in (a, b))
+                chance_a = 1 / (1 + 10 ** ((rb - ra) / scale))
+                chance = chance_a if a_won else 1 - chance_a
+                upset = chance <= upset_chance and all(played.get(p, 0) >= established for p in (*a, *b)) and (rb if a_won else ra) >= floor
+                change = steps.get(tier, other) * ((1 if a_won else 0) - chance_a)
+                for side, players, sign in (("a", a, 1), ("b", b, -1)):
+                    for p in players:
+                        before = rating.get(p, initial)
+                        rating[p], played[p] = before + sign * change, played.get(p, 0) + 1
+                        out.append((*key, match, p, side, (side == "a") == bool(a_won), before, rating[p], played[p], chance, abs(ra - rb), upset))
+            yield pd.DataFrame(out, columns=[*names, *(c.split()[0] for c in HISTORY.split(", "))])
+
+    kinds = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in names)
+    # A range of its own for each pool would need their number; by hash, several pools may share a task, one after the other.
+    return x.repartition(*names).sortWithinPartitions(*names, *order, "match").mapInPandas(fold, f"{kinds}, {HISTORY}")
+
+
+def latest_ratings(history: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """(pool, player, rating, played, won) after the last match of each player."""
+    last = F.max_by(F.struct("after", "played"), "played")
+    return history.groupBy(*pool, "player").agg(last.alias("x"), F.count_if("won").alias("won")).select(*pool, "player", F.col("x.after").alias("rating"), "x.played", "won")
+
+
+def upsets(history: DataFrame, pool: Sequence[str]) -> DataFrame:
+    """(pool, match, chance, rating_gap, winners, losers) of upsets; players with their rating before."""
+    seats = history.where("upset").withColumn("seat", F.struct("player", F.round("before").cast("long").alias("rating")))
+    who = lambda won: F.array_sort(F.collect_list(F.when(F.col("won") == won, F.col("seat"))))
+    return seats.groupBy(*pool, "match").agg(F.round(F.first("chance"), 3).alias("chance"), F.round(F.first("rating_gap")).cast("long").alias("rating_gap"), who(True).alias("winners"), who(False).alias("losers"))

@@ -27,16 +27,16 @@ def title_defence(spark, d):
 
 @query(
     """
-WITH b AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_shipdate < '1998-01-01' AND l_linenumber <= 2),
-n AS (SELECT l_suppkey, min(l_orderkey % 9) AS e FROM lineitem WHERE l_shipdate >= '2001-07-01' AND l_quantity > 45 GROUP BY 1),
-x AS (SELECT l_orderkey, count(*) AS members, count(e) AS present, count(DISTINCT e) AS entries FROM b LEFT JOIN n ON n.l_suppkey = b.l_suppkey GROUP BY 1)
+WITH b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_shipdate < '1998-01-01'),
+n AS (SELECT l_partkey, min(l_orderkey % 9) AS e FROM lineitem WHERE l_shipdate >= '2001-07-01' GROUP BY 1),
+x AS (SELECT l_orderkey, count(*) AS members, count(e) AS present, count(DISTINCT e) AS entries FROM b LEFT JOIN n ON n.l_partkey = b.l_partkey GROUP BY 1)
 SELECT *, CASE WHEN present = 0 THEN 'absent' WHEN entries >= 2 THEN 'split' WHEN present = members THEN 'intact' ELSE 'partial' END AS fate FROM x
 """
 )
 def pair_fates(spark, d):
     x = lines(spark, d)
-    field = x.where("l_shipdate >= '2001-07-01' AND l_quantity > 45").select("l_suppkey", (F.col("l_orderkey") % 9).alias("entry"))
-    return H.pair_fates(x.where("l_shipdate < '1998-01-01' AND l_linenumber <= 2"), field, ["l_orderkey"], "l_suppkey", "entry")
+    field = x.where("l_shipdate >= '2001-07-01'").select("l_partkey", (F.col("l_orderkey") % 9).alias("entry"))
+    return H.pair_fates(x.where("l_shipdate < '1998-01-01'"), field, ["l_orderkey"], "l_partkey", "entry")
 
 
 @query(
@@ -57,14 +57,14 @@ def recent_achievers(spark, d):
 @query(
     """
 WITH j AS (SELECT l_partkey, max(year(l_shipdate))::BIGINT AS last_junior, max_by(l_suppkey, (year(l_shipdate), l_suppkey)) AS junior_team FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < '1998-01-01' GROUP BY 1),
-s AS (SELECT l_partkey, min(year(l_shipdate))::BIGINT AS first_senior, min_by(l_suppkey, (year(l_shipdate), l_suppkey)) AS senior_team FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30 GROUP BY 1)
+s AS (SELECT l_partkey, min(year(l_shipdate))::BIGINT AS first_senior, min_by(l_suppkey, (year(l_shipdate), l_suppkey)) AS senior_team FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
 SELECT j.l_partkey, last_junior, junior_team, first_senior, senior_team FROM j JOIN s ON s.l_partkey = j.l_partkey WHERE first_senior - last_junior BETWEEN 1 AND 5 AND j.l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 7)
 """
 )
 def pathways(spark, d):
     x = lines(spark, d)
     homonyms = table(spark, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
-    return H.pathways(x.where("l_returnflag = 'A' AND l_shipdate < '1998-01-01'"), x.where("l_returnflag = 'R' AND l_quantity > 30"), "l_partkey", "yr", "l_suppkey", homonyms)
+    return H.pathways(x.where("l_returnflag = 'A' AND l_shipdate < '1998-01-01'"), x.where("l_returnflag = 'R'"), "l_partkey", "yr", "l_suppkey", homonyms)
 
 
 @query(
@@ -94,11 +94,11 @@ def abandoned_standings(spark, d):
 
 @query(
     """
-WITH m AS (SELECT l_suppkey, year(l_shipdate)::BIGINT AS yr, max((l_linenumber, l_returnflag = 'A')) AS m FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2) SELECT l_suppkey, yr, m[1] AS deepest, m[2] AS won_it FROM m
+WITH m AS (SELECT l_suppkey, year(l_shipdate)::BIGINT AS yr, max((l_linenumber, l_returnflag = 'A')) AS m FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, yr, m[1] AS deepest, m[2] AS won_it FROM m
 """
 )
 def deepest_standing(spark, d):
-    return H.deepest_standing(lines(spark, d).where("l_quantity > 45"), ["l_suppkey", "yr"], F.col("l_linenumber"), F.col("l_returnflag") == "A")
+    return H.deepest_standing(lines(spark, d), ["l_suppkey", "yr"], F.col("l_linenumber"), F.col("l_returnflag") == "A")
 
 
 @query(
@@ -233,16 +233,15 @@ def unique_slugs(spark, d):
 
 @query(
     """
-WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 5)) AS s FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY 1), b AS (SELECT l_orderkey AS other, list_sort(list(DISTINCT l_suppkey % 5)) AS s FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY 1)
-SELECT l_orderkey, count(*) AS meetings, min(other) AS first_other FROM a JOIN b ON a.s = b.s GROUP BY 1
+WITH a AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 5)) AS s FROM lineitem GROUP BY 1), g AS (SELECT s, count(*) AS n, list_sort(list(l_orderkey))[1:2] AS f FROM a GROUP BY 1)
+SELECT l_orderkey, n - 1 AS meetings, CASE WHEN f[1] = l_orderkey THEN f[2] ELSE f[1] END AS first_other FROM a JOIN g ON a.s = g.s
 """
 )
 def equal_sets(spark, d):
-    from ..operators.joins import equal_sets as same
+    from ..operators.joins import set_meetings
 
     x = lines(spark, d).groupBy("l_orderkey").agg(F.collect_list(F.col("l_suppkey") % 5).alias("members"))
-    pairs = same(x.where("l_orderkey % 50 = 0"), x.where("l_orderkey % 50 = 1").withColumnRenamed("l_orderkey", "other"), "members")
-    return pairs.groupBy("l_orderkey").agg(F.count("*").alias("meetings"), F.min("other").alias("first_other"))
+    return set_meetings(x, "l_orderkey", "members").select("l_orderkey", "meetings", "first_other")
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_orderpriority = '1-URGENT' AND year(o_orderdate) IN (1997, 1999)")

@@ -37,14 +37,14 @@ def asof_previous(spark, d):
 
 @query(
     """
-WITH s AS (SELECT l_suppkey, year(l_shipdate)::BIGINT AS yr, count(*) AS points FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40 GROUP BY 1, 2),
+WITH s AS (SELECT l_suppkey, year(l_shipdate)::BIGINT AS yr, count(*) AS points FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
 m AS (SELECT DISTINCT l_orderkey, year(l_shipdate)::BIGINT AS yr, l_suppkey FROM lineitem)
 SELECT m.l_orderkey, m.yr, count(*) AS members, avg(points) AS mean_value FROM m LEFT JOIN s ON s.l_suppkey = m.l_suppkey AND s.yr + 1 = m.yr GROUP BY 1, 2 HAVING count(*) = count(points)
 """
 )
 def previous_season_universal(spark, d):
     x = lines(spark, d)
-    snapshot = x.where("l_returnflag = 'A' AND l_quantity > 40").groupBy("l_suppkey", "yr").agg(F.count("*").alias("points"))
+    snapshot = x.where("l_returnflag = 'A'").groupBy("l_suppkey", "yr").agg(F.count("*").alias("points"))
     return J.previous_season_all(x, ["l_orderkey"], "l_suppkey", "yr", snapshot, "points")
 
 
@@ -145,15 +145,15 @@ def scoped_alias(spark, d):
 
 @query(
     """
-WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS x0, l_quantity + 5 AS x1 FROM lineitem WHERE l_linenumber <= 2),
+WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity AS x0, l_quantity + 5 AS x1 FROM lineitem),
 k AS (SELECT i AS "column", i * 10.0 AS c0, i * 10.0 + 10 AS c1 FROM range(0, 6) t(i)),
 j AS (SELECT c.*, k."column", least(x1, c1) - greatest(x0, c0) AS overlap, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, x0 ORDER BY least(x1, c1) - greatest(x0, c0) DESC, k."column") AS n FROM c JOIN k ON least(x1, c1) > greatest(x0, c0))
 SELECT l_orderkey, l_partkey, l_suppkey, x0, "column", overlap::DOUBLE AS overlap FROM j WHERE n = 1 GROUP BY ALL
 """
 )
 def best_overlap(spark, d):
-    c = lines(spark, d).where("l_linenumber <= 2").select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), F.col("l_linenumber").alias("page"))
-    k = spark.range(6).select(F.explode(F.lit([1, 2])).alias("page"), F.col("id").alias("column"), (F.col("id") * 10.0).alias("c0"), (F.col("id") * 10.0 + 10).alias("c1"))
+    c = lines(spark, d).select("l_orderkey", "l_partkey", "l_suppkey", F.col("l_quantity").alias("x0"), (F.col("l_quantity") + 5).alias("x1"), F.col("l_linenumber").alias("page"))
+    k = spark.range(6).select(F.explode(F.lit(list(range(1, 8)))).alias("page"), F.col("id").alias("column"), (F.col("id") * 10.0).alias("c0"), (F.col("id") * 10.0 + 10).alias("c1"))
     return J.best_overlap(c, F.broadcast(k), ["page"]).select("l_orderkey", "l_partkey", "l_suppkey", "x0", "column", "overlap").distinct()
 
 

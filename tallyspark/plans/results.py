@@ -275,12 +275,12 @@ def roster_results(spark, d):
 
 @query(
     f"""
-WITH c AS (SELECT year(l_shipdate)::BIGINT AS yr, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS "R", count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'A') AS "A", count(DISTINCT (l_returnflag, l_suppkey)) AS n FROM lineitem WHERE l_quantity > 49 GROUP BY 1)
+WITH c AS (SELECT year(l_shipdate)::BIGINT AS yr, count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'R') AS "R", count(DISTINCT l_suppkey) FILTER (WHERE l_returnflag = 'A') AS "A", count(DISTINCT (l_returnflag, l_suppkey)) AS n FROM lineitem GROUP BY 1)
 SELECT yr, "R", "A", {rate_sql('"R"', "n")} AS "R_share", {rate_sql('"A"', "n")} AS "A_share" FROM c
 """
 )
 def affiliation_shares(spark, d):
-    return A.transitions(lines(spark, d).where("l_quantity > 49"), "yr", "l_returnflag", "l_suppkey", ["R", "A"])
+    return A.transitions(lines(spark, d), "yr", "l_returnflag", "l_suppkey", ["R", "A"])
 
 
 @query(

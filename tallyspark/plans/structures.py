@@ -19,7 +19,7 @@ from .sequences import WINNER, events
 
 @query(
     """
-WITH m AS (SELECT l_returnflag AS league, l_suppkey % 12 AS a, l_partkey % 12 AS b, l_quantity::BIGINT AS sa, (l_linenumber * 7)::BIGINT AS sb FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12 AND l_orderkey < 60),
+WITH m AS (SELECT l_returnflag AS league, l_suppkey % 12 AS a, l_partkey % 12 AS b, l_quantity::BIGINT AS sa, (l_linenumber * 7)::BIGINT AS sb FROM lineitem WHERE l_suppkey % 12 <> l_partkey % 12),
 s AS (SELECT league, a AS team, b AS other, sa AS own, sb AS against FROM m UNION ALL SELECT league, b, a, sb, sa FROM m),
 t AS (SELECT league, team, count(*) AS played, count(*) FILTER (WHERE own > against) AS won, count(*) FILTER (WHERE own < against) AS lost, sum(own)::BIGINT AS points_won, sum(against)::BIGINT AS points_lost FROM s GROUP BY 1, 2),
 h AS (SELECT s.league, s.team, count(*) FILTER (WHERE own > against) AS mini_won, sum(own - against)::BIGINT AS mini_difference FROM s JOIN t x ON x.league = s.league AND x.team = s.team JOIN t y ON y.league = s.league AND y.team = s.other AND x.won = y.won GROUP BY 1, 2),
@@ -28,21 +28,26 @@ SELECT *, row_number() OVER (PARTITION BY league ORDER BY won DESC, mini_won DES
 """
 )
 def standings_minileague(spark, d):
-    m = lines(spark, d).where("l_suppkey % 12 <> l_partkey % 12 AND l_orderkey < 60")
+    m = lines(spark, d).where("l_suppkey % 12 <> l_partkey % 12")
     m = m.select(F.col("l_returnflag").alias("league"), (F.col("l_suppkey") % 12).alias("a"), (F.col("l_partkey") % 12).alias("b"), F.col("l_quantity").cast("long").alias("sa"), (F.col("l_linenumber") * 7).cast("long").alias("sb"))
     return league_table(m, ["league"], "a", "b", "sa", "sb").withColumn("place", F.col("place").cast("long"))
 
 
 @query(
     """
-WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, 1000000 + o_orderkey % 400 AS b FROM orders WHERE o_totalprice > 450000),
-n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER w AS b, datediff('day', o_orderdate, lead(o_orderdate) OVER w) AS gap FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+n AS (SELECT a, b FROM e WHERE gap <= 60 UNION SELECT b, a FROM e WHERE gap <= 60),
 r AS (SELECT a AS node, a AS seen FROM n UNION SELECT r.node, n.b FROM r JOIN n ON r.seen = n.a)
 SELECT node, min(seen) AS component FROM r GROUP BY 1
 """
 )
 def connected_components(spark, d):
-    return G.connected_components(orders(spark, d).where("o_totalprice > 450000").select(F.col("o_custkey").alias("a"), (F.lit(1000000) + F.col("o_orderkey") % 400).alias("b")))
+    from pyspark.sql import Window
+
+    # An order and the customer's next one belong together if at most 60 days lie between them.
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    e = orders(spark, d).select(F.col("o_orderkey").alias("a"), F.lead("o_orderkey").over(w).alias("b"), F.datediff(F.lead("o_orderdate").over(w), "o_orderdate").alias("gap"))
+    return G.connected_components(e.where("gap <= 60"))
 
 
 @query(
@@ -130,9 +135,9 @@ def interval_conflict(spark, d):
     return Q.empty_intersections(events(spark, d).withColumn("high", F.col("value") + 60), ["user_id", "day"], "value", "high")
 
 
-@query("SELECT l_partkey, year(l_shipdate)::BIGINT AS yr, count(DISTINCT l_suppkey) AS places FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1")
+@query("SELECT l_partkey, year(l_shipdate)::BIGINT AS yr, count(DISTINCT l_suppkey) AS places FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) > 1")
 def in_two_places(spark, d):
-    return Q.in_two_places(lines(spark, d).where("l_quantity > 40"), ["l_partkey", "yr"], "l_suppkey")
+    return Q.in_two_places(lines(spark, d), ["l_partkey", "yr"], "l_suppkey")
 
 
 @query(
@@ -183,7 +188,7 @@ PERIODS = 5
 
 
 def _elo_sql() -> str:
-    m = "SELECT event_id AS match, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, least((ts::DATE - DATE '2024-01-01') // 7, 4) AS period, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END AS k FROM events WHERE event_type IN ('purchase', 'signup', 'error')"
+    m = "SELECT event_id AS match, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, least((ts::DATE - DATE '2024-01-01') // 7, 4) AS period, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END AS k FROM events"
     parts = [f"m AS ({m})", "s0 AS (SELECT NULL::VARCHAR AS player, 1500.0::DOUBLE AS rating, 0::BIGINT AS played, 0::BIGINT AS won WHERE false)"]
     for p in range(PERIODS):
         parts.append(f"c{p} AS (SELECT a, b, a_won, k * (a_won::INT - 1 / (1 + pow(10, (coalesce(y.rating, 1500) - coalesce(x.rating, 1500)) / 400))) AS d FROM m LEFT JOIN s{p} x ON x.player = a LEFT JOIN s{p} y ON y.player = b WHERE period = {p})")
@@ -194,11 +199,29 @@ def _elo_sql() -> str:
 
 @query(_elo_sql())
 def elo_replay(spark, d):
-    x = events(spark, d).where("event_type IN ('purchase', 'signup', 'error')")
-    m = x.select(F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7), F.lit(PERIODS - 1)).alias("period"), F.col("event_id").alias("match"), F.array(F.col("user_id").cast("string")).alias("side_a"), F.array(F.concat(F.lit("k"), F.from_json("props", "k long")["k"].cast("string"))).alias("side_b"), (F.col("event_type") != "error").alias("a_won"), F.when(F.col("event_type") == "purchase", "major").when(F.col("event_type") == "signup", "national").otherwise("local").alias("tier"))
+    m = _matches(spark, d).withColumn("period", F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7), F.lit(PERIODS - 1)))
     return E.period_ratings(m)[0].withColumn("rating", F.round("rating", 4))
 
 
+def _matches(spark, d):
+    """Every event is a match of its user against another: lost if it is an error."""
+    x = events(spark, d)
+    tier = F.when(F.col("event_type") == "purchase", "major").when(F.col("event_type") == "signup", "national").otherwise("local")
+    return x.select(F.lit("all").alias("pool"), "ts", F.to_date("ts").alias("event"), F.col("event_id").alias("match"), F.array(F.col("user_id").cast("string")).alias("side_a"), F.array(F.concat(F.lit("k"), F.from_json("props", "k long")["k"].cast("string"))).alias("side_b"), (F.col("event_type") != "error").alias("a_won"), tier.alias("tier"))
+
+
+
+@query()
+def elo_sequence(spark, d):
+    return E.latest_ratings(E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"]), ["pool"]).select("player", F.round("rating", 4).alias("rating"), "played", "won")
+
+
+@query()
+def elo_upsets(spark, d):
+    h = E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"], established=3, upset_chance=0.45, top_share=0.3, least_pool=20)
+    return E.upsets(h, ["pool"]).select("match", "chance", "rating_gap")
+
+
 @query(
     f"""
 WITH x AS (SELECT user_id AS match, dayofyear(ts)::BIGINT AS game, {WINNER} AS w, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS point FROM events),
