@@ -14,14 +14,16 @@ knockoutDraw struct<slots:array<struct<`group`:string, rank:int>>>,
 _corrupt string
 """
 PATH = r"([^/]+)/(\d{4})/([^/]+)\.json$"
+#: The same keys in the folders that Spark's partitioned writer makes.
+PARTITIONED = r"tournament=([^/]+)/year=(\d{4})/category=([^/]+)/[^/]+\.json$"
 KEYS = ["tournament", "year", "category"]
 
 
-def read_details(spark: SparkSession, root: str) -> DataFrame:
+def read_details(spark: SparkSession, root: str, layout: str = PATH) -> DataFrame:
     """One row a document: tournament, year and category by its path, its arrays, and variant (standard, matches_only, round_robin_only, mixed or unknown). Documents by other paths are left out."""
     x = spark.read.schema(SCHEMA).json(root, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json", mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     path = F.col("_metadata.file_path")
-    x = x.select(F.regexp_extract(path, PATH, 1).alias("tournament"), F.regexp_extract(path, PATH, 2).try_cast("int").alias("year"), F.regexp_extract(path, PATH, 3).alias("category"), "*").where("tournament <> ''")
+    x = x.select(F.regexp_extract(path, layout, 1).alias("tournament"), F.regexp_extract(path, layout, 2).try_cast("int").alias("year"), F.regexp_extract(path, layout, 3).alias("category"), "*").where("tournament <> ''")
     return x.withColumn("variant", variant())
 
 
