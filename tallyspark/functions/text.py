@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ def fold(text: Column, variants: str, plain: str) -> Column:
 def strip_suffixes(text: Column, suffixes: Sequence[str], least: int = 2) -> Column:
     """Strips suffixes from the end again and again, leaving `least` characters at least."""
     endings = "|".join(sorted(suffixes, key=len, reverse=True))
-    return F.regexp_replace(text, f"(?<=^.{{{least},200}}?)(?:{endings})+$", "")
+    return F.regexp_replace(text, f"(?s)^(.{{{least},}}?)(?:{endings})+$", "$1")
 
 
 def drop_repeats(text: Column, separator: str = "_") -> Column:
@@ -110,3 +110,34 @@ def video_id(url: Column) -> Column:
 def first_date(text: Column, formats: Sequence[str]) -> Column:
     """The date by the first format that fits."""
     return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)).cast("date") for f in formats))
+
+
+def join_name(last: Column, first: Column) -> Column:
+    """Last and first name: joined directly if either is written in kana or Han, else by a space; empty parts don't count."""
+    parts = F.filter(F.array(*(F.btrim(F.coalesce(x, F.lit(""))) for x in (last, first))), lambda x: x != "")
+    close = F.exists(parts, lambda x: x.rlike(r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]"))
+    return F.when(close, F.array_join(parts, "")).otherwise(F.array_join(parts, " "))
+
+
+def recover_team(text: Column, regions: Mapping[str, str]) -> Column:
+    """struct(team, region) of a team name that is a joined id (it begins with "_"): tokens without repeats, and the last one as region if it is one of `regions` (name: short name), together with its short name before it. Other names stay."""
+    tokens = F.split(drop_repeats(text), "_", -1)
+    n = F.size(tokens)
+    last = F.when((n > 1) & F.element_at(tokens, -1).isin(*regions), F.element_at(tokens, -1))
+    short = F.lit(None).cast("string")
+    for name, brief in regions.items():
+        short = F.when(last == name, brief).otherwise(short)
+    cut = F.when(last.isNull(), 0).when((n > 2) & (F.try_element_at(tokens, F.lit(-2)) == short), 2).otherwise(1)
+    team = F.array_join(F.slice(tokens, F.lit(1), n - cut), "_")
+    joined = text.startswith("_")
+    return F.struct(F.when(joined, team).otherwise(text).alias("team"), F.when(joined, last).alias("region"))
+
+
+def clamped(date: Column, as_of: Column) -> Column:
+    """The date, or as_of where it is later; null stays null."""
+    return F.when(date.isNotNull(), F.least(date, as_of))
+
+
+def collated(text: Column, locale: str = "ja") -> Column:
+    """The text with a locale's order for comparing and sorting."""
+    return F.collate(text, locale)

@@ -42,14 +42,28 @@ def growth_comparison(spark, d):
     return out.select("match", "metric", "part", "whole", F.round("rate", 4).alias("rate"), F.round("rate_before", 4).alias("rate_before"), "whole_before", F.round("delta", 4).alias("delta"), "trend", "confidence")
 
 
-@query()
+@query(
+    f"""
+WITH x AS (SELECT user_id AS match, dayofyear(ts) AS game, {WINNER} AS w, event_id % 2 = 0 AS serves, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) = 1 AS opens FROM events),
+s AS (SELECT match, game <= 15 AS early, w = 'A' AS won, serves, opens FROM x WHERE w IS NOT NULL),
+m AS (SELECT match, early, 'on_serve' AS metric, count(*) FILTER (WHERE won AND serves) AS part, count(*) FILTER (WHERE serves) AS whole FROM s GROUP BY 1, 2
+ UNION ALL SELECT match, early, 'on_return', count(*) FILTER (WHERE won AND NOT serves), count(*) FILTER (WHERE NOT serves) FROM s GROUP BY 1, 2
+ UNION ALL SELECT match, early, 'first_point', count(*) FILTER (WHERE won AND opens), count(*) FILTER (WHERE opens) FROM s GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN whole > 0 THEN 100.0 * part / whole END AS rate FROM m),
+j AS (SELECT a.match, a.metric, a.rate - b.rate AS delta FROM r a JOIN r b ON a.match = b.match AND a.metric = b.metric AND NOT a.early AND b.early),
+t AS (SELECT match, metric, row_number() OVER (PARTITION BY match ORDER BY delta, metric) AS n FROM j WHERE abs(delta) >= 2 AND delta < 0),
+w AS (SELECT match, metric, sum(part) AS part, sum(whole) AS whole FROM m GROUP BY 1, 2)
+SELECT match, 'theme' AS kind, CASE metric WHEN 'on_serve' THEN 'serve' WHEN 'on_return' THEN 'return' ELSE 'starts' END AS name FROM t WHERE n <= 3
+UNION ALL SELECT match, 'hint', CASE metric WHEN 'on_serve' THEN 'weak serve' WHEN 'on_return' THEN 'weak return' ELSE 'slow start' END FROM w WHERE whole >= 5 AND 100.0 * part / whole < CASE metric WHEN 'on_serve' THEN 50 ELSE 45 END
+"""
+)
 def practice_themes(spark, d):
-    """Up to three themes for metrics that declined, and hints by threshold; unit tests hold the parts."""
+    """Up to three themes for metrics that declined, and hints by threshold."""
     x, games = point_log(spark, d)
     side = P.by_side(P.reconstruct(x, games)).where("side = 'A'")
     m = P.side_metrics(side, ["match"])
     half = lambda early: P.combine(P.side_metrics(side.where((F.col("game") <= 15) == early), ["match"]), ["match"])
-    themes = spark.createDataFrame([("on_serve", "serve"), ("on_return", "return"), ("game_point", "closing games"), ("first_point", "starts"), ("long_rally", "patience")], "metric string, theme string")
+    themes = spark.createDataFrame([("on_serve", "serve"), ("on_return", "return"), ("first_point", "starts")], "metric string, theme string")
     t = P.practice_themes(P.compare(half(False), half(True), ["match"]), ["match"], themes).select("match", F.lit("theme").alias("kind"), F.col("theme").alias("name"))
     h = P.hints(m, ["match"], [("weak serve", "on_serve", F.col("rate") < 50), ("weak return", "on_return", F.col("rate") < 45), ("slow start", "first_point", F.col("rate") < 45)]).select("match", F.lit("hint").alias("kind"), F.col("hint").alias("name"))
     return t.unionByName(h)

@@ -134,6 +134,9 @@ _SQL = {
     "head_to_head": f"SELECT person, opponent, {_WON} AS wins, {_LOST} AS losses, {_WON} + {_LOST} AS total, {rate_sql(_WON, f'{_WON} + {_LOST}')} AS win_rate, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, unnest(CASE WHEN category LIKE 'doubles%' THEN ['P', 'Q'] ELSE ['P'] END) || other || 'X@T' || other % 20 AS opponent FROM mf) GROUP BY 1, 2",
     "reach": f"SELECT person, count(*) AS entries, {_share('final_rate', chr(39).join(['placement IN (', 'winner', ', ', 'runnerup', ')']))}, {_share('semifinal_rate', 'true')}, {_share('title_rate', chr(39).join(['placement = ', 'winner', '']))} FROM ef WHERE placement <> 'unknown' GROUP BY 1",
     "titles": "SELECT person, count(*) AS titles, count(*) FILTER (WHERE is_national) AS national_titles, count(*) FILTER (WHERE is_major) AS major_titles FROM ef WHERE placement = 'winner' GROUP BY 1",
+    "milestones": "SELECT person, min(date) AS debut, min(date) FILTER (WHERE is_national) AS first_national, min(date) FILTER (WHERE placement = 'winner') AS first_title FROM ef GROUP BY 1",
+    "title_streaks": "SELECT person, tournament, min(year) AS first_year, max(year) AS last_year, count(*) AS length FROM (SELECT *, year - row_number() OVER (PARTITION BY person, tournament ORDER BY year) AS island FROM (SELECT DISTINCT person, tournament, year FROM ef WHERE placement = 'winner')) GROUP BY person, tournament, island HAVING count(*) >= 2",
+    "rankings": "SELECT *, rank() OVER (PARTITION BY year, discipline, gender ORDER BY points DESC, best DESC)::INT AS rnk FROM (SELECT person, year, discipline, gender, round(sum(score), 3) AS points, count(*) AS counted, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY person, year, discipline, gender ORDER BY score DESC) AS n FROM (SELECT *, CASE WHEN is_major THEN 100.0 WHEN is_national THEN 60.0 ELSE 20.0 END * CASE placement WHEN 'winner' THEN 1.0 WHEN 'runnerup' THEN 0.7 WHEN 'best4' THEN 0.5 ELSE 0.1 END AS score FROM ef WHERE discipline = 'doubles')) WHERE n <= 3 GROUP BY ALL)",
     "best_seasons": f"SELECT person, discipline, year, wins, total, win_rate FROM (SELECT *, row_number() OVER (PARTITION BY person, discipline ORDER BY win_rate DESC, year) AS n FROM ({_fold('person, discipline, year')}) WHERE total >= 10) WHERE n = 1",
     "highlights": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY win_rate, total DESC, opponent)::INT AS place FROM (SELECT person, opponent, {_WON} AS wins, {_LOST} AS losses, {_WON} + {_LOST} AS total, {rate_sql(_WON, f'{_WON} + {_LOST}')} AS win_rate, min(date) AS first_date, max(date) AS last_date FROM (SELECT *, unnest(CASE WHEN category LIKE 'doubles%' THEN ['P', 'Q'] ELSE ['P'] END) || other || 'X@T' || other % 20 AS opponent FROM mf) GROUP BY 1, 2) WHERE total >= 3) WHERE place <= 3",
 }
