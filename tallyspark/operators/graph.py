@@ -44,6 +44,27 @@ def greedy_merge(groups: DataFrame, shared: DataFrame, key: str, member: str, co
     return x.select(key, member, F.coalesce(F.substring_index("component", "\x00", -1), F.col(member).cast("string")).alias("cluster"))
 
 
+def place_greedily(clusters: DataFrame, conflict: DataFrame, key: str, cluster: str, weight: str) -> DataFrame:
+    """clusters with person from 0: those of a key, heaviest first (equals by name), each go to the first person that holds none they conflict with, else to a new one.
+
+    clusters: key, cluster, weight, once each. conflict: key, a, b, either way round. The clusters of a key (the teams of a name) are few enough for one row's array.
+    """
+    both = conflict.select(key, "a", "b").union(conflict.select(key, "b", "a")).groupBy(key, F.col("a").alias(cluster)).agg(F.collect_set("b").alias("__against"))
+    x = clusters.select(key, cluster, weight).join(both, [key, cluster], "left")
+    x = x.withColumn("__against", F.coalesce("__against", F.array().cast(both.schema["__against"].dataType)))
+    x = x.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col(weight)).alias("w"), F.col(cluster).alias("c"), F.col("__against").alias("against")))).alias("all"))
+
+    def place(persons, c):
+        fits = F.transform(persons, lambda p: ~F.arrays_overlap(p, c["against"]))
+        at = F.array_position(fits, True)
+        put = F.transform(persons, lambda p, i: F.when(i + 1 == at, F.concat(p, F.array(c["c"]))).otherwise(p))
+        return F.when(at > 0, put).otherwise(F.concat(persons, F.array(F.array(c["c"]))))
+
+    kind = f"array<array<{clusters.schema[cluster].dataType.simpleString()}>>"
+    x = x.select(key, F.posexplode(F.aggregate("all", F.array().cast(kind), place)).alias("person", "held"))
+    return clusters.join(x.select(key, "person", F.explode("held").alias(cluster)), [key, cluster])
+
+
 def opposite_closure(pairs: DataFrame, known: DataFrame, values: tuple[str, str], most_rounds: int | None = None) -> DataFrame:
     """(node, value): known values spread over pairs (a, b), whose ends have opposite values, until nothing new is learnt. A node keeps its first value; of several in one round the least. Fails after most_rounds, if given."""
     x, y = values

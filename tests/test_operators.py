@@ -174,6 +174,24 @@ def test_conflicting_teams_are_not_merged(spark):
     assert rows(G.greedy_merge(groups, shared, "name", "team", clash)) == [("n", "A", "A"), ("n", "B", "A"), ("n", "C", "C")]
 
 
+def test_clusters_are_placed_into_few_persons(spark):
+    r = random.Random(17)
+    clusters = [(n, f"c{k}", r.randrange(5)) for n in "pqr" for k in range(r.randrange(1, 8))]
+    conflict = [(n, a, b) for n, a, _ in clusters for m, b, _ in clusters if n == m and a < b and r.random() < 0.5]
+    want = []
+    for n in "pqr":
+        persons = []
+        for _, c in sorted((-w, c) for m, c, w in clusters if m == n):
+            fit = next((p for p in persons if not any((n, *sorted((c, o))) in conflict for o in p)), None)
+            if fit is None:
+                persons.append([c])
+            else:
+                fit.append(c)
+        want += [(n, c, i) for i, p in enumerate(persons) for c in p]
+    got = G.place_greedily(spark.createDataFrame(clusters, "n string, c string, w int"), spark.createDataFrame(conflict, "n string, a string, b string"), "n", "c", "w")
+    assert rows(got, "n", "c", "person") == sorted(want, key=repr) and max(i for *_, i in want) >= 2
+
+
 def test_opposites_spread_to_a_fixpoint(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "a string, b string")
     known = spark.createDataFrame([("a", "boys")], "node string, value string")
