@@ -49,25 +49,24 @@ def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.2,
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .html_tree import read, subtrees
 
-        names = ("host", "section")
         for batch in batches:
-            count: dict[tuple[str, str, int], int] = {}
-            for host, section, page in zip(*(batch.column(c).to_pylist() for c in (*names, "html")), strict=True):
+            count: dict[tuple[str, bool, str, int], int] = {}
+            for host, section, page in zip(*(batch.column(c).to_pylist() for c in ("host", "section", "html")), strict=True):
                 for h in subtrees(read(page or "")):
-                    count[host, section, h] = count.get((host, section, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in count], pa.string()) for i in (0, 1)), pa.array([k[2] for k in count], pa.int64()), pa.array(list(count.values()), pa.int64())], [*names, "h", "n"])
-
-    counts = pages.select("host", "section", "html").mapInArrow(hashes, "host string, section string, h long, n long").groupBy("host", "section", "h").agg(F.sum("n").alias("n"))
-    totals = pages.groupBy("host", "section").agg(F.count("*").alias("pages"))
-
-    def often(counts: DataFrame, totals: DataFrame, key: list[str]) -> DataFrame:
-        # What is rare goes before the shares are judged.
-        x = counts.where(F.col("n") >= min_pages).join(totals, key).where(F.col("n") >= F.col("pages") * min_share)
-        return x.withColumn("steady", (F.col("n") >= steady_pages) & (F.col("n") >= F.col("pages") * steady_share))
-
-    by_section = often(counts, totals, ["host", "section"]).select("host", "section", "h", "steady")
-    whole = often(counts.groupBy("host", "h").agg(F.sum("n").alias("n")), totals.groupBy("host").agg(F.sum("pages").alias("pages")), ["host"])
-    return by_section.unionByName(whole.select("host", F.lit(None).cast("string").alias("section"), "h", "steady"))
+                    for key in ((host, False, section, h), (host, True, "", h)):
+                        count[key] = count.get(key, 0) + 1
+            cols = list(zip(*count, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.string(), pa.int64()), strict=True)), pa.array(list(count.values()), pa.int64())], ["host", "whole", "section", "h", "n"])
+
+    # Host and sections in one go, so that pages are parsed once.
+    key = ["host", "whole", "section"]
+    counts = pages.select("host", "section", "html").mapInArrow(hashes, "host string, whole boolean, section string, h long, n long").groupBy(*key, "h").agg(F.sum("n").alias("n"))
+    both = F.explode(F.array(F.struct(F.lit(False).alias("whole"), F.col("section").alias("section")), F.struct(F.lit(True).alias("whole"), F.lit("").alias("section"))))
+    totals = pages.groupBy("host", "section").agg(F.count("*").alias("k")).select("host", both.alias("x"), "k").groupBy("host", F.col("x.whole").alias("whole"), F.col("x.section").alias("section")).agg(F.sum("k").alias("pages"))
+    # What is rare goes before the shares are judged.
+    often = counts.where(F.col("n") >= min_pages).join(totals, key).where(F.col("n") >= F.col("pages") * min_share)
+    steady = (F.col("n") >= steady_pages) & (F.col("n") >= F.col("pages") * steady_share)
+    return often.select("host", F.when(~F.col("whole"), F.col("section")).alias("section"), "h", steady.alias("steady"))
 
 
 def extract_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5, min_share: float = 0.2, steady_pages: int = 20, steady_share: float = 0.9, broadcast_rows: int = 200_000) -> DataFrame:
