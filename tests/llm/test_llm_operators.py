@@ -435,13 +435,14 @@ def test_media(spark):
     r = random.Random(3)
     long = "".join(r.choice("abcdefghij ") for _ in range(60_000))
     rows = corpus(4) + [(600, long), (601, "front " + long), (602, long), (None, long), (603, "€" * 30_000)]
-    got = sorted(map(tuple, media_features(frame(spark, rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256").collect()), key=repr)
+    got = sorted(map(tuple, media_features(frame(spark, rows)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect()), key=repr)
     want = []
     for i, t in rows:
         raw = (t or "").encode()
         p = raw + bytes(-len(raw) % 64 if raw else 64)
         m = wav_header(len(p)) + p
-        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+        feature = f"sum={sum(p)};energy={sum(x * x for x in p)};peak={max(p)};crossings={sum((x >= 128) != (y >= 128) for x, y in zip(p, p[1:]))}"
+        want.append((i, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
     assert got == sorted(want, key=repr)
     a, b = (chunks_of(payload_of(x)[0]) for x in (long, "front " + long))
     assert b"".join(a) == payload_of(long)[0] and len(set(a) & set(b)) > 0.8 * len(a)
