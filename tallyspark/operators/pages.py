@@ -88,3 +88,19 @@ def best_attempt(attempts: DataFrame, keys: Sequence[str], attempt: str, score:
     other = [c for c in attempts.columns if c not in keys]
     best = F.max_by(F.struct(*other), F.struct(F.col(score).isNotNull(), score, -F.col(attempt)))
     return attempts.groupBy(*keys).agg(best.alias("b")).select(*keys, *(F.col(f"b.{c}").alias(c) for c in other))
+
+
+def recurring_matchups(matches: DataFrame, a: str, b: str, year: str, late: Column, at: int, least: int = 3) -> DataFrame:
+    """(side_a, side_b, times, first_year): sides that have met in late rounds at least so often, the given year among them, whoever stands first."""
+    x = matches.where(late).select(F.least(a, b).alias("side_a"), F.greatest(a, b).alias("side_b"), year).where("side_a <> side_b")
+    out = x.groupBy("side_a", "side_b").agg(F.count("*").alias("times"), F.min(year).alias("first_year"), F.max((F.col(year) == at).cast("int")).alias("__now"))
+    return out.where((F.col("times") >= least) & (F.col("__now") == 1)).drop("__now")
+
+
+def title_stories(champions: DataFrame, event: Sequence[str], year: str, champion: str, at: int) -> DataFrame:
+    """The titles of a year, with how many the champion has had at that event by then, the year of the one before, and how many years in a row."""
+    w = Window.partitionBy(*event, champion).orderBy(year)
+    x = champions.where(F.col(year) <= at).select(*event, year, champion).distinct()
+    x = x.withColumn("title_count", F.row_number().over(w)).withColumn("previous_year", F.lag(year).over(w)).withColumn("__island", F.col(year) - F.col("title_count"))
+    row = F.row_number().over(Window.partitionBy(*event, champion, "__island").orderBy(year))
+    return x.withColumn("in_a_row", row).where(F.col(year) == at).drop("__island")

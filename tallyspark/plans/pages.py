@@ -125,3 +125,26 @@ def recovered_names(spark, d):
     raw = F.concat(F.lit("__"), plain, F.lit("_"), plain, F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("_"), "r_name")).otherwise(""), F.lit("_"))
     got = recover_team(raw, {r: r[:2] for r in regions})
     return s.select("s_suppkey", join_name(F.col("s_name"), F.col("n_name")).alias("joined"), got["team"].alias("team"), got["region"].alias("region"))
+
+
+@query(
+    """
+WITH m AS (SELECT least(l_suppkey % 40, l_partkey % 40) AS side_a, greatest(l_suppkey % 40, l_partkey % 40) AS side_b, year(l_shipdate)::BIGINT AS yr FROM lineitem WHERE l_linenumber >= 6)
+SELECT side_a, side_b, count(*) AS times, min(yr) AS first_year FROM m WHERE side_a <> side_b GROUP BY 1, 2 HAVING count(*) >= 3 AND bool_or(yr = 2000)
+"""
+)
+def recurring_matchups(spark, d):
+    x = lines(spark, d).select((F.col("l_suppkey") % 40).alias("a"), (F.col("l_partkey") % 40).alias("b"), "yr", "l_linenumber")
+    return G.recurring_matchups(x, "a", "b", "yr", F.col("l_linenumber") >= 6, 2000)
+
+
+@query(
+    """
+WITH c AS (SELECT o_orderpriority AS cup, year(o_orderdate)::BIGINT AS yr, arg_max(o_custkey % 3, (o_totalprice, o_custkey)) AS champion FROM orders GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER x AS title_count, lag(yr) OVER x AS previous_year FROM c WHERE yr <= 2000 WINDOW x AS (PARTITION BY cup, champion ORDER BY yr))
+SELECT cup, yr, champion, title_count, previous_year, row_number() OVER (PARTITION BY cup, champion, yr - title_count ORDER BY yr) AS in_a_row FROM t QUALIFY yr = 2000
+"""
+)
+def title_stories(spark, d):
+    c = orders(spark, d).groupBy(F.col("o_orderpriority").alias("cup"), "yr").agg(F.max_by(F.col("o_custkey") % 3, F.struct("o_totalprice", "o_custkey")).alias("champion"))
+    return G.title_stories(c, ["cup"], "yr", "champion", 2000)
