@@ -134,7 +134,7 @@ class _Reader:
         self.events = []
         skip = 0
         for kind, n in events:
-            if kind != "text" and (skip or (kind == "open" and gone(n))):
+            if kind in ("open", "close") and (skip or (kind == "open" and gone(n))):
                 skip += 1 if kind == "open" else -1
                 # A cut block still ends the block before.
                 if not skip and n.tag in BLOCKS:
@@ -143,7 +143,7 @@ class _Reader:
                 self.events.append((kind, n))
 
     def size(self) -> int:
-        return sum(len("".join(x.split())) for kind, x in self.events if kind == "text")
+        return sum(len(x.strip()) for kind, x in self.events if kind == "text")
 
     def inside(self, wanted) -> bool:
         """Keeps what is inside the outermost wanted elements, if there are any with text."""
@@ -168,7 +168,7 @@ class _Reader:
         stack: list[int] = []
         for kind, n in self.events:
             if kind == "text":
-                k = len("".join(n.split()))
+                k = len(n.strip())
                 for i in stack:
                     held[i] = held.get(i, 0) + k
             elif kind == "open":
@@ -231,14 +231,17 @@ def main_text(events: list[tuple[str, object]], template: frozenset[int], steady
 
     in_article, in_main = (lambda n: n.tag == "article"), (lambda n: n.tag == "main" or n.attrs.get("role") == "main")
     whole = _Reader(events, lambda n: not n.is_text())
-    left = _Reader(events, lambda n: not n.is_text() or recurs(n))
     for wanted in (in_article, in_main):
         if whole.inside(wanted):
-            # An article of which most recurs is printed on many pages; it is no template.
-            if not left.inside(wanted) or 2 * left.size() < whole.size():
-                left = whole
+            left = whole
+            if any(kind == "open" and recurs(n) for kind, n in whole.events):
+                left = _Reader(whole.events, recurs)
+                # An article of which most recurs is printed on many pages; it is no template.
+                if 2 * left.size() < whole.size():
+                    left = whole
             return "\n".join(left.blocks())
     # Without either, what the template leaves tells where the article is. Nothing left: the page itself is printed many times.
+    left = _Reader(whole.events, recurs)
     if not left.size():
         left = whole
     left.bulk()
