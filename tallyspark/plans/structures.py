@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -94,11 +96,30 @@ def lift_pairs(spark, d):
     return M.pattern_lifts(x, ["flag", "status", "line", "qty"], 2).select("pattern", "n", "universe", F.round("expected", 4).alias("expected"), F.round("lift", 6).alias("lift"))
 
 
-@query()
+_FEATURES = ("hour", "kind", "price", "weekday")
+
+
+def _rare_sql(few: int, least: float, lift: float, tighten: float) -> str:
+    def cells(s: tuple[str, ...]) -> str:
+        share = " * ".join(f"(sum(n) OVER (PARTITION BY {f}) / sum(n) OVER ())" for f in s)
+        return f"SELECT [{', '.join(s)}] AS atoms, n, (sum(n) OVER ())::BIGINT AS universe, sum(n) OVER () * {share} AS expected FROM (SELECT {', '.join(s)}, count(*)::DOUBLE AS n FROM k GROUP BY ALL)"
+
+    every = " UNION ALL ".join(cells(s) for n in (2, 3) for s in combinations(_FEATURES, n))
+    return f"""
+WITH k AS (SELECT 'hour=' || hour(ts) AS hour, 'kind=' || event_type AS kind, 'price=' || CASE WHEN value > 50 THEN 'dear' ELSE 'cheap' END AS price, 'weekday=' || (dayofweek(ts) + 1) AS weekday FROM events),
+p AS (SELECT *, n / expected AS lift, len(atoms) AS size FROM ({every})),
+f AS (SELECT *, expected >= {least} AND lift <= CASE size WHEN 2 THEN {lift} ELSE {lift} * {tighten} END AS rare FROM p WHERE n <= {few}),
+low AS (SELECT atoms FROM p WHERE size = 2 AND n <= {few} AND lift <= {lift})
+SELECT array_to_string(atoms, ' & ') AS pattern, n::BIGINT AS n, universe, round(expected, 4) AS expected, round(lift, 6) AS lift,
+  CASE WHEN rare AND size = 3 AND EXISTS (SELECT 1 FROM low WHERE list_has_all(f.atoms, low.atoms)) THEN 'reducible' WHEN rare THEN 'rare' ELSE 'complex' END AS verdict FROM f
+"""
+
+
+@query(_rare_sql(40, 45.0, 0.95, 0.7))
 def rare_patterns(spark, d):
-    """Lift mining of up to three conditions with its reducible patterns; unit tests hold it against brute force."""
+    """Lift mining of up to three conditions with its reducible patterns."""
     x = events(spark, d).select(F.col("event_type").alias("kind"), F.dayofweek("ts").alias("weekday"), F.hour("ts").alias("hour"), F.when(F.col("value") > 50, "dear").otherwise("cheap").alias("price"))
-    return M.rare_patterns(x, ["kind", "weekday", "hour", "price"], 3, 40, 45.0, 0.95)
+    return M.rare_patterns(x, list(_FEATURES), 3, 40, 45.0, 0.95).withColumn("expected", F.round("expected", 4)).withColumn("lift", F.round("lift", 6))
 
 
 @query(
