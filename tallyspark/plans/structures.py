@@ -232,7 +232,23 @@ def _matches(spark, d):
 
 
 
-@query()
+# The recursion takes one match a step; its state is the list of all ratings.
+@query(
+    """
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END::DOUBLE AS k FROM events),
+p AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT a AS player FROM m UNION SELECT b FROM m)),
+x AS MATERIALIZED (SELECT n, pa.i AS ia, pb.i AS ib, a_won::INT AS w, k FROM m JOIN p pa ON pa.player = a JOIN p pb ON pb.player = b),
+fold AS (
+  SELECT 0::BIGINT AS n, (SELECT list(1500.0::DOUBLE) FROM p) AS r
+  UNION ALL
+  SELECT y.n, list_transform(y.r, lambda v, i: CASE i WHEN y.ia THEN v + y.d WHEN y.ib THEN v - y.d ELSE v END)
+  FROM (SELECT x.n, r, ia, ib, k * (w - 1 / (1 + pow(10, (r[ib] - r[ia]) / 400))) AS d FROM fold JOIN x ON x.n = fold.n + 1) y
+),
+last AS (SELECT r FROM fold ORDER BY n DESC LIMIT 1),
+c AS (SELECT player, count(*) AS played, count(*) FILTER (WHERE won) AS won FROM (SELECT a AS player, a_won AS won FROM m UNION ALL SELECT b, NOT a_won FROM m) GROUP BY 1)
+SELECT p.player, round(last.r[p.i], 4) AS rating, played, won FROM p, last JOIN c ON c.player = p.player
+"""
+)
 def elo_sequence(spark, d):
     return E.latest_ratings(E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"]), ["pool"]).select("player", F.round("rating", 4).alias("rating"), "played", "won")
 
