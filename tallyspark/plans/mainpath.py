@@ -124,7 +124,14 @@ def fact_index(spark, d):
     return T.reverse_index(facts_of(spark, d)[0]).select(F.col("player").cast("long").alias("player"), "cat_key")
 
 
+def _longest(kind: str) -> str:
+    runs = f"SELECT *, sum(CASE WHEN result = '{kind}' THEN 0 ELSE 1 END) OVER (PARTITION BY person ORDER BY date, tournament, category, match) AS island FROM mf WHERE counts"
+    each = f"SELECT person, island, count(*) AS length, min(date) AS first_at, max(date) AS last_at FROM ({runs}) WHERE result = '{kind}' GROUP BY 1, 2"
+    return f"SELECT person, length, first_at, last_at, '{kind}' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY person ORDER BY length DESC, island) AS k FROM ({each})) WHERE k = 1"
+
+
 _SQL = {
+    "streaks": f"{_longest('win')} UNION ALL {_longest('lose')}",
     "career": f"SELECT person, CASE WHEN grouping(discipline) = 1 THEN 'all' ELSE discipline END AS discipline, {_WON} AS wins, {_LOST} AS losses, min(date) AS first_date, max(date) AS last_date, {rate_sql(_WON, f'{_WON} + {_LOST}')} AS win_rate FROM mf GROUP BY GROUPING SETS ((person), (person, discipline))",
     "games": f"SELECT person, won, lost, {rate_sql('won', 'won + lost')} AS game_rate FROM (SELECT person, coalesce(sum(own) {_DECIDED}, 0)::BIGINT AS won, coalesce(sum(against) {_DECIDED}, 0)::BIGINT AS lost FROM mf GROUP BY 1)",
     "by_year": f"SELECT coalesce(x.person, e.person) AS person, coalesce(x.year, e.year) AS year, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, coalesce(total, 0) AS total, coalesce(win_rate, 0) AS win_rate, coalesce(entries, 0) AS entries, best FROM ({_fold('person, year')}) x FULL JOIN (SELECT person, year, count(*) AS entries, arg_max(placement, strength) AS best FROM ef GROUP BY 1, 2) e ON x.person = e.person AND x.year = e.year",
