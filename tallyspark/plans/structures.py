@@ -253,7 +253,21 @@ def elo_sequence(spark, d):
     return E.latest_ratings(E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"]), ["pool"]).select("player", F.round("rating", 4).alias("rating"), "played", "won")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, event_id AS match, ts::DATE AS event, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END::DOUBLE AS k FROM events),
+p AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT a AS player FROM m UNION SELECT b FROM m)),
+x AS MATERIALIZED (SELECT n, match, event, pa.i AS ia, pb.i AS ib, a_won::INT AS w, k FROM m JOIN p pa ON pa.player = a JOIN p pb ON pb.player = b),
+fold AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS match, NULL::DATE AS event, NULL::DOUBLE AS bar, (SELECT list(1500.0::DOUBLE) FROM p) AS r, (SELECT list(0) FROM p) AS c, NULL::DOUBLE AS chance, NULL::DOUBLE AS gap, false AS upset
+  UNION ALL
+  SELECT n, match, event, bar, list_transform(r, lambda v, i: CASE i WHEN ia THEN v + d WHEN ib THEN v - d ELSE v END), list_transform(c, lambda v, i: CASE WHEN i IN (ia, ib) THEN v + 1 ELSE v END), chance, abs(ra - rb), coalesce(chance <= 0.45 AND least(c[ia], c[ib]) >= 3 AND CASE w WHEN 1 THEN rb ELSE ra END >= bar, false)
+  FROM (SELECT *, k * (w - ea) AS d, CASE w WHEN 1 THEN ea ELSE 1 - ea END AS chance, CASE WHEN event IS NOT DISTINCT FROM event_before THEN bar_before WHEN len(known) >= 20 THEN known[1 + least(len(known) - 1, floor(len(known) * 0.3)::INT)] END AS bar
+    FROM (SELECT x.*, f.r, f.c, f.event AS event_before, f.bar AS bar_before, r[ia] AS ra, r[ib] AS rb, 1 / (1 + pow(10, (r[ib] - r[ia]) / 400)) AS ea, list_reverse_sort(list_transform(list_filter(range(1, len(f.r) + 1), lambda i: f.c[i] >= 3), lambda i: f.r[i])) AS known FROM fold f JOIN x ON x.n = f.n + 1))
+)
+SELECT match, round(chance, 3) AS chance, round(gap)::BIGINT AS rating_gap FROM fold WHERE upset
+"""
+)
 def elo_upsets(spark, d):
     h = E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"], established=3, upset_chance=0.45, top_share=0.3, least_pool=20)
     return E.upsets(h, ["pool"]).select("match", "chance", "rating_gap")
