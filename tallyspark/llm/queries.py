@@ -174,5 +174,101 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op2_sharding": op2_sharding, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns}
-SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL}
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .frequency_filter import frequency_scores
+
+    return frequency_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The crc32 table, from its polynomial, and the crc32 of a string's UTF-8 bytes.
+_CRC_TABLE = """tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc
+)"""
+
+
+def _crc32(text: str) -> str:
+    digit = "strpos('0123456789ABCDEF', substr(hex({0}), {1}, 1)) - 1"
+    octets = f"list_transform(range(1, length(hex({text})) // 2 + 1), lambda i: ({digit.format(text, '2 * i - 1')}) * 16 + {digit.format(text, '2 * i')})"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {octets}), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])))"
+
+
+OP12_SQL = rf"""
+WITH {_CRC_TABLE}, texts AS (
+  SELECT false AS target, doc_id, text FROM documents UNION ALL SELECT true, NULL, text FROM benchmark
+), words AS (
+  SELECT target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts
+), runs AS MATERIALIZED (
+  SELECT target, doc_id, f, count(*) AS n FROM (
+    SELECT target, doc_id, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM words
+  ) GROUP BY ALL
+), bucket AS MATERIALIZED (
+  SELECT f, {_crc32("f")} % 10000 AS k FROM (SELECT DISTINCT f FROM runs), tab
+), counts AS (
+  SELECT k, coalesce(sum(n) FILTER (WHERE NOT target), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (WHERE target), 0)::DOUBLE AS t FROM runs JOIN bucket USING (f) GROUP BY k
+), totals AS (
+  SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts
+), gain AS MATERIALIZED (
+  SELECT k, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000))))::BIGINT AS g FROM counts, totals
+), summed AS (
+  SELECT doc_id, sum(n * g)::BIGINT AS total, sum(n)::BIGINT AS n FROM runs JOIN bucket USING (f) JOIN gain USING (k) WHERE NOT target GROUP BY doc_id
+), weighed AS (
+  SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_features,
+         CASE WHEN n > 0 THEN (total - ((total % n) + n) % n) // n ELSE 0 END AS weight
+  FROM words w LEFT JOIN summed s ON s.doc_id = w.doc_id WHERE NOT target
+), hashed AS (
+  SELECT *, list_reduce(list_prepend(0, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || doc_id), i, 1)) - 1)), lambda a, b: a * 16 + b) AS h FROM weighed
+), scored AS (
+  SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM hashed
+), placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS draw FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN place <= draw THEN place END AS rank FROM scored s LEFT JOIN placed p ON p.doc_id = s.doc_id
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = rf"""
+WITH {_CRC_TABLE}, turns AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS MATERIALIZED (
+  SELECT conv_id, list(turn ORDER BY pos) AS seq FROM turns GROUP BY conv_id
+), heads AS (
+  SELECT conv_id, seq, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM own, tab
+), rebuilt AS MATERIALIZED (
+  SELECT a.conv_id, list_concat(coalesce(b.seq, [])[1:h], a.seq[h + 1:]) AS seq FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+), members AS (
+  SELECT conv_id, unnest(range(0, len(seq) + 1)) AS depth, seq FROM rebuilt
+), nodes AS MATERIALIZED (
+  SELECT seq[1:depth] AS prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(seq) = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2
+), saving AS (
+  SELECT prefix, depth, CASE WHEN depth > 0 THEN (n_convs - 1) * len(regexp_extract_all(prefix[depth].t, '[^\x20\x09-\x0D]+')) ELSE 0 END AS saved FROM nodes
+), children AS MATERIALIZED (
+  SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), above AS (
+  SELECT s.prefix[1:d] AS prefix, d AS depth, saved, c.n IS NULL AS leaf
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM saving) s LEFT JOIN children c ON c.prefix = s.prefix AND c.depth = s.depth
+), sums AS (
+  SELECT prefix, depth, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.prefix = n.prefix AND s.depth = n.depth LEFT JOIN children c ON c.prefix = n.prefix AND c.depth = n.depth
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.prefix = n.prefix[1:n.depth - 1]
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_html_extraction": op1_html_extraction, "op2_sharding": op2_sharding, "op3_ngram_jaccard_join": op3_ngram_jaccard_join, "op4_quality_classifier": op4_quality_classifier, "op5_line_dedup": op5_line_dedup, "op6_best_fit_packing": op6_best_fit_packing, "op7_benchmark_decontamination": op7_benchmark_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_url_filters": op9_url_filters, "op10_media_columns": op10_media_columns, "op11_lm_scoring": op11_lm_scoring, "op12_importance_resampling": op12_importance_resampling, "op13_prefix_trie": op13_prefix_trie}
+SQL: dict[str, str] = {"op2_sharding": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_line_dedup": OP5_SQL, "op8_substring_dedup": OP8_SQL, "op9_url_filters": OP9_SQL, "op12_importance_resampling": OP12_SQL, "op13_prefix_trie": OP13_SQL}
