@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import games, history, joins, mainpath, pages, results, scalars, sequences, structures  # noqa: F401
+from . import games, history, joins, mainpath, pages, results, scalars, sequences, stories, structures, trees  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

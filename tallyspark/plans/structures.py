@@ -87,39 +87,55 @@ u AS (SELECT 'flag=' || flag AS a, 'line=' || line AS b FROM k WHERE line IS NOT
   UNION ALL SELECT 'line=' || line, 'qty=' || qty FROM k WHERE line IS NOT NULL UNION ALL SELECT 'line=' || line, 'status=' || status FROM k WHERE line IS NOT NULL UNION ALL SELECT 'qty=' || qty, 'status=' || status FROM k),
 c AS (SELECT string_split(a, '=')[1] AS fa, string_split(b, '=')[1] AS fb, a, b, count(*) AS n FROM u GROUP BY ALL),
 m AS (SELECT *, sum(n) OVER (PARTITION BY fa, fb) AS universe, sum(n) OVER (PARTITION BY fa, fb, a) AS ma, sum(n) OVER (PARTITION BY fa, fb, b) AS mb FROM c)
-SELECT a || ' & ' || b AS pattern, n, universe::BIGINT AS universe, round(ma::DOUBLE * mb / universe, 4) AS expected, round(n * universe::DOUBLE / (ma::DOUBLE * mb), 6) AS lift FROM m
+SELECT a || ' & ' || b AS pattern, n, universe::BIGINT AS universe, (20000 * ma::HUGEINT * mb + universe) // (2 * universe) / 10000.0 AS expected, (2000000 * n::HUGEINT * universe + ma::HUGEINT * mb) // (2 * ma::HUGEINT * mb) / 1000000.0 AS lift FROM m
 """
 )
 def lift_pairs(spark, d):
     x = lines(spark, d).where("NOT (l_returnflag = 'R' AND l_linestatus = 'O' AND l_quantity > 48)")
     x = x.select(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.when(F.col("l_linenumber") < 7, F.col("l_linenumber").cast("string")).alias("line"), F.when(F.col("l_quantity") > 48, "top").when(F.col("l_quantity") > 5, "mid").otherwise("low").alias("qty"))
-    return M.pattern_lifts(x, ["flag", "status", "line", "qty"], 2).select("pattern", "n", "universe", F.round("expected", 4).alias("expected"), F.round("lift", 6).alias("lift"))
+    return M.exact_lift(M.pattern_lattice(x, ["flag", "status", "line", "qty"], [2])).select("pattern", "n", "universe", "expected", "lift")
 
 
 _FEATURES = ("hour", "kind", "price", "weekday")
 
 
-def _rare_sql(few: int, least: float, lift: float, tighten: float) -> str:
+def _rare_sql(few: int, least: int, lift: float, tighten: float, most: int, scope: str) -> str:
+    by = f"PARTITION BY {scope}" if scope else ""
+    keys = f"{scope}, " if scope else ""
+
     def cells(s: tuple[str, ...]) -> str:
-        share = " * ".join(f"(sum(n) OVER (PARTITION BY {f}) / sum(n) OVER ())" for f in s)
-        return f"SELECT [{', '.join(s)}] AS atoms, n, (sum(n) OVER ())::BIGINT AS universe, sum(n) OVER () * {share} AS expected FROM (SELECT {', '.join(s)}, count(*)::DOUBLE AS n FROM k GROUP BY ALL)"
+        product = " * ".join(f"(sum(n) OVER (PARTITION BY {keys}{f}))::HUGEINT" for f in s)
+        power = " * ".join([f"(sum(n) OVER ({by}))::HUGEINT"] * (len(s) - 1))
+        return f"SELECT {keys}[{', '.join(s)}] AS atoms, n, (sum(n) OVER ({by}))::BIGINT AS universe, {product} AS p, {power} AS u FROM (SELECT {keys}{', '.join(s)}, count(*) AS n FROM k GROUP BY ALL)"
 
-    every = " UNION ALL ".join(cells(s) for n in (2, 3) for s in combinations(_FEATURES, n))
+    every = " UNION ALL ".join(cells(s) for n in range(2, most + 1) for s in combinations(_FEATURES, n))
+    same = f"low.{scope} = f.{scope} AND " if scope else ""
     return f"""
-WITH k AS (SELECT 'hour=' || hour(ts) AS hour, 'kind=' || event_type AS kind, 'price=' || CASE WHEN value > 50 THEN 'dear' ELSE 'cheap' END AS price, 'weekday=' || (dayofweek(ts) + 1) AS weekday FROM events),
-p AS (SELECT *, n / expected AS lift, len(atoms) AS size FROM ({every})),
-f AS (SELECT *, expected >= {least} AND lift <= CASE size WHEN 2 THEN {lift} ELSE {lift} * {tighten} END AS rare FROM p WHERE n <= {few}),
-low AS (SELECT atoms FROM p WHERE size = 2 AND n <= {few} AND lift <= {lift})
-SELECT array_to_string(atoms, ' & ') AS pattern, n::BIGINT AS n, universe, round(expected, 4) AS expected, round(lift, 6) AS lift,
-  CASE WHEN rare AND size = 3 AND EXISTS (SELECT 1 FROM low WHERE list_has_all(f.atoms, low.atoms)) THEN 'reducible' WHEN rare THEN 'rare' ELSE 'complex' END AS verdict FROM f
+WITH k AS (SELECT event_type AS scope, 'hour=' || hour(ts) AS hour, 'kind=' || {"user_id % 5" if scope else "event_type"} AS kind, 'price=' || CASE WHEN value > 50 THEN 'dear' ELSE 'cheap' END AS price, 'weekday=' || (dayofweek(ts) + 1) AS weekday FROM events),
+p AS (SELECT *, p::DOUBLE / u::DOUBLE AS e, (n * u)::DOUBLE / p::DOUBLE AS l, len(atoms) AS size FROM ({every})),
+c AS (SELECT *, l <= {lift} * {tighten}::DOUBLE ** (size - 2) AS low FROM p WHERE n <= {few}),
+f AS (SELECT *, low AND e >= {least} AS rare FROM c)
+SELECT {keys}array_to_string(atoms, ' & ') AS pattern, n::BIGINT AS n, universe, (20000 * p + u) // (2 * u) / 10000.0 AS expected, (2000000 * n * u + p) // (2 * p) / 1000000.0 AS lift,
+  CASE WHEN rare AND EXISTS (SELECT 1 FROM c low WHERE {same}low.low AND low.size = f.size - 1 AND list_has_all(f.atoms, low.atoms)) THEN 'reducible' WHEN rare THEN 'rare' ELSE 'complex' END AS verdict FROM f
 """
 
 
-@query(_rare_sql(40, 45.0, 0.95, 0.7))
+def _event_features(spark, d, kind):
+    return events(spark, d).select(F.col("event_type").alias("scope"), kind.alias("kind"), F.dayofweek("ts").alias("weekday"), F.hour("ts").alias("hour"), F.when(F.col("value") > 50, "dear").otherwise("cheap").alias("price"))
+
+
+@query(_rare_sql(40, 45, 0.95, 0.7, 3, ""))
 def rare_patterns(spark, d):
     """Lift mining of up to three conditions with its reducible patterns."""
-    x = events(spark, d).select(F.col("event_type").alias("kind"), F.dayofweek("ts").alias("weekday"), F.hour("ts").alias("hour"), F.when(F.col("value") > 50, "dear").otherwise("cheap").alias("price"))
-    return M.rare_patterns(x, list(_FEATURES), 3, 40, 45.0, 0.95).withColumn("expected", F.round("expected", 4)).withColumn("lift", F.round("lift", 6))
+    x = M.rare_patterns(_event_features(spark, d, F.col("event_type")), list(_FEATURES), 3, 40, 45.0, 0.95)
+    return M.exact_lift(x).select("pattern", "n", "universe", "expected", "lift", "verdict")
+
+
+@query(_rare_sql(4, 6, 0.9, 0.9, 4, "scope"))
+def rare_patterns_scoped(spark, d):
+    """The same up to four conditions within each kind of event, the scope."""
+    x = M.rare_patterns(_event_features(spark, d, F.col("user_id") % 5), list(_FEATURES), 4, 4, 6.0, 0.9, 0.9, scope=["scope"])
+    return M.exact_lift(x).select("scope", "pattern", "n", "universe", "expected", "lift", "verdict")
 
 
 @query(
@@ -205,72 +221,45 @@ def incremental_refresh(spark, d):
     return I.refresh(fold(x.where("l_shipdate < '2001-06-01'")), fold(x), affected, ["l_suppkey"])
 
 
-PERIODS = 5
+#: The events' history has five weeks; the Spark side takes as many as there are.
+_WEEKS = 5
+_UPSETS = {"established": 3, "upset_chance": 0.49, "top_share": 0.3, "least_pool": 20}
 
 
-def _elo_sql() -> str:
-    m = "SELECT event_id AS match, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, least((ts::DATE - DATE '2024-01-01') // 7, 4) AS period, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END AS k FROM events"
-    parts = [f"m AS ({m})", "s0 AS (SELECT NULL::VARCHAR AS player, 1500.0::DOUBLE AS rating, 0::BIGINT AS played, 0::BIGINT AS won WHERE false)"]
-    for p in range(PERIODS):
-        parts.append(f"c{p} AS (SELECT a, b, a_won, k * (a_won::INT - 1 / (1 + pow(10, (coalesce(y.rating, 1500) - coalesce(x.rating, 1500)) / 400))) AS d FROM m LEFT JOIN s{p} x ON x.player = a LEFT JOIN s{p} y ON y.player = b WHERE period = {p})")
+def _elo_sql(periods: int, result: str) -> str:
+    m = "SELECT event_id AS match, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, (ts::DATE - DATE '2024-01-01') // 7 AS period, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END AS k FROM events"
+    parts = [f"m AS MATERIALIZED ({m})", "s0 AS (SELECT NULL::VARCHAR AS player, 1500.0::DOUBLE AS rating, 0::BIGINT AS played, 0::BIGINT AS won WHERE false)"]
+    for p in range(periods):
+        parts.append(f"c{p} AS MATERIALIZED (SELECT period, match, a, b, a_won, ra, rb, known, k * (a_won::INT - ea) AS d, CASE WHEN a_won THEN ea ELSE 1 - ea END AS chance FROM (SELECT m.*, coalesce(x.rating, 1500) AS ra, coalesce(y.rating, 1500) AS rb, least(coalesce(x.played, 0), coalesce(y.played, 0)) AS known, 1 / (1 + pow(10, (coalesce(y.rating, 1500) - coalesce(x.rating, 1500)) / 400)) AS ea FROM m LEFT JOIN s{p} x ON x.player = a LEFT JOIN s{p} y ON y.player = b WHERE period = {p}))")
         parts.append(f"v{p} AS (SELECT player, sum(d) AS d, count(*) AS n, sum(w) AS w FROM (SELECT a AS player, d, a_won::INT AS w FROM c{p} UNION ALL SELECT b, -d, (NOT a_won)::INT FROM c{p}) GROUP BY 1)")
-        parts.append(f"s{p + 1} AS (SELECT coalesce(s.player, v.player) AS player, round(coalesce(rating, 1500) + coalesce(d, 0), 9) AS rating, (coalesce(played, 0) + coalesce(n, 0))::BIGINT AS played, (coalesce(won, 0) + coalesce(w, 0))::BIGINT AS won FROM s{p} s FULL OUTER JOIN v{p} v ON s.player = v.player)")
-    return f"WITH {', '.join(parts)} SELECT player, round(rating, 4) AS rating, played, won FROM s{PERIODS}"
-
-
-@query(_elo_sql())
-def elo_replay(spark, d):
-    m = _matches(spark, d).withColumn("period", F.least(F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7), F.lit(PERIODS - 1)))
-    return E.period_ratings(m)[0].withColumn("rating", F.round("rating", 4))
+        parts.append(f"b{p} AS (SELECT CASE WHEN len(r) >= {_UPSETS['least_pool']} THEN r[1 + floor(len(r) * {_UPSETS['top_share']})::INT] END AS bar FROM (SELECT list_reverse_sort(list(rating)) AS r FROM s{p} WHERE played >= {_UPSETS['established']}))")
+        parts.append(f"u{p} AS (SELECT period, match, a, b, a_won, chance, abs(ra - rb) AS gap FROM c{p}, b{p} WHERE chance <= {_UPSETS['upset_chance']} AND known >= {_UPSETS['established']} AND CASE WHEN a_won THEN rb ELSE ra END >= bar)")
+        parts.append(f"s{p + 1} AS MATERIALIZED (SELECT coalesce(s.player, v.player) AS player, round(coalesce(rating, 1500) + coalesce(d, 0), 9) AS rating, (coalesce(played, 0) + coalesce(n, 0))::BIGINT AS played, (coalesce(won, 0) + coalesce(w, 0))::BIGINT AS won FROM s{p} s FULL OUTER JOIN v{p} v ON s.player = v.player)")
+    return f"WITH {', '.join(parts)} {result}"
 
 
 def _matches(spark, d):
     """Every event is a match of its user against another: lost if it is an error."""
     x = events(spark, d)
     tier = F.when(F.col("event_type") == "purchase", "major").when(F.col("event_type") == "signup", "national").otherwise("local")
-    return x.select(F.lit("all").alias("pool"), "ts", F.to_date("ts").alias("event"), F.col("event_id").alias("match"), F.array(F.col("user_id").cast("string")).alias("side_a"), F.array(F.concat(F.lit("k"), F.from_json("props", "k long")["k"].cast("string"))).alias("side_b"), (F.col("event_type") != "error").alias("a_won"), tier.alias("tier"))
+    week = F.floor(F.datediff("ts", F.lit("2024-01-01")) / 7)
+    return x.select(week.alias("period"), F.col("event_id").alias("match"), F.array(F.col("user_id").cast("string")).alias("side_a"), F.array(F.concat(F.lit("k"), F.from_json("props", "k long")["k"].cast("string"))).alias("side_b"), (F.col("event_type") != "error").alias("a_won"), tier.alias("tier"))
 
 
+@query(_elo_sql(_WEEKS, f"SELECT player, round(rating, 4) AS rating, played, won FROM s{_WEEKS}"))
+def elo_replay(spark, d):
+    """Ratings week by week over the whole history."""
+    return E.period_ratings(_matches(spark, d))[0].withColumn("rating", F.round("rating", 4))
 
-# The recursion takes one match a step; its state is the list of all ratings.
-@query(
-    """
-WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END::DOUBLE AS k FROM events),
-p AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT a AS player FROM m UNION SELECT b FROM m)),
-x AS MATERIALIZED (SELECT n, pa.i AS ia, pb.i AS ib, a_won::INT AS w, k FROM m JOIN p pa ON pa.player = a JOIN p pb ON pb.player = b),
-fold AS (
-  SELECT 0::BIGINT AS n, (SELECT list(1500.0::DOUBLE) FROM p) AS r
-  UNION ALL
-  SELECT y.n, list_transform(y.r, lambda v, i: CASE i WHEN y.ia THEN v + y.d WHEN y.ib THEN v - y.d ELSE v END)
-  FROM (SELECT x.n, r, ia, ib, k * (w - 1 / (1 + pow(10, (r[ib] - r[ia]) / 400))) AS d FROM fold JOIN x ON x.n = fold.n + 1) y
-),
-last AS (SELECT r FROM fold ORDER BY n DESC LIMIT 1),
-c AS (SELECT player, count(*) AS played, count(*) FILTER (WHERE won) AS won FROM (SELECT a AS player, a_won AS won FROM m UNION ALL SELECT b, NOT a_won FROM m) GROUP BY 1)
-SELECT p.player, round(last.r[p.i], 4) AS rating, played, won FROM p, last JOIN c ON c.player = p.player
-"""
-)
-def elo_sequence(spark, d):
-    return E.latest_ratings(E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"]), ["pool"]).select("player", F.round("rating", 4).alias("rating"), "played", "won")
 
+@query(_elo_sql(_WEEKS, "SELECT match, round(chance, 3) AS chance, round(gap)::BIGINT AS rating_gap, CASE WHEN a_won THEN a ELSE b END AS winners, CASE WHEN a_won THEN b ELSE a END AS losers FROM (" + " UNION ALL ".join(f"FROM u{p}" for p in range(_WEEKS)) + ")"))
+def giant_killings(spark, d):
+    """Upsets by the ratings before each week, with who won and who lost."""
+    from ..operators.stories import giant_killings as killings
 
-@query(
-    """
-WITH RECURSIVE m AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, event_id AS match, ts::DATE AS event, user_id::VARCHAR AS a, 'k' || (props->>'$.k') AS b, event_type <> 'error' AS a_won, CASE event_type WHEN 'purchase' THEN 40.0 WHEN 'signup' THEN 32.0 ELSE 24.0 END::DOUBLE AS k FROM events),
-p AS MATERIALIZED (SELECT player, row_number() OVER (ORDER BY player) AS i FROM (SELECT a AS player FROM m UNION SELECT b FROM m)),
-x AS MATERIALIZED (SELECT n, match, event, pa.i AS ia, pb.i AS ib, a_won::INT AS w, k FROM m JOIN p pa ON pa.player = a JOIN p pb ON pb.player = b),
-fold AS (
-  SELECT 0::BIGINT AS n, NULL::BIGINT AS match, NULL::DATE AS event, NULL::DOUBLE AS bar, (SELECT list(1500.0::DOUBLE) FROM p) AS r, (SELECT list(0) FROM p) AS c, NULL::DOUBLE AS chance, NULL::DOUBLE AS gap, false AS upset
-  UNION ALL
-  SELECT n, match, event, bar, list_transform(r, lambda v, i: CASE i WHEN ia THEN v + d WHEN ib THEN v - d ELSE v END), list_transform(c, lambda v, i: CASE WHEN i IN (ia, ib) THEN v + 1 ELSE v END), chance, abs(ra - rb), coalesce(chance <= 0.45 AND least(c[ia], c[ib]) >= 3 AND CASE w WHEN 1 THEN rb ELSE ra END >= bar, false)
-  FROM (SELECT *, k * (w - ea) AS d, CASE w WHEN 1 THEN ea ELSE 1 - ea END AS chance, CASE WHEN event IS NOT DISTINCT FROM event_before THEN bar_before WHEN len(known) >= 20 THEN known[1 + least(len(known) - 1, floor(len(known) * 0.3)::INT)] END AS bar
-    FROM (SELECT x.*, f.r, f.c, f.event AS event_before, f.bar AS bar_before, r[ia] AS ra, r[ib] AS rb, 1 / (1 + pow(10, (r[ib] - r[ia]) / 400)) AS ea, list_reverse_sort(list_transform(list_filter(range(1, len(f.r) + 1), lambda i: f.c[i] >= 3), lambda i: f.r[i])) AS known FROM fold f JOIN x ON x.n = f.n + 1))
-)
-SELECT match, round(chance, 3) AS chance, round(gap)::BIGINT AS rating_gap FROM fold WHERE upset
-"""
-)
-def elo_upsets(spark, d):
-    h = E.sequential_ratings(_matches(spark, d), ["pool"], ["ts"], established=3, upset_chance=0.45, top_share=0.3, least_pool=20)
-    return E.upsets(h, ["pool"]).select("match", "chance", "rating_gap")
+    m = _matches(spark, d)
+    x = killings(E.period_ratings(m, **_UPSETS)[1], m)
+    return x.select("match", "chance", "rating_gap", F.array_join("winners", ",").alias("winners"), F.array_join("losers", ",").alias("losers"))
 
 
 @query(

@@ -337,55 +337,6 @@ def test_manifest_ignores_order_but_not_repeats(spark):
     assert hashes(x)["k"] != hashes(x.union(x.where("v = 1")))["k"] and hashes(x)["k"] != hashes(x)["l"]
 
 
-def plain_ratings(matches, established, upset_chance, top_share, least_pool, k):
-    """The fold over matches in order, for one pool."""
-    rating, played, out, floor, event = {}, {}, [], None, None
-    for at, match, a, b, a_won, tier in matches:
-        if at != event:
-            event = at
-            known = sorted((rating[p] for p in rating if played[p] >= established), reverse=True)
-            floor = known[min(len(known) - 1, int(len(known) * top_share))] if len(known) >= least_pool else None
-        ra, rb = (sum(rating.get(p, 1500) for p in side) / len(side) for side in (a, b))
-        ea = 1 / (1 + 10 ** ((rb - ra) / 400))
-        chance, loser = (ea, rb) if a_won else (1 - ea, ra)
-        if chance <= upset_chance and all(played.get(p, 0) >= established for p in a + b) and floor is not None and loser >= floor:
-            out.append(match)
-        d = k[tier] * (a_won - ea)
-        for p in a:
-            rating[p] = rating.get(p, 1500) + d
-        for p in b:
-            rating[p] = rating.get(p, 1500) - d
-        for p in a + b:
-            played[p] = played.get(p, 0) + 1
-    return rating, played, out
-
-
-def test_sequential_ratings_are_the_fold(spark):
-    from tallyspark.operators import rating as E
-
-    r = random.Random(4)
-    matches = {pool: [] for pool in ("x", "y")}
-    for n in range(600):
-        players = r.sample([f"p{i}" for i in range(14)], 4)
-        a, b = (players[:1], players[1:2]) if n % 3 else (players[:2], players[2:])
-        matches[r.choice("xy")].append((n // 40, n, a, b, r.random() < (0.8 if a[0] < b[0] else 0.3), r.choice(["major", "national", "local"])))
-    rows = [(pool, *m) for pool, ms in matches.items() for m in ms]
-    rows += [("x", 99, 1000, ["p1"], ["p2"], None, "local"), ("x", 99, 1001, [], ["p2"], True, "local")]
-    r.shuffle(rows)
-    df = spark.createDataFrame(rows, "pool string, event int, match long, side_a array<string>, side_b array<string>, a_won boolean, tier string")
-    options = {"established": 5, "upset_chance": 0.4, "top_share": 0.3, "least_pool": 8}
-    history = E.sequential_ratings(df, ["pool"], ["event"], **options)
-    got = {(x["pool"], x["player"]): (round(x["rating"], 6), x["played"]) for x in E.latest_ratings(history, ["pool"]).collect()}
-    found = {(x["pool"], x["match"]) for x in E.upsets(history, ["pool"]).collect()}
-    want, upsets = {}, set()
-    for pool, ms in matches.items():
-        rating, played, out = plain_ratings(ms, k=E.K_BY_TIER, **options)
-        want |= {(pool, p): (round(v, 6), played[p]) for p, v in rating.items()}
-        upsets |= {(pool, m) for m in out}
-    assert got == want and found == upsets and len(upsets) > 5
-    assert history.where("player = 'p1' and pool = 'x'").agg(F.sum(F.col("won").cast("int"))).first()[0] == sum((("p1" in a) == w) for _, _, a, b, w, _ in matches["x"] if "p1" in a + b)
-
-
 def test_files_that_hold_all(spark):
     files = spark.createDataFrame([(1, 10, ["a", "b", "b"]), (1, 9, ["b", "a"]), (1, 11, ["a", "b", "c"]), (1, 5, None), (2, 3, ["a", "c"]), (2, 4, [])], "k int, file int, held array<string>")
     asked = spark.createDataFrame([(1, 1, ["a"]), (2, 1, ["c", "a"]), (3, 1, ["a", "d"]), (4, 1, []), (5, 1, None), (6, 2, ["a", "a"]), (7, 3, ["a"]), (8, 2, [])], "row int, k int, wanted array<string>")

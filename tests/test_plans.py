@@ -6,8 +6,8 @@ import pytest
 
 from tallyspark.plans.queries import QUERIES
 
-# NFKC has no built-in; a rating is a fold over all matches of a pool, which no expression over rows or windows can say.
-PYTHON = {"compatibility_keys", "elo_sequence", "elo_upsets"}
+# NFKC has no built-in.
+PYTHON = {"compatibility_keys"}
 
 
 def plan(df):
