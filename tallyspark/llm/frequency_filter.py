@@ -120,11 +120,17 @@ def slot_filter(keys: np.ndarray, levels: np.ndarray) -> tuple[int, np.ndarray]:
 class Filter:
     """Some slots of the filter: for each the number of its blocks and where they begin, -1 for slots not held."""
 
-    def __init__(self, slot_bits: int, slots: list[int], blocks: list[int], bits: list[bytes]):
+    def __init__(self, slot_bits: int, blocks: dict[int, int]):
         self.slot_bits = slot_bits
         self.blocks, self.begin = np.zeros(1 << slot_bits, np.uint64), np.full(1 << slot_bits, -1, np.int64)
-        self.blocks[slots], self.begin[slots] = blocks, np.cumsum([0, *blocks[:-1]]) if blocks else []
-        self.bits = np.frombuffer(b"".join(bits), np.uint8)
+        slots = sorted(blocks)
+        each = [blocks[k] for k in slots]
+        self.blocks[slots], self.begin[slots] = each, np.cumsum([0, *each])[:-1]
+        self.bits = np.zeros(sum(each) * WORDS * 8, np.uint8)
+
+    def put(self, slot: int, bits: bytes) -> None:
+        at = int(self.begin[slot]) * WORDS * 8
+        self.bits[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def levels(self, keys: np.ndarray, most: int) -> np.ndarray:
         """The level of each key, as int16; -1 for keys of slots not held."""
@@ -230,38 +236,49 @@ class Model:
 
         return self.table.where("n = 1").select("keys", "counts").mapInPandas(rows, "h long, c long")
 
-    def _parts(self, resident_bytes: int) -> list[list[tuple[int, int]]]:
-        """(n, slot) of each part, in order, none with more than resident_bytes unless it is one slot. Only sizes come to the driver."""
-        parts: list[list[tuple[int, int]]] = [[]]
+    def _parts(self, resident_bytes: int) -> list[list[tuple[int, int, int]]]:
+        """(n, slot, blocks) of each part, in order, none with more than resident_bytes unless it is one slot. Only sizes come to the driver."""
+        parts: list[list[tuple[int, int, int]]] = [[]]
         held = 0
-        for row in self.table.select("n", "slot", F.octet_length("bits").alias("size")).orderBy("n", "slot").toLocalIterator():
-            if parts[-1] and held + row["size"] > resident_bytes:
+        for n, slot, blocks in self.table.select("n", "slot", "blocks").orderBy("n", "slot").toLocalIterator():
+            size = blocks * WORDS * 8
+            if parts[-1] and held + size > resident_bytes:
                 parts.append([])
                 held = 0
-            parts[-1].append((row["n"], row["slot"]))
-            held += row["size"]
+            parts[-1].append((n, slot, blocks))
+            held += size
         return parts
 
     def _frequent(self, most: int) -> tuple[Broadcast, int]:
         """Hashes (sorted) and counts of the words of at least `least` occurrences: as many powers of two down as fit `most`."""
         bands = {r["k"]: r["m"] for r in self.words.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}  # at most 64
-        least, taken = max(bands, default=0) + 1, 0
-        while least > 0 and taken + bands.get(least - 1, 0) <= most:
-            least -= 1
-            taken += bands.get(least, 0)
-        found = self.words.where(F.col("c") >= 2**least).toPandas()
-        h, c = found["h"].to_numpy(np.int64).view(np.uint64), found["c"].to_numpy(np.int64)
+        band, taken = max(bands, default=0) + 1, 0
+        while band > 0 and taken + bands.get(band - 1, 0) <= most:
+            band -= 1
+            taken += bands.get(band, 0)
+        least = 2**band
+
+        def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for x in batches:
+                for keys, counts in zip(x["keys"], x["counts"]):
+                    c = np.frombuffer(counts, "<i8")
+                    yield pd.DataFrame({"keys": [np.frombuffer(keys, "<u8")[c >= least].tobytes()], "counts": [c[c >= least].tobytes()]})
+
+        h, c = np.zeros(taken, np.uint64), np.zeros(taken, np.int64)
+        at = 0
+        for keys, counts in self.table.where("n = 1").select("keys", "counts").mapInPandas(often, "keys binary, counts binary").toLocalIterator():
+            end = at + len(keys) // 8
+            h[at:end], c[at:end] = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")
+            at = end
         by = np.argsort(h)
-        return self.spark.sparkContext.broadcast((h[by], c[by])), 2**least
-
-    def part(self, slots: list[tuple[int, int]]) -> Broadcast:
-        """The filters of a part, one for each n."""
-        wanted = self.spark.createDataFrame(slots or [(0, 0)], "n int, slot int")
-        got = self.table.join(F.broadcast(wanted), ["n", "slot"]).select("n", "slot", "blocks", "bits").toPandas()
-        filters = {}
-        for n in range(1, self.order + 1):
-            x = got[got["n"] == n].sort_values("slot")
-            filters[n] = Filter(self.slot_bits, x["slot"].tolist(), x["blocks"].tolist(), list(x["bits"]))
+        return self.spark.sparkContext.broadcast((h[by], c[by])), least
+
+    def part(self, slots: list[tuple[int, int, int]]) -> Broadcast:
+        """The filters of a part, one for each n. Rows come one partition at a time into arrays of their final size."""
+        filters = {n: Filter(self.slot_bits, {s: k for m, s, k in slots if m == n}) for n in range(1, self.order + 1)}
+        wanted = F.broadcast(self.spark.createDataFrame([x[:2] for x in slots] or [(0, 0)], "n int, slot int"))
+        for n, slot, bits in self.table.join(wanted, ["n", "slot"]).select("n", "slot", "bits").toLocalIterator():
+            filters[n].put(slot, bits)
         return self.spark.sparkContext.broadcast(filters)
 
 
@@ -324,6 +341,7 @@ def score_texts(docs: DataFrame, model: Model, starts: int, carry: list[str], te
                         yield g.assign(levels=[f.astype(np.int8).tobytes() for f in with_before(found, None if first else g["levels"])])
 
             at = written(at.mapInPandas(fill, f"{kept}, text string, levels binary"), "levels")
+            sent.unpersist()
             first = False
             continue
 
