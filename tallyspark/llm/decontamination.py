@@ -8,7 +8,9 @@ where the windows met: it leaks if at least ``min_match`` of its words agree and
 value of the item stands for one value of the document (two of its values may have become equal). Words count that agree at one offset, or
 those of the runs of met windows that follow each other in both texts, whatever their offsets, so words may be put in or
 left out. A run of ``passage`` words with consistent slots is a leak by itself. This catches verbatim
-passages as well as questions with other numbers, names or units.
+passages as well as questions with other numbers, names or units. A window of nothing but slots says nothing by its template, and any text
+of numbers would meet any other there; such windows meet by their values instead. (What agrees in slots only has to have the item's own values
+anyway, and where words agree besides, windows that hold one of them meet.)
 
 Edge cases: a null or empty text has no windows. Where under half a window of the words that agree aren't placeholders, the
 template alone tells too little, and the values have to be the item's own. An item of a few words so leaks wherever a
@@ -20,6 +22,8 @@ to ``broadcast_rows``, beyond that they are shuffled by hash. Only documents tha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,9 +72,11 @@ def _windows(words: Column, window: int) -> Column:
     return F.arrays_zip(*(F.slice(words, j + 1, F.greatest(F.size(words), F.lit(0))).alias(f"c{j}") for j in range(window)))
 
 
-def _hash(length: int) -> Column:
-    """Hash of the first words of a window; null where the text ends before. Plain columns, as these compile and lambdas don't."""
-    return F.when(F.col(f"x.c{length - 1}").isNotNull(), F.xxhash64(*(f"x.c{j}" for j in range(length))))
+def _hash(length: int, values: bool = False) -> Column:
+    """Hash of the first words of a window; null where the text ends before, and where all of them are slots, or, with values, not all of them. Plain columns, as these compile and lambdas don't."""
+    # Not a regular expression: placeholders are the only words that begin beyond the letters.
+    empty = reduce(lambda a, b: a & b, (F.col(f"x.c{j}").between(NUMBER, UNIT + "\U0010ffff") for j in range(length)))
+    return F.when(F.col(f"x.c{length - 1}").isNotNull() & (empty if values else ~empty), F.xxhash64(F.lit(values), *(f"x.c{j}" for j in range(length))))
 
 
 _PART = "struct<k: int, at: int, n: int>"
@@ -98,16 +104,29 @@ def _part(k: Column, at: Column, n: Column) -> Column:
     return F.struct(k.cast("int").alias("k"), at.cast("int").alias("at"), n.cast("int").alias("n"))
 
 
-def _candidates(met: DataFrame, window: int, passage: int) -> DataFrame:
-    """(id, item, parts, own): what to lay on each document: the whole item at each offset, the chain of the runs where there is more than one, and, with own, each long run."""
-    w = Window.partitionBy("id", "item", "d").orderBy("at")
+def _candidates(met: DataFrame, sizes: DataFrame, window: int, passage: int, min_match: float) -> DataFrame:
+    """(id, item, parts, own): what to lay on each document: the whole item at each offset, chains of runs at several offsets, and, with own, each long run. sizes: item, size (words).
+
+    A chain is looked for within stretches of the document of four item lengths, which overlap by two, and only where runs at different offsets
+    cover min_match of the item together; so its work is bounded by the item's length for each stretch, however often a text repeats itself.
+    """
+    w = Window.partitionBy("id", "item", "d").orderBy("at", "k")
     runs = met.withColumn("d", F.col("k") - F.col("at")).withColumn("run", F.col("at") - F.row_number().over(w))
     runs = runs.groupBy("id", "item", "d", "run").agg(F.min("k").alias("k"), F.min("at").alias("at"), F.count("*").alias("n"), F.min("length").alias("length"))
     runs = written(runs.select("id", "item", _part(F.col("k"), F.col("at"), F.col("n") + F.col("length") - 1).alias("r")), "runs")
     d = F.col("r.k") - F.col("r.at")
     whole = runs.select("id", "item", F.array(_part(F.greatest(d, F.lit(0)), F.greatest(-d, F.lit(0)), F.lit(2**31 - 1))).alias("parts")).distinct()
-    chains = runs.groupBy("id", "item").agg(F.sort_array(F.collect_list("r")).alias("runs")).where(F.size("runs") > 1).select("id", "item", _chain(F.col("runs")).alias("parts"))
     long = runs.where(F.col("r.n") >= passage).select("id", "item", F.array("r").alias("parts"), F.lit(True).alias("own"))
+
+    half = F.col("size") * 2
+    near = runs.join(F.broadcast(sizes), "item").withColumn("block", F.explode(F.array(F.floor(F.col("r.k") / half), F.floor(F.col("r.k") / half) - 1)))
+    several = Window.partitionBy("id", "item", "block")
+    near = near.withColumn("low", F.min(d).over(several)).withColumn("high", F.max(d).over(several)).where("low < high")
+    # Words that some run covers: each run adds what reaches beyond the runs that begin before it.
+    before = F.max(F.col("r.at") + F.col("r.n")).over(several.orderBy("r.at", "r.k", "r.n").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("r.at") + F.col("r.n") - F.greatest(F.col("r.at"), F.coalesce(before, F.lit(0))))
+    near = near.withColumn("fresh", fresh).withColumn("covered", F.sum("fresh").over(several)).where(F.col("covered") >= min_match * F.col("size"))
+    chains = near.groupBy("id", "item", "block").agg(F.sort_array(F.collect_list("r")).alias("runs")).select("id", "item", _chain(F.col("runs")).alias("parts")).distinct()
     return whole.unionByName(chains).withColumn("own", F.lit(False)).unionByName(long)
 
 
@@ -118,21 +137,44 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     items = written(items.where(F.col("item").isNotNull() & (F.size("iw") > 0)), "items")
     # At most window lengths: those of items that are shorter, and window.
     lengths = sorted(r[0] for r in items.select(F.least(F.size("iw"), F.lit(window))).distinct().collect()) or [window]
-    starts = items.select("item", F.least(F.size("iw"), F.lit(window)).alias("length"), F.posexplode(_windows(F.col("iw"), window)).alias("at", "x"))
-    starts = starts.select(F.coalesce(*(F.when(F.col("length") == n, _hash(n)) for n in lengths)).alias("h"), "item", "at", "length").where("h is not null")
-    if starts.count() <= broadcast_rows:
-        starts = F.broadcast(starts)
-    probes = texts.select("id", template_words(F.col("text")).alias("w")).select("id", F.posexplode(_windows(F.col("w"), lengths[-1])).alias("k", "x"))
-    probes = probes.select("id", "k", _hash(lengths[0]).alias("h") if len(lengths) == 1 else F.explode(F.array(*map(_hash, lengths))).alias("h")).where("h is not null")
-    met = written(probes.join(starts, "h").select("id", "item", "k", "at", "length").distinct(), "met")
+
+    def keys(words: str, values: bool) -> DataFrame:
+        """Where each item's windows begin."""
+        x = items.select("item", F.least(F.size(words), F.lit(window)).alias("length"), F.posexplode(_windows(F.col(words), window)).alias("at", "x"))
+        return x.select(F.coalesce(*(F.when(F.col("length") == n, _hash(n, values)) for n in lengths)).alias("h"), "item", "at", "length").where("h is not null")
+
+    def probes(words: DataFrame, values: bool) -> DataFrame:
+        x = words.select("id", F.posexplode(_windows(F.col("w"), lengths[-1])).alias("k", "x"))
+        return x.select("id", "k", _hash(lengths[0], values).alias("h") if len(lengths) == 1 else F.explode(F.array(*(_hash(n, values) for n in lengths))).alias("h")).where("h is not null")
+
+    def meet(asked: DataFrame, starts: DataFrame) -> DataFrame:
+        small = starts.count() <= broadcast_rows
+        return asked.join(F.broadcast(starts) if small else starts, "h").select("id", "item", "k", "at", "length").distinct()
+
+    met = meet(probes(texts.select("id", template_words(F.col("text")).alias("w")), False), keys("iw", False))
+    slots_only = written(keys("iv", True), "slot_windows")
+    if not slots_only.isEmpty():
+        # Only texts with so many slots in a row are read with their values.
+        marks = F.array_join(F.transform(template_words(F.col("text")), lambda x: F.when(_is_slot(x), "s").otherwise(".")), "")
+        full = texts.where(F.contains(marks, F.lit("s" * lengths[0])))
+        met = met.unionByName(meet(probes(full.select("id", template_words(F.col("text"), True).alias("w")), True), slots_only)).distinct()
+    met = written(met, "met")
     ids = met.select("id").distinct()
     again = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, "id", "left_semi")
-    laid = again.select("id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v")).join(_candidates(met, window, passage), "id").join(items, "item")
+    sizes = items.groupBy("item").agg(F.max(F.size("iw")).alias("size"))
+    # What is laid reaches over six item lengths at most; so a candidate meets a page of its document and never the whole of it.
+    most = sizes.agg(F.max("size")).first()[0] or 1
+    step, reach = 4 * most, 10 * most
+    words = again.select("id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v"))
+    page = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - 1, F.lit(0)) / step).cast("int"))).alias("page")
+    pages = words.select("id", "w", "v", page).select("id", "page", *(F.slice(c, F.col("page") * step + 1, reach).alias(c) for c in "wv"))
+    laid = _candidates(met, sizes, window, passage, min_match).join(items, "item").withColumn("page", F.floor(F.col("parts")[0]["k"] / step).cast("int")).join(pages, ["id", "page"])
 
     def pairs(part: Column) -> Column:
-        n = F.least(part["n"], F.size("iw") - part["at"], F.size("w") - part["k"])
+        k = part["k"] - F.col("page") * step
+        n = F.least(part["n"], F.size("iw") - part["at"], F.size("w") - k)
         cut = lambda words, start: F.slice(words, start + 1, n)
-        return F.arrays_zip(cut("iw", part["at"]).alias("a"), cut("w", part["k"]).alias("b"), cut("iv", part["at"]).alias("p"), cut("v", part["k"]).alias("q"))
+        return F.arrays_zip(cut("iw", part["at"]).alias("a"), cut("w", k).alias("b"), cut("iv", part["at"]).alias("p"), cut("v", k).alias("q"))
 
     laid = laid.withColumn("same", F.filter(F.flatten(F.transform("parts", pairs)), lambda x: x["a"] == x["b"]))
     slots = F.filter("same", lambda x: _is_slot(x["a"]))
