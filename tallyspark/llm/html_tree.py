@@ -26,21 +26,39 @@ NOT_ROLES = frozenset("navigation banner contentinfo complementary search form d
 NOT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices popup promo promoted related share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 #: Words that a name of those may hold besides; with any other word (share-price) it says nothing.
 LAYOUT_WORDS = frozenset("area bar block bottom box button buttons container content global holder inner left link links list main module outer page panel primary right row section secondary site top unit wrap wrapper".split())
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br b i em strong a span code sub sup q cite u s small mark abbr".split())
+INLINE = frozenset("br b i em strong a span code sub sup q cite u s small mark abbr".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+PROSE = INLINE | PARAGRAPHS
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "hash", "parts", "inside")
+    """An element. above: the enclosing elements that matter here, of article, main and an article's header."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], inside: bool):
-        self.tag, self.attrs, self.hash, self.parts, self.inside = tag, attrs, 0, [], inside
+    __slots__ = ("tag", "attrs", "hash", "parts", "above", "prose")
+
+    def __init__(self, tag: str, attrs: dict[str, str], above: frozenset[str] = frozenset()):
+        self.tag, self.attrs, self.hash, self.parts, self.above, self.prose = tag, attrs, 0, [], above, False
+
+    def kind(self) -> str:
+        """article, main, header (an article's own), heading or nothing: what it is to the elements in it."""
+        if self.tag == "main" or self.attrs.get("role", "").lower() == "main":
+            return "main"
+        if self.tag == "header" and "article" in self.above:
+            return "header"
+        return "heading" if self.tag in HEADINGS else self.tag if self.tag == "article" else ""
 
     def is_text(self) -> bool:
-        """Whether element, role, class and id allow it to be part of an article."""
+        """Whether element, role, class and id allow it to be part of an article.
+
+        Of an article's own header the headings count. Names say nothing of inline elements, nor of an article's paragraphs.
+        """
         a = self.attrs
-        if self.tag in NOT_TEXT or a.get("role", "").lower() in NOT_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
+        if (self.tag in NOT_TEXT and self.kind() != "header") or a.get("role", "").lower() in NOT_ROLES or "hidden" in a or "display:none" in a.get("style", "").replace(" ", "").lower():
             return False
-        return self.tag in ("html", "body") or not any(map(_names_other, f"{a.get('class', '')} {a.get('id', '')}".split()))
+        if self.tag in INLINE or self.tag in ("html", "body", "article", "main") or (self.tag in PARAGRAPHS and self.above & {"article", "main"}):
+            return True
+        return self.kind() == "header" or not any(map(_names_other, f"{a.get('class', '')} {a.get('id', '')}".split()))
 
 
 def _names_other(name: str) -> bool:
@@ -56,7 +74,7 @@ def _attributes(raw: str) -> dict[str, str]:
 def read(page: str) -> list[tuple[str, object]]:
     """("text", str), ("open", Node) and ("close", Node) in page order; every opened node is closed. Nodes have their subtree's hash."""
     events: list[tuple[str, object]] = []
-    stack: list[Node] = [Node("", {}, False)]
+    stack: list[Node] = [Node("", {})]
     open_tags: dict[str, int] = {}
 
     def text(s: str) -> None:
@@ -69,7 +87,10 @@ def read(page: str) -> list[tuple[str, object]]:
         node = stack.pop()
         open_tags[node.tag] -= 1
         label = f"{node.tag}\x00{node.attrs.get('class', '')}\x00{node.attrs.get('id', '')}\x00"
-        node.hash = xxhash.xxh64_intdigest(label + "\x01".join(node.parts)) - 2**63
+        node.prose = node.prose or (node.tag in PARAGRAPHS and bool(node.parts))
+        stack[-1].prose = stack[-1].prose or node.prose
+        # The lowest bit tells of elements that hold paragraphs.
+        node.hash = ((xxhash.xxh64_intdigest(label + "\x01".join(node.parts)) - 2**63) & ~1) | (node.prose and node.tag not in PROSE)
         stack[-1].parts.append(f"\x02{node.hash}")
         events.append(("close", node))
 
@@ -98,7 +119,8 @@ def read(page: str) -> list[tuple[str, object]]:
             close_through(("p",), FENCES)
         if name in SIBLINGS:
             close_through(SIBLINGS[name], FENCES - frozenset(SIBLINGS[name]))
-        node = Node(name, _attributes(m[3] or m[6] or ""), stack[-1].inside or stack[-1].tag in ("article", "main") or stack[-1].attrs.get("role") == "main")
+        kind = stack[-1].kind()
+        node = Node(name, _attributes(m[3] or m[6] or ""), stack[-1].above | {kind} if kind else stack[-1].above)
         stack.append(node)
         open_tags[name] = open_tags.get(name, 0) + 1
         events.append(("open", node))
@@ -123,10 +145,6 @@ def subtrees(events: list[tuple[str, object]]) -> set[int]:
     return {n.hash for kind, n in events if kind == "close" and n.tag not in ROOTS and n.parts}
 
 
-#: An element with so much of the text that no template explains is where the article is.
-BULK = 0.9
-
-
 class _Reader:
     """What is left of a page's events once elements that aren't text, and those of a template, are cut out."""
 
@@ -142,11 +160,11 @@ class _Reader:
             elif not skip:
                 self.events.append((kind, n))
 
-    def size(self) -> int:
-        return sum(len(x.strip()) for kind, x in self.events if kind == "text")
+    def __bool__(self) -> bool:
+        return any(kind == "text" and x.strip() for kind, x in self.events)
 
-    def inside(self, wanted) -> bool:
-        """Keeps what is inside the outermost wanted elements, if there are any with text."""
+    def inside(self, wanted) -> list[tuple[str, object]]:
+        """The events inside the outermost wanted elements."""
         kept, within = [], 0
         for kind, n in self.events:
             hit = kind in ("open", "close") and wanted(n)
@@ -156,52 +174,7 @@ class _Reader:
                 kept.append((kind, n))
             if hit and kind == "close":
                 within -= 1
-        if any(kind == "text" and x.strip() for kind, x in kept):
-            self.events = kept
-            return True
-        return False
-
-    def bulk(self) -> None:
-        """Goes down to the smallest element that holds the bulk of the text. Prose beside the way there stays, other elements go."""
-        total = self.size()
-        held: dict[int, int] = {}
-        stack: list[int] = []
-        for kind, n in self.events:
-            if kind == "text":
-                k = len(n.strip())
-                for i in stack:
-                    held[i] = held.get(i, 0) + k
-            elif kind == "open":
-                stack.append(id(n))
-            elif kind == "close":
-                stack.pop()
-        way = {i for i, k in held.items() if k >= BULK * total}
-        kept, depth, skip = [], [], 0
-        for kind, n in self.events:
-            if kind == "open":
-                # Beside the way: an element whose parent is on it and has a child on it.
-                beside = not skip and id(n) not in way and n.tag not in PROSE and bool(depth) and depth[-1] in self._forks(way)
-                skip += 1 if skip or beside else 0
-                depth.append(id(n))
-            if not skip:
-                kept.append((kind, n))
-            if kind == "close":
-                depth.pop()
-                if skip:
-                    skip -= 1
-        self.events = kept
-
-    def _forks(self, way: set[int]) -> set[int]:
-        if not hasattr(self, "forks"):
-            self.forks, stack = set(), []
-            for kind, n in self.events:
-                if kind == "open":
-                    if stack and id(n) in way:
-                        self.forks.add(stack[-1])
-                    stack.append(id(n))
-                elif kind == "close":
-                    stack.pop()
-        return self.forks
+        return kept
 
     def blocks(self) -> list[str]:
         out: list[str] = []
@@ -223,26 +196,63 @@ class _Reader:
         return out
 
 
+def _in_header(n: Node) -> bool:
+    """Whether an article's header holds it outside a heading."""
+    return "header" in n.above and "heading" not in n.above and n.kind() != "heading"
+
+
+def _without_bylines(events: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """Text of an article's header that no heading holds goes."""
+    out, stack = [], []
+    for kind, n in events:
+        if kind == "open":
+            stack.append(n)
+        elif kind == "close" and stack:
+            stack.pop()
+        if kind == "text" and stack and (stack[-1].kind() == "header" or _in_header(stack[-1])):
+            continue
+        out.append((kind, n))
+    return out
+
+
+def fingerprint(events: list[tuple[str, object]]) -> int:
+    """A hash of a page's paragraphs, without what isn't an article's text: equal for copies of one article."""
+    out, depth = [], 0
+    for kind, n in _Reader(events, lambda n: not n.is_text()).events:
+        if kind == "text" and depth:
+            out.append(n)
+        elif kind in ("open", "close") and n.tag in PARAGRAPHS:
+            depth += 1 if kind == "open" else -1
+    return xxhash.xxh64_intdigest(" ".join("".join(out).split())) - 2**63
+
+
+def _own_prose(events: list[tuple[str, object]]) -> bool:
+    """Whether paragraphs with text stand outside articles."""
+    stack: list[Node] = []
+    for kind, n in events:
+        if kind == "open":
+            stack.append(n)
+        elif kind == "close" and stack:
+            stack.pop()
+        elif kind == "text" and n.strip() and any(x.tag in PARAGRAPHS for x in stack) and not any(x.tag == "article" for x in stack):
+            return True
+    return False
+
+
 def main_text(events: list[tuple[str, object]], template: frozenset[int], steady: frozenset[int] = frozenset()) -> str:
-    """The article's blocks, one a line. Of the template's elements those go that aren't an article's prose; of that, what stands on the site's pages steadily."""
+    """The article's blocks, one a line: of main where it has prose besides its articles, else of the articles, else of main, else of all, without the template's elements. Prose goes only where it stands on the site's pages steadily."""
 
     def recurs(n: Node) -> bool:
-        return n.tag not in ROOTS and n.hash in (steady if n.inside and n.tag in PROSE else template)
+        return n.tag not in ROOTS and n.hash in (steady if n.tag in PROSE else template)
 
-    in_article, in_main = (lambda n: n.tag == "article"), (lambda n: n.tag == "main" or n.attrs.get("role") == "main")
     whole = _Reader(events, lambda n: not n.is_text())
-    for wanted in (in_article, in_main):
-        if whole.inside(wanted):
-            left = whole
-            if any(kind == "open" and recurs(n) for kind, n in whole.events):
-                left = _Reader(whole.events, recurs)
-                # An article of which most recurs is printed on many pages; it is no template.
-                if 2 * left.size() < whole.size():
-                    left = whole
-            return "\n".join(left.blocks())
-    # Without either, what the template leaves tells where the article is. Nothing left: the page itself is printed many times.
     left = _Reader(whole.events, recurs)
-    if not left.size():
-        left = whole
-    left.bulk()
+    # Nothing left: the page itself is printed many times.
+    left = left or whole
+    left.events = _without_bylines(left.events) or left.events
+    main, articles = left.inside(lambda n: n.kind() == "main"), left.inside(lambda n: n.tag == "article")
+    for scope in ([main] if _own_prose(main) else []) + [articles, main]:
+        if any(kind == "text" and x.strip() for kind, x in scope):
+            left.events = scope
+            break
     return "\n".join(left.blocks())
