@@ -25,6 +25,11 @@ def batches_for(size: int, batch_bytes: int) -> int:
     return max(1, -(-size // max(batch_bytes, 8 * math.isqrt(size))))
 
 
+def dealing_key(id_col: str = "id", text_col: str = "text") -> Column:
+    """By what rows are dealt to batches: the id's hash, and the text's where there is no id, so that a table without ids is no single batch."""
+    return F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))
+
+
 def ascii_lower(col: Column) -> Column:
     """A-Z only; lower() does just that, and faster, where the text is pure ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))

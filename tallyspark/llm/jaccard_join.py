@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..session import ship_package
-from .common import batches_for, written
+from .common import batches_for, dealing_key, written
 from .words import gram_hashes, word_hashes
 
 DROPPED_BITS = 16
@@ -79,7 +79,7 @@ def token_profiles(docs: DataFrame, shingle: int, threshold: int, batch_bytes: i
     """(id, n, a, b, prefix, tokens): size and 128-bit digest of each set; where the document may have a partner, its prefix tokens that others hold, and all tokens that others hold."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     batches = batches_for(size, batch_bytes)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(batches, "batch")
+    dealt = docs.withColumn("batch", F.pmod(dealing_key(), F.lit(batches)).cast("int")).repartition(batches, "batch")
     edges = np.array([(i << (64 - DROPPED_BITS)) // batches for i in range(batches + 1)], np.uint64)
 
     def sets(x: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import batches_for
+from .common import batches_for, dealing_key
 from .words import gram_hashes, measured, ordering_hashes
 
 
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     batches, common = common_grams(docs, window, gram, batch_bytes)
     cutter = Cutter(window, gram, batches, common)
-    dealt = docs.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int")).repartition(batches, "batch")
+    dealt = docs.withColumn("batch", F.pmod(dealing_key(), F.lit(batches)).cast("int")).repartition(batches, "batch")
 
     def send(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x[x["id"].notna()]

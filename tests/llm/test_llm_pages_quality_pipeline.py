@@ -63,7 +63,8 @@ def neutral_pages(n=12):
     menu = "<div class=c1><div>Home</div><div>Shop</div><div>About us and our long story</div></div>"
     foot = "<div class=c9><p>All rights reserved by the owners of this site</p></div>"
     body = lambda i: f"<h2>Title {i}</h2><div class=c5><p>{' '.join(f'word{i}x{k}' for k in range(40))}</p><p>Second part {i}</p></div>"
-    want = lambda i: f"Title {i}\n{' '.join(f'word{i}x{k}' for k in range(40))}\nSecond part {i}"
+    # A box that no other page has is no template, whatever its size.
+    want = lambda i: f"Title {i}\n{' '.join(f'word{i}x{k}' for k in range(40))}\nSecond part {i}\nonly here {i}"
     return [(i, f"http://s.com/a/{i}", f"<body>{menu}{body(i)}<div>only here {i}</div>{foot}</body>") for i in range(n)], {i: want(i) for i in range(n)}
 
 
@@ -96,6 +97,31 @@ def test_what_recurs_inside_articles(spark):
         assert set(texts_of(spark, rows).values()) == {f"{words(1)}\nEnd"}
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><div>{'word ' * 200}</div><div><p>second part of the article</p></div></body>", f"{'word ' * 199}word\nsecond part of the article"),
+        (f"<body><div>{'word ' * 200}</div><ul><li>one</li></ul><table><tr><td>two</td></tr></table></body>", f"{'word ' * 199}word\none\ntwo"),
+        ("<main><h1>Title</h1><p>intro</p><article><p>body</p></article></main>", "Title\nintro\nbody"),
+        ("<main><div>links</div><article><p>body</p></article></main>", "body"),
+        ("<article><p>See <a class='banner'>the banner link</a> now</p><p class='share'>Shares fell</p></article>", "See the banner link now\nShares fell"),
+        ("<article><header><h1>Title</h1><span>by someone</span></header><p>body</p></article>", "Title\nbody"),
+        ("<body><header><h1>Site</h1></header><p>body</p></body>", "body"),
+    ],
+)
+def test_what_is_an_article_goes_by_element_and_not_by_size(spark, page, want):
+    assert texts_of(spark, [(1, "http://a.com/", page)]) == {1: want}
+
+
+def test_prose_and_boxes_that_recur(spark):
+    words = lambda i: " ".join(f"w{i}q{k}" for k in range(10))
+    # A paragraph on a few pages stays without an article element as it does in one; a long box of links goes though the article is short.
+    links = "<div><ul>" + "".join(f"<li>a long related link number {k}</li>" for k in range(20)) + "</ul></div>"
+    for tag in ("div", "article"):
+        rows = [(i, f"http://c.com/{i}", f"<body><{tag}><p>{words(i)}</p>{'<p>Printed on some</p>' if i < 8 else ''}{links}</{tag}></body>") for i in range(20)]
+        assert texts_of(spark, rows) == {i: words(i) + ("\nPrinted on some" if i < 8 else "") for i in range(20)}
+
+
 def test_names_with_other_words_say_nothing(spark):
     kept = "<div class='share-price'><p>Up by two</p></div><div id='relatedWorks'><p>Cited</p></div><div class='socialScience'><p>Field</p></div>"
     gone = "<div class='share-buttons'>Tweet</div><div class='site-header x'>Logo</div><div id='comments'>Hi</div><div class='cookieNotice'>Ok</div><div class='ad'>Buy</div>"
