@@ -216,7 +216,7 @@ def _summed(packed: DataFrame, levels: Levels) -> DataFrame:
 class Model:
     """The filter's table, exact counts of single tokens, and what of both is resident."""
 
-    def __init__(self, docs: DataFrame, text_col: str, order: int = 2, base: float = 1.5, mu: float = 20.0, slot_bytes: int = 1 << 24, resident_bytes: int = 1 << 27, resident_words: int = 1 << 21):
+    def __init__(self, docs: DataFrame, text_col: str, order: int = 2, base: float = 1.5, mu: float = 20.0, slot_bytes: int = 1 << 24, resident_bytes: int = 1 << 27, resident_words: int = 1 << 20):
         self.spark: SparkSession = docs.sparkSession
         ship_package(self.spark)
         self.order, self.mu, self.scale = order, mu, Levels(base)
