@@ -54,12 +54,18 @@ def meta_of(spark, d) -> DataFrame:
     return e.select("tournament", "year", F.concat("year", F.lit("-05-01")).alias("start"), F.col("tournament").isin("cup1", "cup2").alias("is_major"), (F.col("tournament") == "cup3").alias("is_national"))
 
 
-_BUILT: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_BUILT: dict[tuple[str, str, int], tuple[DataFrame, DataFrame]] = {}
+
+
+def _state_of(spark, d) -> int:
+    """A hash of the orders' files: paths, sizes and times."""
+    files = orders(spark, d).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.coalesce(F.bit_xor(F.xxhash64("*")), F.lit(0))).first()[0]
 
 
 def facts_of(spark, d) -> tuple[DataFrame, DataFrame]:
-    """(match facts, entry facts), as tables of the shared folder, made once for each application and folder."""
-    key = (spark.sparkContext.applicationId, d)
+    """(match facts, entry facts), as tables of the shared folder, made once for each application, folder and state of its files."""
+    key = (spark.sparkContext.applicationId, d, _state_of(spark, d))
     if key not in _BUILT:
         details = read_back(spark, d)
         roster = orders(spark, d).select(F.explode(F.array(F.col("o_custkey") + 1, F.col("o_orderkey") % 97 + 1)).alias("position")).distinct()

@@ -67,6 +67,12 @@ def as_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def owned(spark: SparkSession, path: str) -> str:
+    """Marks a path in the shared folder as one that `scratch` and `drop_tables` delete."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def drop_tables(spark: SparkSession, since: int = 0) -> int:
     """Deletes the tables that `as_table` has made in this application, but the first `since`, and returns how many. Results that read them have to be written before."""
     paths = _TABLES.get(spark.sparkContext.applicationId, [])
