@@ -45,8 +45,10 @@ def period_ratings(matches: DataFrame, k: Mapping[str, float] = K_BY_TIER, initi
         floor = percentile_floor(state.where(F.col("played") >= established).withColumn("__one", F.lit(1)), ["__one"], "rating", top_share, least_pool)
         winner_chance = F.when(F.col("a_won"), F.col("chance_a")).otherwise(1 - F.col("chance_a"))
         loser = F.when(F.col("a_won"), F.col("rb")).otherwise(F.col("ra"))
-        rare = sides.withColumn("__one", F.lit(1)).where((winner_chance <= upset_chance) & (F.col("least_played") >= established))
-        upsets.append(rare.join(F.broadcast(floor), "__one").where(loser >= F.col("floor_value")).select(F.lit(period).alias("period"), "match", F.round(winner_chance, 3).alias("chance"), F.round(F.abs(F.col("ra") - F.col("rb"))).cast("long").alias("rating_gap")))
+        # One number; none while too few are established.
+        bar = floor.first()
+        rare = sides.where((winner_chance <= upset_chance) & (F.col("least_played") >= established))
+        upsets.append(rare.where(loser >= F.lit(bar["floor_value"] if bar else None).cast("double")).select(F.lit(period).alias("period"), "match", F.round(winner_chance, 3).alias("chance"), F.round(F.abs(F.col("ra") - F.col("rb"))).cast("long").alias("rating_gap")))
         change = weight * (F.when(F.col("a_won"), 1.0).otherwise(0.0) - F.col("chance_a"))
         seat = seats.select("match", "player", "a").join(sides.select("match", "a_won", change.alias("change")), "match")
         moved = seat.groupBy("player").agg(F.sum(F.when(F.col("a"), F.col("change")).otherwise(-F.col("change"))).alias("change"), F.count("*").alias("n"), F.sum((F.col("a") == F.col("a_won")).cast("long")).alias("w"))
