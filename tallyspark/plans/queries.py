@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import games, guidance, history, joins, mainpath, pages, results, review, scalars, sequences, stories, structures, trees  # noqa: F401
+from . import games, guidance, history, joins, layout, mainpath, pages, results, review, scalars, sequences, stories, structures, trees  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
