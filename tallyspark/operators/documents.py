@@ -65,7 +65,8 @@ def merged(base: DataFrame, override: DataFrame) -> DataFrame:
 
 
 def json_documents(nodes: DataFrame) -> DataFrame:
-    """(id, text): the documents of nodes, from the deepest level up; a node without its parent isn't there."""
+    """(id, text): the documents of nodes, from the deepest level up; a node without its parent isn't there. The nodes are written once, as each level reads them."""
+    nodes = as_table(nodes.select(*NODE), "nodes")
     deepest = nodes.agg(F.max(F.size("path"))).first()[0]
     name = F.regexp_extract(F.to_json(F.array(F.substring(F.element_at("path", -1), 2, 1 << 30))), r"(?s)^\[(.*)\]$", 1)
     below = None
