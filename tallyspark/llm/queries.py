@@ -19,21 +19,30 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents dealt into eight arrivals, appended, compacted and read back from the last version."""
+    """Documents dealt into eight arrivals by id, appended, compacted and read back from the last version, each row with what the manifests say:
+    versions by appending, rows before and after compaction, the most small shards that one tier still has, at most (it is settled), and whether there are fewer shards and bytes or as many."""
     import uuid
 
+    from ..session import owned
     from .common import shared_dir
     from .sharding import ShardStore
 
-    store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    store = ShardStore(spark, owned(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"))
     docs = table(spark, sf_dir, "documents")
-    store.append(docs, F.pmod(F.xxhash64("doc_id"), F.lit(8)))
-    store.compact()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    appended = store.append(docs, F.pmod("doc_id", F.lit(8)))
+    last = store.compact()
+    of = {r["version"]: r for r in store.history().where(F.col("version").isin(appended, last)).collect()}
+    before, after = of[appended], of[last]
+    rows = store.read().select("doc_id", "lang", "source", "n_chars", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    told = {"arrivals": F.lit(appended).cast("long"), "rows_appended": F.lit(before["rows"]).cast("long"), "rows_compacted": F.lit(after["rows"]).cast("long")}
+    told |= {"settled": F.lit(after["fullest"] < store.fanout), "not_more": F.lit(after["shards"] <= before["shards"])}
+    return rows.withColumns(told)
 
 
 OP2_SQL = """
-SELECT doc_id, lang, source, n_chars, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256 FROM documents
+SELECT doc_id, lang, source, n_chars, strlen(coalesce(text, '')) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256,
+  (SELECT count(DISTINCT coalesce((doc_id % 8 + 8) % 8, -1)) FROM documents)::BIGINT AS arrivals, (SELECT count(*) FROM documents) AS rows_appended, (SELECT count(*) FROM documents) AS rows_compacted, true AS settled, true AS not_more
+FROM documents
 """
 
 

@@ -545,6 +545,61 @@ def test_a_version_is_committed_once(spark, tmp_path):
     assert store.versions() == [1, 2] and store.read().count() == 3
 
 
+def test_a_compaction_goes_on_after_another_writer(spark, tmp_path, monkeypatch):
+    from tallyspark.llm.sharding import ShardStore
+
+    store = ShardStore(spark, f"file://{tmp_path}/s")
+    for k in range(4):
+        store.append(spark.range(k, k + 1))
+    plain = ShardStore._commit
+
+    def late(self, base, added, removed, schema, first=[True]):  # noqa: B006
+        if removed and first:
+            first.clear()
+            ShardStore(spark, store.root).append(spark.range(70, 71))
+        return plain(self, base, added, removed, schema)
+
+    with monkeypatch.context() as m:
+        m.setattr(ShardStore, "_commit", late)
+        assert store.compact() == 6  # the append came fifth
+    assert sorted(r["id"] for r in store.read().collect()) == [0, 1, 2, 3, 70] and store.manifest().count() == 2
+    # Another writer that merges the same shards: one of both merges stays.
+    for k in range(10, 14):
+        store.append(spark.range(k, k + 1))
+
+    def lost(self, base, added, removed, schema, first=[True]):  # noqa: B006
+        if removed and first:
+            first.clear()
+            ShardStore(spark, store.root).compact()
+        return plain(self, base, added, removed, schema)
+
+    with monkeypatch.context() as m:
+        m.setattr(ShardStore, "_commit", lost)
+        store.compact()
+    assert sorted(r["id"] for r in store.read().collect()) == [0, 1, 2, 3, 10, 11, 12, 13, 70]
+    assert sum(r["rows"] for r in store.manifest().collect()) == 9
+
+
+def test_folders_that_lost_some_shards_and_columns_with_clashing_names(spark, tmp_path):
+    from tallyspark.llm.sharding import ShardStore
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choices("abcdefghijklmnop", k=n))
+    rows = spark.createDataFrame([(k, text(200_000 if k % 5 == 0 else 50), k, -k) for k in range(20)], "doc_id long, text string, __arrival long, __shard long")
+    store = ShardStore(spark, f"file://{tmp_path}/s", target_bytes=200_000, least_bytes=1 << 12, merge_files=5)
+    assert store.append(rows.repartition(20, "doc_id")) == 1  # large and small shards in one folder
+    whole = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, store.read().collect())) == whole
+    last = store.compact()
+    left = [x["path"] for x in store.manifest().collect()]
+    assert any("__arrival_=0" in p for p in left) and any("__arrival_=0" not in p for p in left)
+    assert store.read().columns == rows.columns and sorted(map(tuple, store.read().collect())) == whole
+    told = {x["version"]: x for x in store.history().collect()}
+    assert sorted(told) == list(range(1, last + 1)) and {x["rows"] for x in told.values()} == {20}
+    assert told[last]["shards"] == len(left) < told[1]["shards"] and told[last]["fullest"] < store.fanout <= told[1]["fullest"]
+    assert told[1]["bytes"] == sum(x["bytes"] for x in store.manifest(1).collect())
+
+
 # empty tables
 
 
