@@ -26,6 +26,24 @@ def round_order(label: Column, late: Sequence[int] = LATE_ROUNDS["facts"], patte
     return out.when(number != "", number.cast("int")).otherwise(0)
 
 
+def contained_order(label: Column, orders: Mapping[str, int]) -> Column:
+    """-1 without a label, else the first number in it, else the order of the longest name that it contains, else 0. A number over 18 digits gives null."""
+    number = F.regexp_extract(label, r"(\d+)", 1)
+    out = F.when(label.isNull() | (label == ""), F.lit(-1).cast("long")).when(number != "", F.when(F.length(number) <= 18, number.try_cast("long")))
+    for name in sorted(orders, key=lambda n: (-len(n), n)):
+        out = out.when(F.contains(label, F.lit(name)), F.lit(orders[name]).cast("long"))
+    return out.otherwise(F.lit(0).cast("long"))
+
+
+def list_rank(label: Column, best: Sequence[str] = LATE_NAMES[::-1], pattern: str = r"^round (\d+)$", most: int = 100, other: int = 1000) -> Column:
+    """Place of a round in a list that begins with the last one: late rounds by name, then numbered ones, later first, then the rest."""
+    out = F.when(label.isNull(), other)
+    for i, name in enumerate(best):
+        out = out.when(label == name, i)
+    number = F.regexp_extract(label, pattern, 1)
+    return out.when(number != "", most - F.when(F.length(number) <= 9, number.try_cast("int")).otherwise(most - other)).otherwise(other)
+
+
 def placement_kind(kind: Column, best_level: Column) -> Column:
     """winner, runnerup, best4, best8 (any level but 4), round, group or unknown."""
     return (
@@ -106,6 +124,24 @@ def serving_side(point_number: Column, first: Column, cycle: int = 2) -> Column:
     return F.when(F.floor((point_number - 1) / cycle) % 2 == 0, first).otherwise(other)
 
 
+def court_turn(point_number: Column, first: Column, final: Column, players_a: Column, players_b: Column, first_server: Column, first_receiver: Column) -> Column:
+    """struct(serving, server, receiving, receiver) of a point: sides, and seats 0 or 1 in them.
+
+    In the final game sides change every two points, else `first` serves all of it. Servers of a side change after two of its points, receivers after each
+    point that their side receives. The seats that begin are known for the first serving and receiving side (null: 0), the others begin with seat 0.
+    """
+    n = point_number - 1
+    other = F.when(first == "A", "B").otherwise("A")
+    serving = F.when(final, serving_side(point_number, first)).otherwise(first)
+    receiving = F.when(serving == "A", "B").otherwise("A")
+    players = lambda side: F.when(side == "A", players_a).otherwise(players_b)
+    turns = F.when(~final, F.coalesce(first_server, F.lit(0)) + F.floor(n / 2)).when(serving == first, F.coalesce(first_server, F.lit(0)) + F.floor(n / 4)).otherwise(F.floor((n - 2) / 4))
+    # A side receives in pairs of points in the final game and always in others, so its count of receptions is as even as n.
+    got = F.when(receiving == other, F.coalesce(first_receiver, F.lit(0))).otherwise(0) + n
+    seat = lambda side, x: F.when(players(side) <= 1, 0).otherwise(x % 2).cast("int")
+    return F.struct(serving.alias("serving"), seat(serving, turns).alias("server"), receiving.alias("receiving"), seat(receiving, got).alias("receiver"))
+
+
 def standing_from_deepest(won: Column, order: Column, late: Sequence[int] = LATE_ROUNDS["facts"]) -> Column:
     """Placement kind from an entry's deepest match."""
     quarter, semi, final = late

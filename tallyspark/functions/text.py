@@ -81,6 +81,17 @@ def first_match(text: Column, patterns: Sequence[tuple[str, str]], default: str
     return out.otherwise(F.lit(default))
 
 
+# What a title says of event, category and qualifier; the first pattern that occurs holds.
+EVENT_TYPES = (("singles", r"(?i)シングルス|single"), ("doubles", r"(?i)ダブルス|double"), ("team", r"(?i)団体|team"))
+CATEGORIES = (("men", r"(?i)男子|men|boys"), ("women", r"(?i)女子|women|girls"), ("mixed", r"(?i)混合|ミックス|mixed"))
+QUALIFIERS = (("interhigh", r"(?i)高校総体|インターハイ|インハイ|全国高等学校総合体育大会|高等学校総合体育大会|ＩＨ予選|IH予選"),)
+
+
+def title_labels(text: Column) -> Column:
+    """struct(year, event, category, qualifier) of a title; unknown event and category, null year and qualifier where it names none."""
+    return F.struct(infer_year(text).alias("year"), first_match(text, EVENT_TYPES, "unknown").alias("event"), first_match(text, CATEGORIES, "unknown").alias("category"), first_match(text, QUALIFIERS).alias("qualifier"))
+
+
 def clamped_score(terms: Sequence[tuple[Column, float]], base: float, least: float = 0.0, most: float = 0.99) -> Column:
     """base and the weights of the conditions that hold, to two places, within limits."""
     total = F.lit(base)

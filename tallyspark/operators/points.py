@@ -64,6 +64,56 @@ def side_metrics(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     return x.withColumn("rate", percentage(F.col("part"), F.col("whole"))).withColumn("reliability", reliability(F.col("whole"), 5))
 
 
+def side_profile(points: DataFrame, games: DataFrame) -> DataFrame:
+    """(match, side, metric, part, whole): sixteen rates of a side of a match and three counts of lost streaks (whole is null there).
+
+    points also has first_serve_fault. A point without a winner counts in wholes, neither ends nor lengthens a streak. `after_two_lost` are points before which
+    two or more in a row were lost, over games; `lead_held` are games led by two points or more at some time, and won.
+    """
+    x = by_side(reconstruct(points, games)).withColumn("__over", F.when(F.col("side") == "A", F.col("after_A") - F.col("after_B")).otherwise(F.col("after_B") - F.col("after_A")))
+    so_far = lambda *k: Window.partitionBy("match", "side", *k).orderBy("game", "point").rowsBetween(Window.unboundedPreceding, -1)
+    won, lost = F.coalesce(F.col("won"), F.lit(False)), F.coalesce(~F.col("won"), F.lit(False))
+    x = x.withColumn("__run", F.coalesce(F.count_if(won).over(so_far()), F.lit(0))).withColumn("__lost", F.coalesce(F.count_if(lost).over(so_far("__run")), F.lit(0)))
+    serves, second = F.col("serves"), F.coalesce(F.col("first_serve_fault"), F.lit(False))
+    band = rally_band(F.col("rally"), F.col("double_fault"), "growth")
+    facing = is_winning_score(F.col("other") + 1, F.col("own"), F.col("target"))
+    wins: Mapping[str, Column] = {
+        "on_serve": serves,
+        "first_serve": serves & ~second,
+        "second_serve": serves & second,
+        "on_return": ~serves,
+        "two_all": (F.col("own") == 2) & (F.col("other") == 2),
+        "deuce": F.col("deuce"),
+        "game_point": F.col("game_point"),
+        "game_point_saved": facing,
+        "deciding_game": F.col("final"),
+        "after_two_lost": F.col("__lost") >= 2,
+        "short_rally": band == "short",
+        "middle_rally": band == "middle",
+        "long_rally": band == "long",
+    }
+    pairs: dict[str, tuple[Column, Column]] = {m: (c & won, c) for m, c in wins.items()}
+    pairs["first_serve_in"] = (serves & ~second, serves)
+    pairs["double_fault"] = (serves & F.coalesce(F.col("double_fault"), F.lit(False)), serves)
+    counts = {"lost_three": lost & (F.col("__lost") == 2), "lost_four": lost & (F.col("__lost") == 3)}
+    each = [c for m, (p, w) in pairs.items() for c in (count_where(p).alias(f"p_{m}"), count_where(w).alias(f"w_{m}"))] + [count_where(c).alias(f"p_{m}") for m, c in counts.items()]
+    longest = F.max(F.when(lost, F.col("__lost") + 1).otherwise(0)).alias("p_lost_longest")
+    game = x.groupBy("match", "side", "game").agg(*each, longest, F.bool_or(F.col("__over") >= 2).alias("__led"), F.max("game_winner").alias("__by"))
+    total = [F.sum(c).alias(c) for m in pairs for c in (f"p_{m}", f"w_{m}")] + [F.sum(f"p_{m}").alias(f"p_{m}") for m in counts]
+    held = [count_where(F.col("__led") & (F.col("__by") == F.col("side"))).alias("p_lead_held"), count_where(F.col("__led")).alias("w_lead_held")]
+    of = game.groupBy("match", "side").agg(*total, F.max("p_lost_longest").cast("long").alias("p_lost_longest"), *held)
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(f"p_{m}").alias("part"), F.col(f"w_{m}").alias("whole")) for m in (*pairs, "lead_held")]
+    rows += [F.struct(F.lit(m).alias("metric"), F.col(f"p_{m}").alias("part"), F.lit(None).cast("long").alias("whole")) for m in (*counts, "lost_longest")]
+    return of.select("match", "side", F.explode(F.array(*rows)).alias("m")).select("match", "side", "m.*")
+
+
+def both_sides(profile: DataFrame, sides: Sequence[str] = ("A", "B")) -> DataFrame:
+    """(match, metric, part_x, whole_x, rate_x for each side x): a match seen from both sides, one row a metric."""
+    mine = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s.lower()}")
+    x = profile.groupBy("match", "metric").agg(*(mine(s, c) for s in sides for c in ("part", "whole")))
+    return x.withColumns({f"rate_{s.lower()}": percentage(F.col(f"part_{s.lower()}"), F.col(f"whole_{s.lower()}")) for s in sides})
+
+
 def combine(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Partial ratios over several matches: parts and wholes add up."""
     x = metrics.groupBy(*keys, "metric").agg(F.sum("part").alias("part"), F.sum("whole").alias("whole"))
