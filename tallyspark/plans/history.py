@@ -199,7 +199,7 @@ def entry_overview(spark, d):
 # Of three neighbours the first two meet, so frames can be numbered by place.
 @query(
     """
-WITH x AS (SELECT p_partkey % 33 AS draw, p_partkey AS entry, p_partkey // 33 // 3 * 2 + CASE WHEN p_partkey // 33 % 3 = 2 THEN 1 ELSE 0 END AS frame FROM part),
+WITH x AS (SELECT p_partkey // 96 AS draw, p_partkey AS entry, p_partkey % 96 // 3 * 2 + CASE WHEN p_partkey % 96 % 3 = 2 THEN 1 ELSE 0 END AS frame FROM part),
 f AS (SELECT draw, frame, count(*) AS n FROM x GROUP BY 1, 2), s AS (SELECT draw, count(*) AS size FROM f GROUP BY 1)
 SELECT x.draw, x.entry, CASE WHEN size & (size - 1) <> 0 THEN NULL WHEN f.n = 2 THEN 'packing' WHEN o.n = 2 THEN 'seed' ELSE 'extra' END AS type
 FROM x JOIN f ON f.draw = x.draw AND f.frame = x.frame JOIN s ON s.draw = x.draw LEFT JOIN f o ON o.draw = x.draw AND o.frame = xor(x.frame, 1)
@@ -207,8 +207,8 @@ FROM x JOIN f ON f.draw = x.draw AND f.frame = x.frame JOIN s ON s.draw = x.draw
 )
 def entry_types(spark, d):
     """Seed, extra or packing of each entry of a draw; unit tests hold it against a loop."""
-    p = table(spark, d, "part").select((F.col("p_partkey") % 33).alias("draw"), F.col("p_partkey").alias("entry"))
-    first = p.where("floor(entry / 33) % 3 = 0").select("draw", F.col("entry").alias("p"), (F.col("entry") + 33).alias("q"))
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 96).alias("draw"), F.col("p_partkey").alias("entry"))
+    first = p.where("entry % 3 = 0").select("draw", F.col("entry").alias("p"), (F.col("entry") + 1).alias("q"))
     return H.entry_types(p, first, ["draw"], "entry")
 
 

@@ -98,15 +98,15 @@ def partner_agg(spark, d):
 
 @query(
     """
-WITH o AS (SELECT o_custkey % 50 AS grp, year(o_orderdate)::BIGINT AS yr, count(*) AS n_orders FROM orders GROUP BY 1, 2),
-l AS (SELECT l_suppkey % 50 AS grp, year(l_shipdate)::BIGINT AS yr, count(*) AS n_lines, max(l_quantity) AS best FROM lineitem WHERE l_suppkey % 3 > 0 GROUP BY 1, 2)
+WITH o AS (SELECT o_custkey % 500 AS grp, year(o_orderdate)::BIGINT AS yr, count(*) AS n_orders FROM orders GROUP BY 1, 2),
+l AS (SELECT l_suppkey % 500 AS grp, year(l_shipdate)::BIGINT AS yr, count(*) AS n_lines, max(l_quantity) AS best FROM lineitem GROUP BY 1, 2)
 SELECT coalesce(o.grp, l.grp) AS grp, coalesce(o.yr, l.yr) AS yr, coalesce(n_orders, 0) AS n_orders, coalesce(n_lines, 0) AS n_lines, best
 FROM o FULL OUTER JOIN l ON o.grp = l.grp AND o.yr = l.yr
 """
 )
 def by_year_full_outer(spark, d):
-    o = orders(spark, d).groupBy((F.col("o_custkey") % 50).alias("grp"), "yr").agg(F.count("*").alias("n_orders"))
-    x = lines(spark, d).where("l_suppkey % 3 > 0").groupBy((F.col("l_suppkey") % 50).alias("grp"), "yr").agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("best"))
+    o = orders(spark, d).groupBy((F.col("o_custkey") % 500).alias("grp"), "yr").agg(F.count("*").alias("n_orders"))
+    x = lines(spark, d).groupBy((F.col("l_suppkey") % 500).alias("grp"), "yr").agg(F.count("*").alias("n_lines"), F.max("l_quantity").alias("best"))
     return A.merge_groups(o, x, ["grp", "yr"], ["n_orders", "n_lines"])
 
 

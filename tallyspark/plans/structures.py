@@ -67,7 +67,7 @@ def bracket_depth(spark, d):
 
 @query(
     """
-WITH e AS (SELECT p_size AS draw, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'seed' ELSE 'packing' END AS kind, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part),
+WITH e AS (SELECT p_partkey // 64 AS draw, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'seed' ELSE 'packing' END AS kind FROM part),
 r AS (SELECT *, sum(CASE WHEN kind = 'seed' THEN 1 ELSE 0 END) OVER (PARTITION BY draw ORDER BY p_partkey) AS run FROM e),
 k AS (SELECT *, sum(CASE WHEN kind = 'packing' THEN 1 ELSE 0 END) OVER (PARTITION BY draw, run ORDER BY p_partkey) - 1 AS inside FROM r),
 w AS (SELECT draw, run, count(*) FILTER (WHERE kind = 'seed') * 2 + ((count(*) FILTER (WHERE kind = 'packing') + 1) // 2) * 2 AS width FROM r GROUP BY 1, 2),
@@ -76,7 +76,7 @@ SELECT k.draw, k.p_partkey, k.kind, (s.start + CASE WHEN kind = 'packing' THEN i
 """
 )
 def draw_slots(spark, d):
-    e = table(spark, d, "part").select(F.col("p_size").alias("draw"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "seed").otherwise("packing").alias("kind"))
+    e = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 64).alias("draw"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "seed").otherwise("packing").alias("kind"))
     return G.draw_slots(e, ["draw"], "p_partkey", "kind")
 
 
