@@ -23,7 +23,10 @@ def test_dictionary_hits_against_a_loop(spark):
     r = random.Random(11)
     texts = [(k, " ".join(r.choices(["Red", "red,", "ball", "Court", "a-b", "Ö", "x"], k=r.randint(0, 60)))) for k in range(60)] + [(60, None), (61, ""), (62, "red ball " * 3000)]
     rows = [("red ball", 1), ("red", 2), ("RED", 3), ("ball court a", 4), ("a b", 5), ("b", 6), ("ö x red ball red", 7), ("ball red", 8), ("--", 9), (None, 10), ("x", None)]
-    got = T.dictionary_hits(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(rows, "t string, v int"), "t", "v")
+    args = spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(rows, "t string, v int"), "t", "v"
+    got = T.dictionary_hits(*args)
+    large = T.dictionary_hits(*args, broadcast_bytes=0)
+    assert sorted(map(tuple, large.collect())) == sorted(map(tuple, got.collect()))
     found = defaultdict(set)
     for x in got.collect():
         assert tuple(x[1:]) not in found[x["id"]]
