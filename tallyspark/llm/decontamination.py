@@ -34,11 +34,12 @@ NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 JOINT = "\ue003"
 _MARKS = f"{NUMBER}-{JOINT}"
 # A run of capitalised words inside a sentence is one name. The class comes first: the engine looks behind only where it holds.
-_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{N},;:)] .)[\p{L}\p{N}]*(?: \p{Lu}\p{Ll}[\p{L}\p{N}]*)*"
+# Groups repeat possessively (*+), here and below: the engine loops over those, but calls itself for each repeat of a greedy one, and runs of 2000 overflow its stack.
+_NAMES = r"\p{Lu}(?<=[\p{Ll}\p{N},;:)] .)[\p{L}\p{N}]*(?: \p{Lu}\p{Ll}[\p{L}\p{N}]*)*+"
 # The same names in two steps, for texts that keep what stood in a slot: join the words of each run, then find it.
 _RUNS = r"(\G(?!\A)|(?<=[\p{Ll}\p{N},;:)] ))(\p{Lu}[\p{L}\p{N}]*) (?=\p{Lu}\p{Ll})"
 _JOINED = f"\\p{{Lu}}(?<=[\\p{{Ll}}\\p{{N}},;:)] .)[\\p{{L}}\\p{{N}}{JOINT}]*"
-_NUMBERS = r"\p{N}+(?:[.,:/]\p{N}+)*"
+_NUMBERS = r"\p{N}+(?:[.,:/]\p{N}+)*+"
 # Units that may follow a number.
 UNITS = "kg|mg|g|km/h|km|cm|mm|ml|mph|mi|m|ft|lbs|lb|oz|hours|hour|hrs|hr|h|minutes|minute|mins|min|seconds|second|sec|ms|s|days|day|weeks|week|years|year|usd|eur|gbp|dollars|dollar|euros|euro|percent|%|°c|°f|°|$|€|£"
 _UNITS = rf"(\p{{N}}) *((?i:{UNITS.replace('$', chr(92) + '$')}))(?![\p{{L}}\p{{N}}])"

@@ -277,6 +277,25 @@ def test_template_words_against_a_plain_reader(spark):
         assert x["v"] == [w + (v or "") for w, v in want], texts[x["k"]]
 
 
+def test_long_runs_of_names_and_numbers(spark):
+    """Runs so long that a pattern which calls itself for each repeat overflows the stack."""
+    from tallyspark.llm.decontamination import leaks, template_words
+
+    runs = {
+        1: "it said " + "Foo " * 50_000,
+        2: "it said " + " ".join("Fo" + "o" * (k % 7) for k in range(50_000)),
+        3: "it said " + ",".join(map(str, range(50_000))) + " km",
+        4: "it said " + "1.2:3/4," * 50_000 + "5 Foo Bar",
+        5: "it said Foo" + " AB" * 300,
+    }
+    docs = spark.createDataFrame([*runs.items(), *((10 + k, f"{t} {ITEM}") for k, t in runs.items())], "doc_id long, text string")
+    for x in docs.where("doc_id < 10").select("doc_id", template_words(F.col("text")).alias("w"), template_words(F.col("text"), True).alias("v")).collect():
+        want = plain_template(runs[x["doc_id"]])
+        assert x["w"] == [w for w, _ in want] and x["v"] == [w + (v or "") for w, v in want], x["doc_id"]
+    items = spark.createDataFrame([(1, ITEM), (2, f"{runs[1]}, and the answer is in the book that he wrote")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leaks(docs, items).collect()} == {(10 + k, 1) for k in runs}
+
+
 def test_leaks_against_a_plain_rule(spark):
     """What lies at one offset is found, and nothing of which no order-preserving match covers enough."""
     from tallyspark.llm.decontamination import leaks
