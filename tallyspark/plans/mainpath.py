@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import as_table, shared_dir
+from ..session import as_table, owned, scratch, shared_dir
 from ..sources import details as D
 from ..sources import sinks
 from . import facts as T
@@ -22,30 +22,38 @@ from .statistics import SECTIONS
 KEYS = D.KEYS
 
 
+#: Matches of a document's part, about: documents are as many as categories of editions, so they grow with the matches, and a row mustn't.
+PART = 20_000
+
+
 def documents_of(spark, d) -> DataFrame:
-    """One row for each document, arrays in order of their ids."""
+    """One row for each part of a document, arrays in order of their ids. Parts are ranges of matches, each with the entries of its matches."""
     category = F.when(F.col("o_orderstatus") == "F", "singles-none-boys").when(F.col("o_orderstatus") == "O", "doubles-none-boys").otherwise("singles-none-girls")
     m = orders(spark, d).select(F.concat(F.lit("cup"), F.substring("o_orderpriority", 1, 1)).alias("tournament"), F.col("yr").cast("int").alias("year"), category.alias("category"), F.col("o_orderkey").alias("k"), (F.col("o_custkey") + 1).cast("int").alias("a"), (F.col("o_orderkey") % 97 + 1).cast("int").alias("b"), (F.floor("o_totalprice") % 5).cast("int").alias("sa"), (F.col("o_orderkey") % 4).cast("int").alias("sb"), (F.col("o_orderkey") % 11 == 0).alias("retired"))
     whole = F.col("tournament") != "cup5"
     score = lambda x: F.map_from_arrays(F.array(x["a"].cast("string"), x["b"].cast("string")), F.array(x["sa"], x["sb"]))
     match = lambda x: F.struct(x["k"].cast("string").alias("matchId"), F.array(x["a"], x["b"]).alias("entries"), F.when(x["a"] != x["b"], score(x)).alias("scores"), F.lit("final").alias("round"), F.when(x["sa"] > x["sb"], x["a"]).when(x["sa"] < x["sb"], x["b"]).otherwise(0).alias("winnerEntryNo"), x["retired"].alias("retired"), F.when(x["whole"], F.lit("knockout")).otherwise("roundrobin").alias("stage"))
-    matches = m.withColumn("whole", whole).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("k", "a", "b", "sa", "sb", "retired", "whole"))).alias("m")).withColumn("matches", F.transform("m", match)).drop("m")
-    e = m.where(whole).select(*KEYS, F.explode(F.array("a", "b")).alias("entry")).distinct()
-    person = lambda letter: F.struct(F.concat(F.lit(letter), F.col("entry").cast("string")).alias("id"), F.concat(F.lit(letter), F.col("entry").cast("string")).alias("lastName"), F.lit("X").alias("firstName"), F.concat(F.lit("T"), (F.col("entry") % 20).cast("string")).alias("team"), F.lit(None).cast("string").alias("prefecture"))
-    people = F.when(F.col("category").startswith("doubles"), F.array(person("P"), person("Q"))).otherwise(F.array(person("P")))
-    rank = F.struct(F.when(F.col("n") == 1, "winner").when(F.col("n") == 2, "runnerup").otherwise("best").alias("kind"), F.when(F.col("n") > 2, 4).alias("bestLevel"), F.lit(None).cast("int").alias("round"))
-    result = F.struct(F.col("entry").alias("entryNo"), F.struct(F.lit(None).cast("string").alias("label"), rank.alias("rank")).alias("tournament"))
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("entry"))).withColumn("people", people).withColumn("result", F.when(F.col("n") <= 4, result))
-    entry = lambda x: F.struct(x["entry"].alias("entryNo"), F.transform(x["people"], lambda p: p["id"]).alias("playerIds"), F.lit(None).cast("string").alias("type"))
-    e = e.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("entry", "people", "result"))).alias("e"))
-    e = e.select(*KEYS, F.flatten(F.transform("e", lambda x: x["people"])).alias("participants"), F.transform("e", entry).alias("entries"), F.filter(F.transform("e", lambda x: x["result"]), lambda r: r.isNotNull()).alias("results"))
-    return matches.join(e, KEYS, "left")
+    # The first four entries of the whole document have a result.
+    best = m.where(whole).select(*KEYS, F.explode(F.array("a", "b")).alias("entry")).distinct()
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy("entry"))).where("n <= 4").groupBy(*KEYS).agg(F.sort_array(F.collect_list("entry")).alias("best"))
+    parts = m.withColumn("whole", whole).repartitionByRange(max(1, -(-m.count() // PART)), *KEYS, "k").withColumn("part", F.spark_partition_id())
+    parts = parts.groupBy(*KEYS, "part").agg(F.sort_array(F.collect_list(F.struct("k", "a", "b", "sa", "sb", "retired", "whole"))).alias("m"))
+    parts = parts.join(F.broadcast(best), KEYS, "left").withColumn("e", F.when(whole, F.sort_array(F.array_distinct(F.flatten(F.transform("m", lambda x: F.array(x["a"], x["b"])))))))
+    person = lambda letter, e: F.struct(F.concat(F.lit(letter), e.cast("string")).alias("id"), F.concat(F.lit(letter), e.cast("string")).alias("lastName"), F.lit("X").alias("firstName"), F.concat(F.lit("T"), (e % 20).cast("string")).alias("team"), F.lit(None).cast("string").alias("prefecture"))
+    doubles = F.col("category").startswith("doubles")
+    people = lambda e: F.when(doubles, F.array(person("P", e), person("Q", e))).otherwise(F.array(person("P", e)))
+    entry = lambda e: F.struct(e.alias("entryNo"), F.transform(people(e), lambda p: p["id"]).alias("playerIds"), F.lit(None).cast("string").alias("type"))
+    place = lambda e: F.array_position("best", e)
+    rank = lambda e: F.struct(F.when(place(e) == 1, "winner").when(place(e) == 2, "runnerup").otherwise("best").alias("kind"), F.when(place(e) > 2, 4).alias("bestLevel"), F.lit(None).cast("int").alias("round"))
+    result = lambda e: F.struct(e.alias("entryNo"), F.struct(F.lit(None).cast("string").alias("label"), rank(e).alias("rank")).alias("tournament"))
+    results = F.transform(F.filter("e", lambda e: F.array_contains("best", e)), result)
+    return parts.select(*KEYS, "part", F.transform("m", match).alias("matches"), F.flatten(F.transform("e", people)).alias("participants"), F.transform("e", entry).alias("entries"), results.alias("results"))
 
 
 def read_back(spark, d) -> DataFrame:
     """The documents, after they were written as nested JSON to the shared folder."""
-    root = f"{shared_dir(spark)}/details-{uuid.uuid4().hex}"
-    sinks.write_details(documents_of(spark, d), KEYS, root)
+    root = owned(spark, f"{shared_dir(spark)}/details-{uuid.uuid4().hex}")
+    sinks.write_details(documents_of(spark, d), [*KEYS, "part"], root, "gzip")
     return D.read_details(spark, root, D.PARTITIONED)
 
 
@@ -67,11 +75,14 @@ def facts_of(spark, d) -> tuple[DataFrame, DataFrame]:
     """(match facts, entry facts), as tables of the shared folder, made once for each application, folder and state of its files."""
     key = (spark.sparkContext.applicationId, d, _state_of(spark, d))
     if key not in _BUILT:
-        details = read_back(spark, d)
-        roster = orders(spark, d).select(F.explode(F.array(F.col("o_custkey") + 1, F.col("o_orderkey") % 97 + 1)).alias("position")).distinct()
-        index = T.player_index(roster.select("position", F.col("position").alias("id"), F.concat(F.lit("P"), F.col("position").cast("string")).alias("lastName"), F.lit("X").alias("firstName")))
-        people = T.identified(D.participants(D.standard(details)), index)
-        _BUILT[key] = (as_table(T.match_facts(details, people, meta_of(spark, d)), "match-facts", keep=True), as_table(T.entry_facts(details, people, meta_of(spark, d)), "entry-facts", keep=True))
+        with scratch(spark):
+            details = read_back(spark, d)
+            roster = orders(spark, d).select(F.explode(F.array(F.col("o_custkey") + 1, F.col("o_orderkey") % 97 + 1)).alias("position")).distinct()
+            index = T.player_index(roster.select("position", F.col("position").alias("id"), F.concat(F.lit("P"), F.col("position").cast("string")).alias("lastName"), F.lit("X").alias("firstName")))
+            standard = D.standard(details)
+            people = T.identified(D.participants(standard), index)
+            seated = as_table(T.seats(D.entries(standard), people), "seats")
+            _BUILT[key] = (as_table(T.match_facts(details, people, meta_of(spark, d), seated), "match-facts", keep=True), as_table(T.entry_facts(details, people, meta_of(spark, d), seated), "entry-facts", keep=True))
     return _BUILT[key]
 
 

@@ -22,9 +22,9 @@ def write_boards(rows: DataFrame, parts: Sequence[str], order: Sequence[str], pa
     rows.repartition(*parts).sortWithinPartitions(*parts, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
 
-def write_details(details: DataFrame, keys: Sequence[str], path: str) -> None:
-    """Nested documents, a file for each: folders by keys, which `sources.details.read_details` reads by its partitioned layout. Only folders with rows are overwritten."""
-    details.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
+def write_details(details: DataFrame, keys: Sequence[str], path: str, compression: str = "none") -> None:
+    """Nested documents, a file for each: folders by keys (the last may be `part`), which `sources.details.read_details` reads by its partitioned layout, also as gzip. Only folders with rows are overwritten."""
+    details.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", compression).partitionBy(*keys).json(path)
 
 
 def documents(rows: DataFrame, key: str, name: str = "document") -> DataFrame:

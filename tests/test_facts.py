@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.plans import facts as T
+from tallyspark.plans import mainpath
 from tallyspark.plans.statistics import SECTIONS, statistics
 from tallyspark.sources import details as D
 from tallyspark.sources import sinks
@@ -120,3 +121,20 @@ def test_lines_and_children(spark, tmp_path):
     g = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "match int, game int, v string")
     m = attach_children(spark.createDataFrame([(1,), (2,)], "match int"), g, "match", "game", "games")
     assert {r["match"]: r["games"] and [tuple(x) for x in r["games"]] for r in m.collect()} == {1: [(1, "x"), (2, "y")], 2: None}
+
+
+def test_large_documents_come_in_parts(spark, small, monkeypatch):
+    facts = lambda: [sorted(map(repr, x.drop("position").collect())) for x in mainpath.facts_of(spark, small)]
+    monkeypatch.setattr(mainpath, "_BUILT", {})
+    whole, streaks = facts(), sorted(map(tuple, mainpath.SECTIONS["streaks"](*mainpath.facts_of(spark, small)).collect()))
+    mainpath._BUILT.clear()
+    monkeypatch.setattr(mainpath, "PART", 5)
+    read = mainpath.read_back(spark, small)
+    documents = read.groupBy(*D.KEYS).agg(F.count("*").alias("parts"), F.max(F.size("matches")).alias("most"), F.sum(F.size("matches")).alias("matches"))
+    # Ranges are drawn from samples, so a part is only about as large as asked for.
+    assert documents.agg(F.max("parts")).first()[0] > 1 and documents.agg(F.max("most")).first()[0] <= 20 and documents.agg(F.sum("matches")).first()[0] == mainpath.orders(spark, small).count()
+    ordered = D.matches(read).select(*D.KEYS, "position", F.col("match").cast("long").alias("k")).collect()
+    by = lambda n: [(r["tournament"], r["year"], r["category"], r["k"]) for r in sorted(ordered, key=lambda r: (r["tournament"], r["year"], r["category"], r[n]))]
+    assert by("position") == by("k")
+    assert facts() == whole and sorted(map(tuple, mainpath.SECTIONS["streaks"](*mainpath.facts_of(spark, small)).collect())) == streaks
+    assert D.quarantined(read).count() == D.quarantined(read).select(*D.KEYS).distinct().count()
