@@ -141,6 +141,23 @@ def test_merging_stops_at_conflicts(spark):
         assert dict(rows(got)) == cluster
 
 
+
+def test_evidence_is_read_once_however_many_rounds(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for x in batches:
+            seen.add(len(x))
+            yield x
+
+    names = [f"n{k:03}" for k in range(8)]
+    links = [(a, b, -k) for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    edges = spark.createDataFrame(links, "a string, b string, weight long").mapInPandas(told, "a string, b string, weight long")
+    # A round joins one pair, as the best link is always the next one of the chain.
+    got = T.merge_apart(spark.createDataFrame([(n,) for n in names], "node string"), edges, spark.createDataFrame([("n000", 1), ("n007", 1)], "node string, conflict long"), [-F.col("weight")])
+    assert dict(rows(got)) == {n: "n000" if n < "n007" else n for n in names} and seen.value == len(links)
+
+
 def test_alias_evidence(spark):
     data = [("kim", 1, "e1", "North High"), ("kim", 1, "e2", "North"), ("lee", 1, "e1", "North"), ("lee", 1, "e1", "South"), ("lee", 1, "e2", "North High"), ("ito", 1, "e1", "Ab"), ("ito", 1, "e2", "Cd")]
     edges, apart = T.alias_edges(spark.createDataFrame(data, "person string, yr long, event string, team string"), ["person", "yr"], "event", "team")
