@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..session import owned, shared_dir
+from ..session import as_table, owned, shared_dir
 
 # Points that win a game, and the deciding one; both with two ahead.
 GAME, DECIDER = 4, 7
@@ -78,3 +79,41 @@ def prior_meetings(asked: DataFrame, index: DataFrame, keep: Sequence[str], mont
     window = (F.col("prior_day") >= F.add_months("day", -months)) | ((F.col("prior_series") == F.col("series")) & (F.col("prior_day") >= F.col("previous")))
     same = F.coalesce(F.col("generation") == F.col("prior_generation"), F.lit(True))
     return x.where((F.col("prior_day") < F.col("day")) & window & same)
+
+
+def count_prior_meetings(asked: DataFrame, index: DataFrame, keep: Sequence[str], months: int = 12) -> DataFrame:
+    """asked's `keep` with meetings, last_day and won over the earlier meetings that `prior_meetings` lists, where there are any. None is listed here: the work follows rows and not their pairs.
+
+    index: low, high, day (a date), generation, series, and how many meetings these are and won (n, won). A pair's meetings are summed up day by day, over all series and in each; what lies
+    between two days is the difference of two sums. The sums of a generation have meetings of unknown ones in them; who is of an unknown one asks those over all. Generations are few.
+    """
+    pair = ["low", "high"]
+    asked = asked.where("low is not null AND high is not null AND day is not null")
+    cells = asked.select(*pair, "day", "generation", "series", "previous").distinct()
+    days = index.where("low is not null AND high is not null AND day is not null").groupBy(*pair, "day", "generation", "series").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
+    known = asked.select("generation").union(index.select("generation")).agg(F.collect_set("generation").alias("known"))
+    over_all = F.array(F.lit(None).cast(index.schema["generation"].dataType))
+    days = days.crossJoin(F.broadcast(known)).withColumn("generation", F.explode(F.when(F.col("generation").isNull(), F.concat("known", over_all)).otherwise(F.concat(F.array("generation"), over_all)))).drop("known")
+    # Days asked about, and those on which a previous edition began, have sums too, whether or not the pair met on them.
+    none = lambda day: cells.where(F.col(day).isNotNull()).select(*pair, F.col(day).alias("day"), "generation", "series", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("won")).distinct()
+
+    def sums(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """For each day what was before it (n, won), before the day `months` earlier (n_ago, won_ago), and the last day before it."""
+        x = rows.groupBy(*keys, "generation", "day").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
+        w = Window.partitionBy(*keys, "generation").orderBy("day")
+        ranged = lambda c, start: F.coalesce(F.expr(f"sum({c}) OVER (PARTITION BY {', '.join(keys)}, generation ORDER BY day RANGE BETWEEN {start} PRECEDING AND INTERVAL '{months}' MONTH PRECEDING)"), F.lit(0))
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        ago = [(ranged(c, "UNBOUNDED") - ranged(c, f"INTERVAL '{months}' MONTH")).alias(f"{c}_ago") for c in ("n", "won")]
+        return x.select(*keys, "generation", "day", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n", "won")), *ago, F.max(F.when(F.col("n") > 0, F.col("day"))).over(before).alias("last"))
+
+    whole = sums(days.unionByName(none("day")), pair)
+    own = as_table(sums(days.unionByName(none("day")).unionByName(none("previous")).where("series is not null"), [*pair, "series"]), "sums")
+    c, a, o = cells.alias("c"), whole.alias("a"), own.alias("o")
+    p = own.select(*pair, "series", "generation", F.col("day").alias("previous"), "n", "won").alias("p")
+    on = lambda t, *keys: reduce(lambda q, k: q & (F.col(f"c.{k}") == F.col(f"{t}.{k}")), [*pair, *keys], F.col("c.generation").eqNullSafe(F.col(f"{t}.generation")))
+    x = c.join(a, on("a", "day")).join(o, on("o", "series", "day"), "left").join(p, on("p", "series", "previous"), "left")
+    window = lambda n: F.col(f"a.{n}") - F.col(f"a.{n}_ago")
+    edition = lambda n: F.coalesce(F.greatest(F.col(f"o.{n}_ago") - F.col(f"p.{n}"), F.lit(0)), F.lit(0))
+    x = x.select("c.*", (window("n") + edition("n")).alias("meetings"), F.when(window("n") > 0, F.col("a.last")).otherwise(F.col("o.last")).alias("last_day"), (window("won") + edition("won")).alias("won")).where("meetings > 0")
+    x = x.withColumnsRenamed({k: f"__{k}" for k in cells.columns})
+    return asked.select(*cells.columns, *keep).join(x, reduce(lambda q, k: q & F.col(k).eqNullSafe(F.col(f"__{k}")), cells.columns, F.lit(True))).select(*keep, "meetings", "last_day", "won")

@@ -1,5 +1,6 @@
 """Stories of draws, lift lattices, chains, draw trees, merging under constraints, committed candidates and stored meetings on small cases."""
 
+import datetime
 import random
 from collections import Counter
 from itertools import combinations
@@ -205,3 +206,16 @@ def test_stored_meetings_are_not_moved(spark):
     side = plan[plan.index("meetings_of_a_test") - 2500 :]
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1, side
     spark.sql("DROP TABLE meetings_of_a_test")
+
+
+def test_meetings_are_counted_without_pairs(spark):
+    r = random.Random(5)
+    # Month ends, a leap day, ties on a day, unknown generations and series, days asked about on which the pair didn't meet.
+    days = [datetime.date(y, m, x) for y in (2003, 2004, 2005) for m, x in ((2, 27), (2, 28), (3, 1), (3, 31), (9, 30), (10, 1))] + [datetime.date(2004, 2, 29)]
+    met = [(r.randrange(3), r.randrange(3), r.choice(days), r.choice(["y", "o", None]), r.choice(["s", "t", None]), r.random() < 0.5) for _ in range(400)]
+    asked = [(*sorted(r.sample(range(3), 2)), r.choice(days), r.choice(["y", "o", "x", None]), r.choice(["s", "t", None]), r.choice([*days, None]), k) for k in range(300)]
+    m = spark.createDataFrame(met, "a long, b long, day date, generation string, series string, won boolean").where("a <> b").withColumn("low", F.least("a", "b")).withColumn("high", F.greatest("a", "b")).drop("a", "b")
+    q = spark.createDataFrame(asked, "low long, high long, day date, generation string, series string, previous date, k long")
+    want = R.prior_meetings(q, m, ["k"]).groupBy("k").agg(F.count("*").alias("meetings"), F.max("prior_day").alias("last_day"), F.count_if("prior_won").alias("won"))
+    index = m.groupBy("low", "high", "day", "generation", "series").agg(F.count("*").alias("n"), F.count_if("won").alias("won"))
+    assert rows(R.count_prior_meetings(q, index, ["k"])) == rows(want)
