@@ -93,7 +93,7 @@ def count_prior_meetings(asked: DataFrame, index: DataFrame, keep: Sequence[str]
     days = index.where("low is not null AND high is not null AND day is not null").groupBy(*pair, "day", "generation", "series").agg(F.sum("n").alias("n"), F.sum("won").alias("won"))
     known = asked.select("generation").union(index.select("generation")).agg(F.collect_set("generation").alias("known"))
     over_all = F.array(F.lit(None).cast(index.schema["generation"].dataType))
-    days = days.crossJoin(F.broadcast(known)).withColumn("generation", F.explode(F.when(F.col("generation").isNull(), F.concat("known", over_all)).otherwise(F.concat(F.array("generation"), over_all)))).drop("known")
+    days = days.withColumn("known", known.scalar()).withColumn("generation", F.explode(F.when(F.col("generation").isNull(), F.concat("known", over_all)).otherwise(F.concat(F.array("generation"), over_all)))).drop("known")
     # Days asked about, and those on which a previous edition began, have sums too, whether or not the pair met on them.
     none = lambda day: cells.where(F.col(day).isNotNull()).select(*pair, F.col(day).alias("day"), "generation", "series", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("won")).distinct()
 
